@@ -42,7 +42,10 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        zoneless = {f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields
+                    if f.dataType.typeName() == "timestamp_ntz"}
+        return df.withColumns(zoneless) if zoneless else df
 
     def places(self) -> DataFrame:
         return self.raw("nation").join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -1,5 +1,5 @@
 """All registered queries."""
-from . import (registry, sources_sinks)  # noqa: F401
+from . import (registry, sources_sinks, normalisation, filters)  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES

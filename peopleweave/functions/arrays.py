@@ -28,11 +28,15 @@ def single(value) -> Column:
     return F.when(col(value).isNull(), empty()).otherwise(F.array(col(value)))
 
 
+def keep_first(items: Column, key) -> Column:
+    """Keep the first item of every key. A fold, so ``items`` is evaluated once, not once per element."""
+    return F.aggregate(items, F.slice(items, 1, 0), lambda acc, x: F.when(
+        F.exists(acc, lambda a: key(a) == key(x)), acc).otherwise(F.concat(acc, F.array(x))))
+
+
 def dedupe_keep_first(value) -> Column:
     """Drop blanks and case-insensitive repeats, keeping the first spelling."""
-    items = F.filter(or_empty(value), lambda x: trim_ws(x) != "")
-    keys = F.transform(items, lambda x: F.lower(trim_ws(x)))
-    return F.filter(items, lambda x, i: F.array_position(keys, F.lower(trim_ws(x))) == i + 1)
+    return F.filter(keep_first(or_empty(value), lambda x: F.lower(trim_ws(x))), lambda x: trim_ws(x) != "")
 
 
 def expand_family(value, families: dict) -> Column:
@@ -53,7 +57,11 @@ def overlaps(left, right) -> Column:
 
 
 def count_by(value) -> Column:
-    """array<string> -> map<string,int> of counts."""
-    items = or_empty(value)
-    return F.map_from_entries(F.transform(
-        F.array_sort(F.array_distinct(items)), lambda k: F.struct(k, F.size(F.filter(items, lambda x: x == k)))))
+    """array<string> -> map<string,int> of counts (one pass over the sorted array)."""
+    start = F.array().cast("array<struct<k:string,n:int>>")
+    folded = F.aggregate(F.array_sort(or_empty(value)), start, lambda acc, x: F.when(
+        (F.size(acc) > 0) & (F.element_at(acc, -1)["k"] == x),
+        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
+            x.alias("k"), (F.element_at(acc, -1)["n"] + 1).alias("n")))))
+        .otherwise(F.concat(acc, F.array(F.struct(x.alias("k"), F.lit(1).alias("n"))))))
+    return F.map_from_entries(folded)

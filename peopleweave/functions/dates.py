@@ -12,11 +12,12 @@ def at(now) -> Column:
 
 
 def raw_age_days(ts, now) -> Column:
-    return F.floor((F.unix_micros(at(now)) - F.unix_micros(col(ts))) / F.lit(86400000000)).cast("long")
+    return F.floor((F.unix_micros(at(now)) - F.unix_micros(col(ts).cast("timestamp"))) / F.lit(86400000000)).cast("long")
 
 
 def age_days(ts, now) -> Column:
-    return F.greatest(F.lit(0).cast("long"), raw_age_days(ts, now))
+    days = raw_age_days(ts, now)  # greatest() would turn a missing date into 0, so keep the null
+    return F.shiftright(days + F.abs(days), 1)
 
 
 def relative_label(ts, now) -> Column:

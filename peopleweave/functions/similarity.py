@@ -11,11 +11,15 @@ from .text import col, contains_any, trim_ws
 
 
 def trigrams(value) -> Column:
-    """Distinct padded character trigrams of every word: two spaces before, one after."""
-    words = F.array_distinct(F.filter(F.split(F.lower(col(value)), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    grams = F.transform(words, lambda w: F.transform(
-        F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
-    return F.array_distinct(F.flatten(grams))
+    """Distinct padded character trigrams of every word: two spaces before, one after.
+
+    Words are padded and put on separate lines, then one regex pass takes every overlapping
+    three-character window inside a line; no per-character lambda is evaluated.
+    """
+    text = F.regexp_replace(F.lower(col(value)), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    padded = F.concat(F.lit("  "), F.regexp_replace(text, r"[^\p{L}\p{N}]+", " \n  "), F.lit(" "))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(
+        F.array_distinct(F.regexp_extract_all(padded, F.lit("(?=([^\n]{3}))"), F.lit(1))))
 
 
 def set_similarity(left: Column, right: Column) -> Column:

@@ -56,10 +56,13 @@ def truncate(value, size: int, keep: int, suffix: str) -> Column:
         F.concat(F.regexp_replace(F.substring(text, 1, keep), r"\s+$", ""), F.lit(suffix)))
 
 
+def _cut(text: Column, size: int) -> Column:
+    """More than ``size`` code points -> first size-3 and three dots. One regex, so the input is not repeated."""
+    return F.regexp_replace(text, r"^(.{%d}).{4,}$" % (size - 3), "$1...")
+
+
 def truncate_plain(value, size: int) -> Column:
-    """Display form: collapse spaces, cut at size-3 and add three dots."""
-    text = collapse(value)
-    return F.when(F.length(text) <= size, text).otherwise(F.concat(F.substring(text, 1, size - 3), F.lit("...")))
+    return _cut(collapse(value), size)
 
 
 def snippet(value) -> Column:
@@ -67,8 +70,8 @@ def snippet(value) -> Column:
 
 
 def clamp_headline(value, limit: int = 60) -> Column:
-    line = F.nullif(collapse(F.split(col(value), r"\r?\n")[0]), F.lit(""))
-    return F.when(F.length(line) <= limit, line).otherwise(F.concat(F.substring(line, 1, limit - 3), F.lit("...")))
+    first_line = F.regexp_replace(col(value), r"(?s)\r?\n.*$", "")
+    return _cut(F.nullif(collapse(first_line), F.lit("")), limit)
 
 
 def headline_chain(*values) -> Column:
