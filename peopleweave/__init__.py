@@ -1,0 +1,7 @@
+"""People search and entity resolution on Spark DataFrames."""
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -117,7 +117,8 @@ class Tables:
         return self.raw("benchmark").select(
             F.col("item_id").alias("query_id"), F.col("text").alias("raw_query"),
             F.when(size % 2 == 0, F.array(F.lit("writer"))).otherwise(none).alias("roles"),
-            F.array(F.lower(F.regexp_extract("text", r"^([^\s.,]+)", 1))).alias("skills"),
+            F.array(F.lower(F.regexp_extract("text", r"^([^\s.,]+)", 1)), F.when(size % 3 == 0, "ring").when(
+                size % 3 == 1, "widget").otherwise("gear")).alias("skills"),
             F.when(size % 7 == 0, F.array(F.lit("en"))).otherwise(none).alias("locations"),
             F.when(size % 5 == 0, F.array(F.lit("of the"))).otherwise(none).alias("must_haves"),
             none.alias("nice_to_haves"),
@@ -355,7 +356,7 @@ _cte("doc_embeddings", f"""
 _cte("queries", """
   SELECT item_id AS query_id, text AS raw_query,
     CASE WHEN length(text) % 2 = 0 THEN ['writer'] ELSE [] END AS roles,
-    [lower(regexp_extract(text, '^([^\\s.,]+)', 1))] AS skills,
+    [lower(regexp_extract(text, '^([^\\s.,]+)', 1)), CASE length(text) % 3 WHEN 0 THEN 'ring' WHEN 1 THEN 'widget' ELSE 'gear' END] AS skills,
     CASE WHEN length(text) % 7 = 0 THEN ['en'] ELSE [] END AS locations,
     CASE WHEN length(text) % 5 = 0 THEN ['of the'] ELSE [] END AS must_haves,
     CAST([] AS VARCHAR[]) AS nice_to_haves,

@@ -90,7 +90,7 @@ def _canonical_families(text: Column) -> Column:
 def normalize_search_text(value, folded: Column | None = None) -> Column:
     """Fold width, lower, map alias families to one name, punctuation and symbols to one space.
 
-    Full NFKC has no JVM built-in; pass ``folded=nfkc(...)`` from ``functions.udfs`` when wanted.
+    Full NFKC has no JVM built-in; pass ``folded=nfkc_udf()(...)`` from ``functions.udfs`` when wanted.
     """
     text = folded if folded is not None else F.translate(col(value), FOLD_FROM, FOLD_TO)
     text = _canonical_families(trim_ws(F.lower(text)))
