@@ -299,7 +299,7 @@ def grf6(t: Tables):
 
 
 @query("sig1_signal_report", with_sql(["profiles", "post_refs"], """
-SELECT handle, list_filter([CASE WHEN o1 OR c1 THEN 'urgent' END, CASE WHEN o2 OR c2 THEN 'nation5' END], lambda x: x IS NOT NULL) AS signals,
+SELECT handle, list_filter([CASE WHEN o2 OR c2 THEN 'nation5' END, CASE WHEN o1 OR c1 THEN 'urgent' END], lambda x: x IS NOT NULL) AS signals,
   list_filter([CASE WHEN o1 OR o2 THEN 'profile' END, CASE WHEN c1 OR c2 THEN 'community_context' END], lambda x: x IS NOT NULL) AS hit_sources, coalesce(posts, 0) AS posts FROM (
 SELECT handle, FALSE AS o1, regexp_matches(bio, '(^|[^a-z0-9])nation_5([^a-z0-9]|$)') AS o2, coalesce(regexp_matches(lower(ctx), '(^|[^a-z0-9])urgent([^a-z0-9]|$)'), FALSE) AS c1, FALSE AS c2, posts
 FROM profiles LEFT JOIN (SELECT handle, string_agg(DISTINCT category_title, chr(10)) AS ctx, count(*) AS posts FROM post_refs GROUP BY 1) USING (handle)) WHERE o1 OR o2 OR c1 OR c2"""))

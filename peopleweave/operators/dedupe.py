@@ -12,25 +12,22 @@ from .identity import name_substrings
 from .windows import component_winners
 
 # Host prefixes and handle patterns of the strong alias types.
-ALIAS_HOSTS = {"github": ["github.com"], "x": ["x.com", "twitter.com"]}
-ALIAS_PATTERNS = {"github": r"^[a-z\d](?:[a-z\d-]{0,38})$", "x": r"^[a-z\d_]{1,15}$"}
-
-
-def _handle(value: Column, hosts) -> Column:
-    low = F.lower(trim_ws(value))
-    bare = F.regexp_replace(low, "^(?:" + "|".join(h.replace(".", r"\.") for h in hosts) + ")/@?", "\u0001")
-    is_host, is_url = bare.startswith("\u0001"), low.rlike(r"^[a-z][a-z0-9+.\-]*://")
-    path = F.regexp_replace(F.regexp_extract(low, r"^[^:]+://[^/?#]*/*([^?#]*)", 1), "^@", "")
-    first = F.regexp_extract(F.when(is_host, F.substring(bare, 2, 10000)).otherwise(path), r"^([^/?#]*)", 1)
-    return F.nullif(F.when(is_host | is_url, first).otherwise(F.regexp_replace(low, "^@", "")), F.lit(""))
+ALIAS_HOSTS = {"github": "github.com", "x": "x.com|twitter.com"}
+ALIAS_PATTERNS = {"github": r"^([a-z\d](?:[a-z\d-]{0,38}))$", "x": r"^([a-z\d_]{1,15})$"}
 
 
 def canonical_alias(kind: Column, value: Column) -> Column:
-    """Lower handle of a github / x / jike alias; null when the type or the handle is not acceptable."""
-    out = F.when(kind == "jike", F.nullif(F.lower(F.regexp_replace(trim_ws(value), "^@", "")), F.lit("")))
+    """Lower handle of a github / x / jike alias; null when the type or the handle is not acceptable.
+
+    One regex takes the first path segment behind a URL or a known host, or the whole value otherwise,
+    each without a leading @; a second one keeps it only when it is a legal handle.
+    """
+    low = F.lower(trim_ws(value))
+    out = F.when(kind == "jike", F.nullif(F.regexp_replace(low, "^@", ""), F.lit("")))
     for name, hosts in ALIAS_HOSTS.items():
-        handle = _handle(value, hosts)
-        out = out.when((kind == name) & handle.rlike(ALIAS_PATTERNS[name]), handle)
+        host = hosts.replace(".", r"\.")
+        handle = F.regexp_replace(low, rf"^(?:(?:[a-z][a-z0-9+.\-]*://[^/?#]*/*|(?:{host})/)@?([^/?#]*).*|@?(.*))$", "$1$2")
+        out = out.when(kind == name, F.nullif(F.regexp_extract(handle, ALIAS_PATTERNS[name], 1), F.lit("")))
     return out
 
 
