@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.aggregates import FEEDBACK_KINDS, candidate_state
+from ..operators.common import best_row
 from ..session import ensure_checkpoint_dir
 
 
@@ -20,30 +21,32 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", keys=()) -> DataFrame:
     """Process all data present and return what the sink holds.
 
-    complete mode replaces the table per batch; append mode adds each batch under its id, so a replayed
-    batch overwrites itself and nothing is written twice.
+    Every batch is written under its id, so a replayed batch overwrites itself and nothing appears twice.
+    In update mode the newest batch of each key counts.
     """
     spark = stream.sparkSession
     root = scratch_folder(spark, "stream")
-    schema = stream.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = f"{root}/out/all" if mode == "complete" else f"{root}/out/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(write)
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    path = f"{root}/out/all" if mode == "complete" else f"{root}/out/batch=*"
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(stream.schema.add("batch", "long")).option("basePath", f"{root}/out").parquet(f"{root}/out/batch=*")
+    if mode == "update":
+        out = best_row(out, list(keys), F.col("batch"))
+    return out.drop("batch")
 
 
-def event_stream(spark: SparkSession, folder: str, schema: str, file_glob: str, files_per_batch: int = 1000) -> DataFrame:
-    return (spark.readStream.schema(schema).option("pathGlobFilter", file_glob).option("maxFilesPerTrigger", files_per_batch)
-            .parquet(folder))
+def table_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
+    """Stream over a Parquet file or folder of files. The last letter is globbed because the file source wants
+    a pattern or a folder."""
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
 
 
 # --- state and counters ----------------------------------------------------------------------
