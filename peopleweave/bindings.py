@@ -8,11 +8,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.common import spread
+
 NOW = "2001-09-01 00:00:00"        # after the newest order
 EVENT_NOW = "2024-01-31 00:00:00"  # after the newest event
 DOC_BASE = "2024-01-01 00:00:00"
 TAG_WORDS = ["the", "and", "der", "que", "para", "les"]
 
+# Tables whose rows hold long texts, with their key.
+_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
 # (name, SQL, names it needs)
 _CTE: dict[str, tuple[str, list[str]]] = {}
 
@@ -45,7 +50,8 @@ class Tables:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         zoneless = {f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields
                     if f.dataType.typeName() == "timestamp_ntz"}
-        return df.withColumns(zoneless) if zoneless else df
+        df = df.withColumns(zoneless) if zoneless else df
+        return spread(df, _TEXT_KEYS[name]) if name in _TEXT_KEYS else df
 
     def places(self) -> DataFrame:
         return self.raw("nation").join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -5,6 +5,7 @@ from ..bindings import EVENT_NOW, NOW, Tables, with_sql
 from ..operators import aggregates as agg
 from ..operators import compare, diagnose, evaluate, explain, goals, memory, opportunities, rank, windows
 from ..operators.normalize import normalize_conditions
+from ..session import cut_lineage
 from .aggregates import AUDIT, HITS, STATE, attempt_audit, attempt_hits
 from .evidence_index import DIRECTIONS, FACETS
 from .normalisation import COND_SQL, conditions
@@ -54,7 +55,7 @@ def gol1_notes(t: Tables):
 def pool(t: Tables):
     """Daily pool: newest documents of shown persons, with direction profiles of the same persons."""
     docs = t.search_docs().select("person_id", F.col("updated_at").alias("doc_updated_at"), "facet_tags", "facet_source", "freshness")
-    p = windows.candidate_pool(t.persons(), docs).select("person_id", "facet_source", "freshness")
+    p = cut_lineage(windows.candidate_pool(t.persons(), docs).select("person_id", "facet_source", "freshness"))
     texts = goals.direction_texts(t.persons().join(p.select("person_id"), "person_id", "left_semi"), t.evidence().join(p.select("person_id"), "person_id", "left_semi"))
     profiles = goals.direction_profiles(p, texts, goals.direction_signals(texts, DIRECTIONS), DIRECTIONS)
     return opportunities.candidate_facts(p, t.evidence(), profiles)

@@ -289,13 +289,18 @@ def grf5(t: Tables):
     return graph.enrich_sparse(existing, previews).select("profile_id", "display_name", "bio", "changed")
 
 
-@query("grf6_expansion_budget")
+@query("grf6_expansion_budget", with_sql(["opt_outs", "persons", "links"], """
+SELECT handle, via, row_number() OVER (ORDER BY step, seq, handle) AS used FROM rows QUALIFY row_number() OVER (ORDER BY step, seq, handle) <= 40""", """
+lead_rows AS (SELECT handle, 'lead' AS via, 0 AS step, CAST(substr(request_id, 2) AS BIGINT) AS seq FROM opt_outs WHERE status = 'pending' ORDER BY seq, handle LIMIT 40),
+best AS (SELECT 'supp' || person_id AS src, row_number() OVER (ORDER BY confidence DESC, 'supp' || person_id) AS step FROM persons WHERE confidence > 0.5 AND 'supp' || person_id IN (SELECT src FROM links)),
+near AS (SELECT dst AS handle, 'neighbour of ' || src AS via, step, k AS seq FROM (SELECT dst, b.src, step, row_number() OVER (PARTITION BY b.src ORDER BY seen_order, dst) AS k FROM links JOIN best b ON b.src = links.src WHERE step <= 5) WHERE k <= 10),
+rows AS (SELECT * FROM lead_rows UNION ALL SELECT * FROM near)"""))
 def grf6(t: Tables):
-    leads = t.links().filter("edge_type = 'friend'").select(F.col("dst").alias("handle"), F.xxhash64("seen_order").alias("seq")).limit(0)
+    leads = t.opt_outs().filter("status = 'pending'").select("handle", F.expr("cast(substr(request_id, 2) as bigint)").alias("seq"))
     seeds = t.persons().filter("confidence > 0.5").select(F.concat(F.lit("supp"), F.col("person_id")).alias("handle"), "confidence")
     edges = t.links().select("src", "dst", F.col("seen_order").alias("seq"))
     held = edges.select(F.col("src").alias("handle")).distinct()
-    return graph.expansion_targets(leads, seeds.join(held, "handle", "left_semi"), edges, budget=20).select("handle", "via", "used")
+    return graph.expansion_targets(leads, seeds.join(held, "handle", "left_semi"), edges, budget=40).select("handle", "via", "used")
 
 
 @query("sig1_signal_report", with_sql(["profiles", "post_refs"], """

@@ -123,10 +123,17 @@ def is_strong_term(term: Column) -> Column:
                            | term.contains("-") | (F.length(term) >= 4))
 
 
+def bind(value: Column, test) -> Column:
+    """Boolean test of a value that is expensive to compute: evaluated once even when a filter holding
+    it is pushed below the projection that made it."""
+    return F.exists(F.array(value), test)
+
+
 def index_term_match(term: Column, text: Column) -> Column:
     """Short plain words match whole words, everything else is a substring match."""
     whole = F.rlike(text, F.concat(F.lit(NOT_WORD_BEFORE), term, F.lit(NOT_WORD_AFTER)))
-    return F.when(is_boundary_term(term), whole).otherwise(F.contains(text, term))
+    # Only rows holding the characters at all need the whole-word pattern.
+    return F.when(~F.contains(text, term), F.lit(False)).when(is_boundary_term(term), whole).otherwise(F.lit(True))
 
 
 def wants_word_boundary(term: Column) -> Column:
@@ -139,7 +146,9 @@ def context_term_match(term, context: Column) -> Column:
     haystack = F.lower(context)
     pattern = F.concat(F.lit(NOT_WORD_BEFORE), F.regexp_replace(escape_regex(needle), r"\s+", r"\\s+"),
                        F.lit(NOT_WORD_AFTER))
-    return F.when(needle == "", F.lit(False)).when(
+    # A match needs the first word of the term somewhere; testing that first keeps the per-row pattern for the few hits.
+    possible = F.contains(haystack, F.substring_index(needle, " ", 1))
+    return F.when((needle == "") | ~possible, F.lit(False)).when(
         wants_word_boundary(needle), F.rlike(haystack, pattern)).otherwise(F.contains(haystack, needle))
 
 

@@ -57,6 +57,15 @@ def distinct_values(df: DataFrame, keys, value, out: str) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias(out))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy per-row work enough tasks when the input has fewer splits than the cluster has cores.
+
+    Inputs with enough splits, which is the normal case at scale, are returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def latest_wins(existing: DataFrame, incoming: DataFrame, keys, order) -> DataFrame:
     """Keyed merge: per key the newest incoming row, plus untouched existing rows."""
     fresh = best_row(incoming, keys, order if isinstance(order, Column) else F.col(order))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions.arrays import overlaps
-from ..functions.text import (context_term_match, index_term_match, is_strong_term, normalize_search_text, trim_ws)
+from ..functions.text import (bind, context_term_match, index_term_match, is_strong_term, normalize_search_text, trim_ws)
 
 
 def searchable(df: DataFrame) -> DataFrame:
@@ -54,20 +54,23 @@ def usable_must_haves(terms: Column, limit: int = 20) -> Column:
 def must_have_predicate(terms, normalized_text: str) -> Column:
     """ALL terms have to match the normalised text."""
     array = terms if isinstance(terms, Column) else F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    return F.forall(usable_must_haves(array), lambda t: index_term_match(t, F.col(normalized_text)))
+    usable = usable_must_haves(array)
+    return bind(F.col(normalized_text), lambda text: F.forall(usable, lambda t: index_term_match(t, text)))
 
 
 def any_term_predicate(terms, normalized_text: str, limit: int = 12) -> Column:
     array = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
     usable = F.filter(F.transform(F.array_distinct(F.transform(array, lambda t: F.lower(trim_ws(t)))),
                                   lambda t: normalize_search_text(t)), is_strong_term)
-    return F.exists(F.slice(usable, 1, limit), lambda t: index_term_match(t, F.col(normalized_text)))
+    kept = F.slice(usable, 1, limit)
+    return bind(F.col(normalized_text), lambda text: F.exists(kept, lambda t: index_term_match(t, text)))
 
 
 def failed_filters(context: Column, must: Column, exclude: Column, source_bias: Column, facet_source: Column) -> Column:
     """Names of the state filters a row fails. Sources are compared in normalised form."""
-    missing = ~F.forall(must, lambda t: context_term_match(t, context))
-    excluded = F.exists(exclude, lambda t: context_term_match(t, context))
+    low = F.lower(context)
+    missing = ~bind(low, lambda text: F.forall(must, lambda t: context_term_match(t, text)))
+    excluded = bind(low, lambda text: F.exists(exclude, lambda t: context_term_match(t, text)))
     wrong = source_bias.isNotNull() & ~F.array_contains(F.transform(facet_source, F.lower), source_bias)
     return F.array_compact(F.array(F.when(missing, F.lit("must_have")), F.when(excluded, F.lit("exclude")),
                                    F.when(wrong, F.lit("source_bias"))))

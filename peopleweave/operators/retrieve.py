@@ -88,9 +88,12 @@ def prepare_rows(docs: DataFrame, chunk_rows: list, vectors: bool = False) -> Da
     def terms(*names):
         return sorted({t for r in chunk_rows for n in names for t in r[n]})
 
-    phrases = [t for t in terms("skill_terms", "lead_terms", "open_terms", "must_phrases") if not _is_word(t)]
+    scored = not vectors  # a vector scan reads the text only when some query has must-have terms
+    tested = scored or bool(terms("must_words", "must_phrases"))
+    used = ["must_phrases"] + (["skill_terms", "lead_terms", "open_terms"] if scored else [])
+    phrases = [t for t in terms(*used) if not _is_word(t)]
     places = terms("want_places")
-    df = docs.withColumn("_norm", normalize_index_text("doc_text"))
+    df = docs.withColumn("_norm", normalize_index_text("doc_text") if tested else F.lit(""))
     norm = F.col("_norm")
     place_text = F.lower(F.array_join(F.concat(or_empty("facet_location"), single("location")), "\n"))
     columns = [
