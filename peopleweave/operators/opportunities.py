@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .. import vocab as V
 from ..config import DEFAULT, OpportunityConfig
@@ -56,11 +57,14 @@ def score_opportunities(viewers: DataFrame, candidates: DataFrame, state: DataFr
                         directions=V.DIRECTIONS) -> DataFrame:
     """Every viewer against the daily pool.
 
-    The pool holds at most ``cfg.pool_keep`` persons (see ``candidate_pool``): with that proven bound it is
-    broadcast, viewers stay where they are, and each gets pool_keep rows.
+    The pool holds at most ``cfg.pool_keep`` persons (see ``candidate_pool``). With that bound it becomes one
+    array constant that every viewer row explodes: no join, no shuffle of viewers, pool_keep rows each.
     """
-    pool = F.broadcast(candidates.limit(cfg.pool_keep).withColumn("_b", F.lit(1)))
-    j = viewers.withColumn("_b", F.lit(1)).join(pool, "_b").drop("_b").join(state, ["viewer_id", "person_id"], "left")
+    pool = candidates.limit(cfg.pool_keep)
+    packed = pool.agg(F.to_json(F.collect_list(F.struct(*pool.columns))).alias("j")).first()["j"]
+    members = F.from_json(F.lit(packed), ArrayType(pool.schema))
+    j = viewers.select("*", F.explode(members).alias("_c")).select(*viewers.columns, "_c.*")
+    j = j.join(state, ["viewer_id", "person_id"], "left")
     score, overlap, negative = direction_match()
     j = j.withColumns({"overlap_tags": overlap, "negative_overlap": negative}).withColumn("direction", score)
     sources = or_empty("facet_source")
