@@ -40,8 +40,10 @@ def evidence_page(evidence: DataFrame, ids: DataFrame, limit: int = 50, offset:
 
 # --- files -------------------------------------------------------------------------------
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
+    # file_path is a URI: undo its escapes once to get the name on disk.
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return (spark.read.option("wholetext", True).text(path)
-            .select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"),
+            .select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("file"),
                     F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
@@ -57,10 +59,8 @@ def read_profile_dump(spark: SparkSession, dump_dir: str, index_path: str | None
         return parse_profile_files(scan_files(spark, f"{dump_dir}/profiles"))
     index = (spark.read.option("multiLine", True).schema("handle string, filePath string").json(index_path)
              .filter(blank_to_null("handle").isNotNull() & blank_to_null("filePath").isNotNull()))
-    files = scan_files(spark, f"{dump_dir}/profiles").withColumn("file_name", F.col("file"))
-    index = index.withColumn("file_name", F.url_encode(F.element_at(F.split("filePath", "/"), -1)))
-    files = files.withColumn("file_name", F.url_encode("file_name"))
-    return index.join(files, "file_name").select("handle", F.col("text").alias("raw_payload"))
+    index = index.withColumn("file", F.element_at(F.split("filePath", "/"), -1))
+    return index.join(scan_files(spark, f"{dump_dir}/profiles").select("file", "text"), "file").select("handle", F.col("text").alias("raw_payload"))
 
 
 FRIEND_SCHEMA = ("friend array<struct<profile_link:string,name:string,avatar:string,description:string,create_time:string>>,"

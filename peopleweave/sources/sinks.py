@@ -5,6 +5,9 @@ switch atomic, so a job that dies half way leaves the previous version in place
 """
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,21 +17,32 @@ from ..operators.common import best_row, insert_if_absent, latest_wins
 
 
 class VersionedTable:
-    """A Parquet table whose current version is named by the newest row of a pointer log."""
+    """A Parquet table whose current version is named by the highest row of a pointer log.
+
+    Every write goes to a folder of its own, so a version that is being read is never touched; the
+    pointer row is appended only after the data is complete. One writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _pointer(self) -> DataFrame | None:
+        try:
+            return self.spark.read.schema("version long, run_id string, path string, at timestamp").parquet(f"{self.root}/pointer")
+        except AnalysisException:
+            return None
+
     def write(self, df: DataFrame, run_id: str, at) -> None:
-        path = f"{self.root}/data/{run_id}"
-        df.write.mode("overwrite").parquet(path)
-        pointer = self.spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(path).alias("path"),
-                                             F.lit(at).cast("timestamp").alias("at"))
-        pointer.coalesce(1).write.mode("append").parquet(f"{self.root}/pointer")
+        pointer = self._pointer()
+        version = 1 if pointer is None else 1 + (pointer.agg(F.max("version")).first()[0] or 0)
+        path = f"{self.root}/data/{run_id}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        row = self.spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(run_id).alias("run_id"), F.lit(path).alias("path"),
+                                         F.lit(at).cast("timestamp").alias("at"))
+        row.coalesce(1).write.mode("append").parquet(f"{self.root}/pointer")
 
     def current(self) -> DataFrame:
-        newest = (self.spark.read.parquet(f"{self.root}/pointer").orderBy(F.desc("at"), F.desc("run_id"))
-                  .select("path").limit(1).first())
+        newest = self._pointer().orderBy(F.desc("version")).select("path").first()
         return self.spark.read.parquet(newest["path"])
 
 
