@@ -123,7 +123,7 @@ def evd8_errors(t: Tables):
 
 @query("evd9_page_connections", r"""
 SELECT DISTINCT page_id AS person_id, url, sha256(url) AS evidence_hash FROM (
-  SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a[^>]*href="(https?://[^"#\s]+)', 1)) AS url FROM pages)""")
+  SELECT page_id, unnest(list_transform(regexp_extract_all(html, '(?i)<a[^>]*href="((?:https?:/)?/[^"#\s]+)', 1), lambda x: CASE WHEN x LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || x ELSE x END)) AS url FROM pages)""")
 def evd9(t: Tables):
     return ev.page_connections(t.raw("pages").withColumn("person_id", F.col("page_id"))).select("person_id", "url", "evidence_hash")
 

@@ -55,10 +55,10 @@ def leads(t: Tables):
 
 
 @query("jn7_new_leads", r"""
-WITH a AS (SELECT page_id AS person_id, unnest(regexp_extract_all(html, '(?i)<a[^>]*href="(https?://[^"#\s]+)', 1)) AS url FROM pages)
-SELECT DISTINCT person_id, url FROM a WHERE url NOT IN (SELECT url FROM pages WHERE page_id < 100)""")
+WITH a AS (SELECT page_id AS person_id, unnest(list_transform(regexp_extract_all(html, '(?i)<a[^>]*href="((?:https?:/)?/[^"#\s]+)', 1), lambda x: CASE WHEN x LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || x ELSE x END)) AS url FROM pages)
+SELECT DISTINCT person_id, url FROM a WHERE url NOT IN (SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/the' FROM pages)""")
 def jn7(t: Tables):
-    known = t.raw("pages").filter("page_id < 100").select("url")
+    known = t.raw("pages").select(F.concat(F.regexp_extract("url", "^(https?://[^/?#]+)", 1), F.lit("/the")).alias("url"))
     return joins.new_leads(leads(t), known).select("person_id", "url")
 
 

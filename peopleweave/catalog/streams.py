@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..bindings import NOW, Tables, with_sql
-from ..operators.common import latest_wins
+from ..operators.common import newest_wins
 from ..sources.sinks import VersionedTable
 from ..streaming import jobs
 from .aggregates import STATE
@@ -60,7 +60,7 @@ def str5(t: Tables):
                                      F.lit(-1).cast("long").alias("event_id"))
     table.write(start, "start", "1970-01-01 00:00:00")
     events = streamed(t).viewer_events().select("viewer_id", "kind", "ts", "event_id")
-    run = jobs.upsert_stream(events, table, lambda old, new: latest_wins(old, new, ["viewer_id"], F.struct("ts", "event_id")), NOW,
+    run = jobs.upsert_stream(events, table, lambda old, new: newest_wins(old, new, ["viewer_id"], F.struct("ts", "event_id")), NOW,
                              jobs.scratch_folder(t.spark, "state"))
     run.awaitTermination()
     return table.current().select("viewer_id", "kind")

@@ -73,6 +73,11 @@ def latest_wins(existing: DataFrame, incoming: DataFrame, keys, order) -> DataFr
     return kept.select(*existing.columns).unionByName(fresh.select(*existing.columns))
 
 
+def newest_wins(existing: DataFrame, incoming: DataFrame, keys, order) -> DataFrame:
+    """Keyed merge for data that may arrive out of order or twice: stored and incoming rows compete on ``order``."""
+    return best_row(existing.unionByName(incoming.select(*existing.columns)), keys, order if isinstance(order, Column) else F.col(order))
+
+
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, keys, order) -> DataFrame:
     """Rows to append: first incoming row per key whose key is not stored yet."""
     fresh = best_row(incoming, keys, order if isinstance(order, Column) else F.col(order), maximum=False)

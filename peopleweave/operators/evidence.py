@@ -144,8 +144,13 @@ def extract_all(persons: DataFrame, identities: DataFrame, stored: DataFrame):
 
 
 def page_connections(pages: DataFrame) -> DataFrame:
-    """Absolute links of crawled pages as 'discovered_connection' rows, one per (person, link)."""
-    links = F.regexp_extract_all("html", F.lit(r'(?i)<a[^>]*href="(https?://[^"#\s]+)'), F.lit(1))
-    rows = pages.select("person_id", F.explode(F.array_distinct(links)).alias("url")).distinct()
+    """Links of crawled pages (person_id, url, html) as 'discovered_connection' rows, one per (person, link).
+
+    A link that starts with '/' is completed with the origin of its page.
+    """
+    links = F.regexp_extract_all("html", F.lit(r'(?i)<a[^>]*href="((?:https?:/)?/[^"#\s]+)'), F.lit(1))
+    origin = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
+    rows = pages.select("person_id", origin.alias("origin"), F.explode(F.array_distinct(links)).alias("link"))
+    rows = rows.select("person_id", F.when(F.col("link").startswith("/"), F.concat("origin", "link")).otherwise(F.col("link")).alias("url")).distinct()
     return rows.select("person_id", F.lit(V.WEB_SOURCE).alias("source"), F.lit("social").alias("evidence_type"),
                        F.lit("discovered_connection").alias("title"), "url", F.sha2("url", 256).alias("evidence_hash"))

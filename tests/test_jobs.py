@@ -92,7 +92,7 @@ def test_stream_upsert_replay_is_harmless(spark, tables, tmp_path):
     table = sinks.VersionedTable(spark, str(tmp_path / "table"))
     table.write(rows.limit(0), "start", "1970-01-01")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    merge = lambda old, new: common.latest_wins(old, new, ["viewer_id"], F.struct("ts", "event_id", "kind"))
+    merge = lambda old, new: common.newest_wins(old, new, ["viewer_id"], F.struct("ts", "event_id", "kind"))
     for folder in ("c1", "c2"):  # the second run starts from nothing, as after a lost checkpoint
         jobs.upsert_stream(stream, table, merge, NOW, str(tmp_path / folder)).awaitTermination()
     got = {r["viewer_id"]: (r["ts"], r["event_id"], r["kind"]) for r in table.current().collect()}
