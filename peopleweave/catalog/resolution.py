@@ -235,9 +235,9 @@ def grf2(t: Tables):
 @query("grf3_fresh_seeds", with_sql(["post_refs"], """
 SELECT handle, least(occurrences, 5) + CASE WHEN fresh > 0 THEN 3 ELSE 0 END + CASE WHEN fresh > 1 THEN 1 ELSE 0 END + CASE WHEN name IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN contains(kinds, 'post_comment') THEN 2 ELSE 0 END
   + CASE WHEN contains(kinds, 'external_import') THEN 2 ELSE 0 END + CASE WHEN contains(kinds, 'category') THEN 1 ELSE 0 END + contains(handle || ' ' || lower(coalesce(name, '')), 'supp1')::INT + CASE WHEN length(kinds) >= 2 THEN 1 ELSE 0 END AS score
-FROM kept""", MERGED))
+FROM kept ORDER BY score DESC, occurrences DESC, fresh DESC, name IS NOT NULL DESC, length(kinds) DESC, handle LIMIT 50""", MERGED))
 def grf3(t: Tables):
-    return graph.fresh_seeds(seed_records(t), excluded(t), limit=1_000_000_000, keywords=["supp1"], min_occurrences=5).select("handle", "score")
+    return graph.fresh_seeds(seed_records(t), excluded(t), limit=50, keywords=["supp1"], min_occurrences=5).select("handle", "score")
 
 
 @query("grf3_exclusion_counts", with_sql(["post_refs"], """
