@@ -1,9 +1,10 @@
 """Registered queries of the operators of this subpackage and, where SQL can express them, their SQL."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination
+from . import bpe, decontamination
 from .common import table
 
 QUERIES: dict = {}
@@ -42,3 +43,9 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op5_byte_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
