@@ -13,7 +13,7 @@ from ..session import ensure_checkpoint_dir
 
 SPARK_TYPES = {"long": (LongType(), pa.int64()), "int": (IntegerType(), pa.int32()), "double": (DoubleType(), pa.float64()),
                "string": (StringType(), pa.string()), "binary": (BinaryType(), pa.binary()), "boolean": (BooleanType(), pa.bool_()),
-               "longs": (ArrayType(LongType()), pa.list_(pa.int64())), "strings": (ArrayType(StringType()), pa.list_(pa.string()))}
+               "longs": (ArrayType(LongType()), pa.list_(pa.int64())), "binaries": (ArrayType(BinaryType()), pa.list_(pa.binary())), "strings": (ArrayType(StringType()), pa.list_(pa.string()))}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, sharding, simhash, token_files, toxicity
+from . import bpe, decontamination, sharding, simhash, suffix_tree, token_files, toxicity
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -75,3 +75,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=toxicity.learnable())
     scored = toxicity.score(docs, model, keep=["doc_id"])
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op7_suffix_tree")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = suffix_tree.score(docs, fold("doc_id", 7) != 2, keep=["doc_id"])
+    return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
