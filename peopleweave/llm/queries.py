@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, sharding, simhash, suffix_tree, token_files, toxicity
+from . import bpe, decontamination, permutation_index, sharding, simhash, suffix_tree, token_files, toxicity
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -82,3 +82,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = suffix_tree.score(docs, fold("doc_id", 7) != 2, keep=["doc_id"])
     return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op8_permutation_index")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 20)
