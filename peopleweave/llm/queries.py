@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, permutation_index, sharding, simhash, suffix_tree, token_files, toxicity
+from . import bpe, decontamination, permutation_index, sharding, simhash, suffix_tree, token_files, toxicity, warc
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -87,3 +87,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_permutation_index")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 20)
+
+
+@query("op9_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+d AS (SELECT h, first, unhex(sha1(h)) AS b FROM f)
+SELECT p.page_id, CAST(octet_length(encode(p.h)) AS BIGINT) AS payload_bytes,
+  (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(CAST(('0b' || substr(bits, 1 + 5 * i, 5)) AS INTEGER) AS INTEGER), 1), '' ORDER BY i) FROM (SELECT unnest(range(0, 32)) AS i)) AS payload_digest,
+  CASE WHEN p.page_id = d.first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN p.page_id = d.first THEN NULL ELSE d.first END AS refers_to
+FROM p JOIN (SELECT *, CAST(b AS BIT)::VARCHAR AS bits FROM d) d ON p.h = d.h""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
