@@ -240,6 +240,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     linked = found.select(F.col("child").alias("fp"), F.col("parent").alias("root")).unionByName(found.select(F.col("parent").alias("fp"), F.col("parent").alias("root")).distinct())
     lows = linked.join(values, "fp").groupBy("root").agg(F.min("low").alias("lowest"))
     classes = values.join(linked.join(lows, "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("component_fp"), F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("component_id"))
+    classes = stored(classes, "classes")   # read as a plain table, so that the join below can split a hot fingerprint
     return rows.drop("component_fp", "component_id").join(classes, "fp").select(*[c for c in rows.columns if c not in ("fp", "component_fp", "component_id")], "fp", "component_fp", "component_id")
 
 
