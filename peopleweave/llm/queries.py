@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, permutation_index, sharding, simhash, suffix_tree, token_files, toxicity, warc
+from . import bpe, decontamination, html_blocks, permutation_index, sharding, simhash, suffix_tree, token_files, toxicity, warc
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -98,3 +98,8 @@ SELECT p.page_id, CAST(octet_length(encode(p.h)) AS BIGINT) AS payload_bytes,
 FROM p JOIN (SELECT *, CAST(b AS BIT)::VARCHAR AS bits FROM d) d ON p.h = d.h""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_html_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
