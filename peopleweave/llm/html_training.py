@@ -27,4 +27,7 @@ PAGES = [
     [(0, '<div class="topbar">', 4, 2, "</div>"), (1, '<div class="post-body"><p>', 24, 0, "</p>"), (1, "<h2>", 4, 0, "</h2>"), (1, "<p>", 52, 1, "</p></div>"), (0, '<div class="tags">', 5, 5, "</div>"), (0, '<div class="widget"><p>', 33, 0, "</p></div>")],
     [(0, "<body><div>", 45, 0, "</div>"), (1, "<article><p>", 25, 0, "</p>"), (1, "<p>", 84, 2, "</p></article>"), (0, "<div>", 60, 0, "</div>"), (0, "<p>", 33, 0, "</p>")],
     [(0, "<body><p>", 24, 0, "</p>"), (0, "<p>", 70, 5, "</p>"), (1, "<main><h1>", 5, 0, "</h1>"), (1, "<div>", 40, 0, "</div></main>"), (0, "<div>", 90, 0, "</div>")],
+    [(0, "<body><nav><ul><li>", 1, 1, "</li></ul></nav>"), (1, "<article><h1>", 2, 0, "</h1>"), (1, "<p>", 1, 0, "</p>"), (1, "<p>", 3, 3, "</p>"), (1, "<p>", 2, 0, "</p></article>"), (0, "<p>", 10, 0, "</p>")],
+    [(0, "<body><nav>", 5, 5, "</nav>"), (1, "<main><h1>", 1, 0, "</h1>"), (1, "<p>", 6, 6, "</p>"), (1, "<ul><li>", 1, 1, "</li>"), (1, "<li>", 2, 2, "</li></ul></main>"), (0, "<div>", 3, 3, "</div>"), (0, "<div>", 2, 0, "</div>")],
+    [(0, "<body><div>", 3, 3, "</div>"), (1, "<article><h2>", 4, 0, "</h2>"), (1, "<p>", 2, 2, "</p>"), (1, "<pre>", 12, 0, "</pre>"), (0, '<div class="tags">', 3, 3, "</div></article>"), (0, "<div>", 7, 0, "</div>")],
 ]

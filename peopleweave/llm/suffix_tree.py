@@ -148,7 +148,7 @@ class SuffixTree:
             kinds, kept = np.bincount(context, minlength=size), np.bincount(context, n, size)
             gain = np.bincount(context, n * np.log(np.maximum(share, 1e-300) / lower), size)
             left, left_lower = np.maximum(total - kept, 0), np.maximum(1 - np.bincount(context, lower, size), 1e-12)
-            gain += np.where(left > 0, left * np.log(np.maximum(left / total, 1e-300) / left_lower), 0)
+            gain = gain + np.where(left > 0, left * np.log(np.maximum(left / total, 1e-300) / left_lower), 0)
             retained = (kinds > 0) & (gain > 0.5 * (1 + kinds) * np.log(total + 1))
             self.retained.append(retained)
             self.rest.append(np.where(retained, 1 - kept / (total + alpha), 1.0))
