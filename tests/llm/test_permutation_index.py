@@ -39,7 +39,7 @@ def test_small_tables_are_exact_with_odd_rows(spark):
 
 
 def test_copies_ties_and_many_blocks(spark):
-    rows = vectors(60) + [(1000 + i, [1.0, 0, 0, 0, 0, 0, 0, 0], "x") for i in range(90)] + [(i, [2.0, 0, 0, 0, 0, 0, 0, 0], "x") for i in (3001, 2000, 2020)]
+    rows = vectors(60) + [(1000 + i, [1.0] + [0.0] * 7, "x") for i in range(90)] + [(i, [2.0] + [0.0] * 7, "x") for i in (3001, 2000, 2020)]
     assert run(spark, rows, index_rows=16, query_rows=3) == brute(rows, 20)
 
 
