@@ -95,11 +95,24 @@ def evd7(t: Tables):
 def stored(t: Tables):
     a = t.raw_profiles().select(F.concat(F.lit("a"), F.col("row_id")).alias("profile_id"), F.lit("bonjour").alias("source"),
                                 F.when(F.col("row_id") % 50 == 7, "broken").otherwise(F.col("raw_payload")).alias("raw_payload"))
-    b = t.raw_code_profiles().select(F.concat(F.lit("b"), F.col("row_id")).alias("profile_id"), F.lit("github").alias("source"), "raw_payload")
+    # Every second code payload is wrapped with its repositories: one of its own and one of somebody else.
+    key = F.col("row_id").cast("string")
+    wrapped = F.concat(F.lit('{"profile":'), F.col("raw_payload"), F.lit(',"repositories":[{"id":1,"name":"own","owner":{"login":"SUPP'), key,
+                       F.lit('"}},{"id":2,"name":"other","owner":{"login":"else"}}]}'))
+    b = t.raw_code_profiles().select(F.concat(F.lit("b"), key).alias("profile_id"), F.lit("github").alias("source"),
+                                     F.when(F.col("row_id") % 2 == 0, wrapped).otherwise(F.col("raw_payload")).alias("raw_payload"))
     none = [F.lit(None).cast("string").alias(c) for c in ("headline", "bio", "handle", "url", "source_profile_id")]
     return a.unionByName(b).select("*", *none)
 
 
+def posts(t: Tables):
+    """Two posts of every fourth profile; the first one names a signal."""
+    p = F.from_json("raw_payload", "_id string")["_id"]
+    rows = t.raw_profiles().filter("row_id % 4 = 1").select(p.alias("source_profile_id"), F.explode(F.array(F.lit("We are hiring now"), F.lit("a walk"))).alias("content"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("type", "link", "create_time")]
+    return rows.select("*", F.xxhash64("content").alias("post_id"), F.lit(None).cast("array<string>").alias("categories"), *none)
+
+
 ACTIVE = "active AS (SELECT person_id, profile_id, c_custkey, c_acctbal, c_mktsegment FROM persons JOIN identities USING (person_id) JOIN customer ON c_custkey = person_id WHERE status = 'active')"
 
 
@@ -108,9 +121,11 @@ SELECT person_id, evidence_type, count(*) AS n FROM (
   SELECT person_id, unnest(['social', 'profile_field'] || CASE WHEN c_acctbal > 7000 THEN ['social'] ELSE [] END || CASE WHEN c_acctbal > 3000 THEN ['project'] ELSE [] END
     || CASE WHEN c_mktsegment = 'MACHINERY' THEN ['profile_field'] ELSE [] END) AS evidence_type FROM active WHERE profile_id LIKE 'a%' AND c_custkey % 50 <> 7
   UNION ALL SELECT person_id, unnest(['profile_field', 'profile_field'] || CASE WHEN s_acctbal > 2000 THEN ['profile_field'] ELSE [] END || CASE WHEN s_acctbal > 5000 THEN ['social'] ELSE [] END)
-    FROM active JOIN supplier ON profile_id = 'b' || s_suppkey) GROUP BY 1, 2""", ACTIVE))
+    FROM active JOIN supplier ON profile_id = 'b' || s_suppkey
+  UNION ALL SELECT person_id, 'repository' FROM active JOIN supplier ON profile_id = 'b' || s_suppkey WHERE s_suppkey % 2 = 0
+  UNION ALL SELECT person_id, 'job_signal' FROM active WHERE profile_id LIKE 'a%' AND c_custkey % 50 <> 7 AND c_custkey % 4 = 1) GROUP BY 1, 2""", ACTIVE))
 def evd8(t: Tables):
-    items, _ = ev.extract_all(t.persons(), t.identities(), stored(t))
+    items, _ = ev.extract_all(t.persons(), t.identities(), stored(t), posts(t))
     return items.groupBy("person_id", "evidence_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -174,27 +189,22 @@ def documents(t: Tables):
 
 
 @query("idx1_document_build", with_sql(NEED, """
-SELECT person_id, 0 AS segment, doc_text, facet_source, facet_location, coalesce(n, 0) AS evidence_count FROM doc_text LEFT JOIN loc USING (person_id) LEFT JOIN src USING (person_id)
+SELECT person_id, doc_text, facet_source, facet_location, coalesce(n, 0) AS evidence_count FROM doc_text LEFT JOIN loc USING (person_id) LEFT JOIN src USING (person_id)
 LEFT JOIN (SELECT person_id, count(*) AS n FROM evidence GROUP BY 1) USING (person_id)""", DOC_TEXT + ", " + FACETS))
 def idx1(t: Tables):
-    return documents(t).select("person_id", "segment", "doc_text", "facet_source", "facet_location",
+    return documents(t).select("person_id", "doc_text", "facet_source", "facet_location",
                                F.col("rank_features.evidence_count").alias("evidence_count"))
 
 
 @query("idx1_text_segments", with_sql(["persons", "evidence"], """
-SELECT person_id, CAST(ceil(count(*) / 10) AS INT) AS max_segments, sum(length(title) + length(description) + 1) AS n_chars FROM evidence GROUP BY 1"""))
+SELECT person_id, 1 AS n_rows, sum(length(title) + length(description) + 1) AS n_chars FROM evidence GROUP BY 1"""))
 def idx1_segments(t: Tables):
-    # Ten items per segment: the split form of the same texts, nothing lost.
-    rows = index.document_texts(t.persons(), t.evidence(), 10)
+    # Every person has one text row, which holds all evidence texts.
+    rows = index.document_texts(t.persons(), t.evidence())
     own = t.persons().select("person_id", F.length(F.concat_ws(" ", "name", "headline", "summary", "location")).alias("own"))
-    sizes = t.evidence().groupBy("person_id").agg(F.ceil(F.count(F.lit(1)) / 10).cast("int").alias("max_segments"), F.count(F.lit(1)).alias("n_items"))
-    total = rows.groupBy("person_id").agg(F.sum(F.length("doc_text")).alias("c"), F.count(F.lit(1)).alias("n_rows"), F.max("segment").alias("last"))
-    # Segment 0 always exists for the person's own words; it may hold no evidence, then no separator either.
-    used = t.evidence().join(sizes, "person_id").select("person_id", F.pmod(F.xxhash64("evidence_id"), "max_segments").alias("s")).distinct()
-    used = used.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_used"), F.max(F.col("s") == 0).alias("zero"))
-    j = total.join(own, "person_id").join(sizes, "person_id").join(used, "person_id")
-    joins = F.col("n_items") - F.col("n_used") + F.col("zero").cast("int")
-    return j.select("person_id", "max_segments", (F.col("c") - F.col("own") - joins).alias("n_chars"))
+    sizes = t.evidence().groupBy("person_id").agg(F.count(F.lit(1)).alias("n_items"))
+    total = rows.groupBy("person_id").agg(F.sum(F.length("doc_text")).alias("c"), F.count(F.lit(1)).cast("int").alias("n_rows"))
+    return total.join(own, "person_id").join(sizes, "person_id").select("person_id", "n_rows", (F.col("c") - F.col("own") - F.col("n_items")).alias("n_chars"))
 
 
 @query("idx2_role_labels", """
@@ -207,10 +217,15 @@ def idx2(t: Tables):
     return t.raw("part").select("p_partkey", index.role_labels(F.regexp_replace(seg, " / ", " ")).alias("roles"))
 
 
-@query("idx2_role_facets", with_sql(["persons", "evidence"], "SELECT person_id, ['工程师'] AS facet_role FROM persons WHERE headline = 'MACHINERY'"))
+@query("idx2_role_facets", with_sql(["persons", "evidence"], """
+SELECT person_id, CASE WHEN headline = 'MACHINERY' AND person_id % 5 = 0 THEN ['产品经理', '工程师'] WHEN headline = 'MACHINERY' THEN ['工程师'] ELSE ['产品经理'] END AS facet_role
+FROM persons WHERE headline = 'MACHINERY' OR person_id % 5 = 0"""))
 def idx2_facets(t: Tables):
     p = t.persons().withColumn("headline", F.when(F.col("headline") == "MACHINERY", "Software engineer @somewhere").otherwise(F.col("headline")))
-    return index.role_facets(p, t.evidence())
+    signals = t.persons().filter("person_id % 5 = 0").select("person_id", F.array(F.lit("Product Manager")).alias("role_signals"))
+    empty = [F.lit(None).cast("string").alias(c) for c in ("title", "description", "field")]
+    signals = signals.select("person_id", "role_signals", F.lit("profile_field").alias("evidence_type"), *empty)
+    return index.role_facets(p, t.evidence().select("person_id", "evidence_type", "title", "description", F.lit(None).cast("string").alias("field")).unionByName(signals, allowMissingColumns=True))
 
 
 @query("idx3_location_facet", with_sql(["persons", "evidence"], "SELECT person_id, facet_location FROM loc", """loc AS (SELECT person_id, list_sort(list_distinct([lower(location) || ' / 杭州市', lower(split_part(location, ' / ', 1)),

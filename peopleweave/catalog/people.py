@@ -442,9 +442,10 @@ def mem2(t: Tables):
 
 
 @query("mem3_hydration", with_sql(["memories"], f"""
-SELECT user_id, count_if(kind = 'preference' AND source = 'explicit') AS explicit, count_if(kind = 'preference' AND source = 'inferred') AS inferred, count_if(kind = 'feedback') AS feedback, count_if(kind = 'hiring_context') AS hiring FROM memories WHERE {LIVE} GROUP BY 1"""))
+SELECT user_id, count_if(kind = 'preference' AND source = 'explicit') AS explicit, count_if(kind = 'preference' AND source = 'inferred') AS inferred, count_if(kind = 'feedback') AS feedback, count_if(kind = 'hiring_context') AS hiring,
+  coalesce(string_agg(CAST(memory_id AS VARCHAR), ',' ORDER BY updated_at DESC, memory_id) FILTER (WHERE kind = 'feedback'), '') AS feedback_ids FROM memories WHERE {LIVE} GROUP BY 1 HAVING count_if(kind IN ('feedback', 'hiring_context') OR kind = 'preference' AND source IN ('explicit', 'inferred')) > 0"""))
 def mem3(t: Tables):
-    return memory.hydrate(t.memories(), MEM_NOW).select("user_id", *memory.GROUPS)
+    return memory.hydrate(t.memories(), MEM_NOW).select("user_id", *memory.GROUPS, F.array_join("feedback_ids", ",").alias("feedback_ids"))
 
 
 @query("mem4_inferred_preferences", with_sql(["feedback", "memories"], f"""

@@ -111,18 +111,18 @@ def composite(t: Tables):
 
 
 @query("tk4_rerank_orders", with_sql(["persons"], """
-SELECT 'fresh' AS mode, query_id, person_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(composite, 3) DESC, fresh DESC, evidence DESC, source DESC, match DESC, person_id) AS rank FROM scored) WHERE rank <= 20
-UNION ALL SELECT 'source', query_id, person_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(composite, 3) DESC, source DESC, fresh DESC, evidence DESC, match DESC, person_id) AS rank FROM scored) WHERE rank <= 20
-UNION ALL SELECT 'evidence', query_id, person_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(composite, 3) DESC, evidence DESC, fresh DESC, source DESC, match DESC, person_id) AS rank FROM scored) WHERE rank <= 20""", COMPOSITE))
+SELECT 'fresh' AS mode, query_id, person_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(composite, 3) DESC, fresh DESC, evidence DESC, source DESC, match DESC, person_id) AS rank FROM scored)
+UNION ALL SELECT 'source', query_id, person_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(composite, 3) DESC, source DESC, fresh DESC, evidence DESC, match DESC, person_id) AS rank FROM scored)
+UNION ALL SELECT 'evidence', query_id, person_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(composite, 3) DESC, evidence DESC, fresh DESC, source DESC, match DESC, person_id) AS rank FROM scored)""", COMPOSITE))
 def tk4(t: Tables):
     rows = composite(t)
-    parts = [win.rerank_order(rows, m, 20).select(F.lit(m).alias("mode"), "query_id", "person_id", "rank")
+    parts = [win.rerank_order(rows, m).select(F.lit(m).alias("mode"), "query_id", "person_id", "rank")
              for m in ("fresh", "source", "evidence")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("tk5_dimension_order", with_sql(["persons"], """
-SELECT query_id, person_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(tech, -1) DESC, person_id) AS rank FROM scored) WHERE rank <= 50""", COMPOSITE))
+SELECT query_id, person_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(tech, -1) DESC, person_id) AS rank FROM scored)""", COMPOSITE))
 def tk5(t: Tables):
     return win.dimension_order(composite(t), "tech").select("query_id", "person_id", "rank")
 

@@ -11,14 +11,15 @@ def as_cols(values) -> list[Column]:
     return [F.col(v) if isinstance(v, str) else v for v in values]
 
 
-def top_k(df: DataFrame, keys, order, k: int, rank: str = "rank") -> DataFrame:
-    """First ``k`` rows per key.
+def top_k(df: DataFrame, keys, order, k: int | None, rank: str = "rank") -> DataFrame:
+    """First ``k`` rows per key; None ranks all rows.
 
     ``row_number() <= k`` plans as WindowGroupLimit, which trims every task to k rows per key
     before the shuffle, so a key holding a third of all rows sends k rows per task, not its group.
     """
     window = Window.partitionBy(*as_cols(keys)).orderBy(*as_cols(order))
-    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(window))
+    return ranked if k is None else ranked.filter(F.col(rank) <= k)
 
 
 def best_row(df: DataFrame, keys, order: Column, maximum: bool = True) -> DataFrame:

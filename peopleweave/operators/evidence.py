@@ -32,7 +32,9 @@ def _rows(df: DataFrame, keep, **values: Column) -> DataFrame:
 
 
 def parsed_profiles(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("p", F.from_json("raw_payload", RAW_PROFILE_SCHEMA))
+    """The payload as ``p``; its id may be called ``_id`` or ``profile_id``."""
+    parsed = raw.withColumn("p", F.from_json("raw_payload", RAW_PROFILE_SCHEMA))
+    return parsed.withColumn("p", F.col("p").withField("_id", F.coalesce("p._id", F.get_json_object("raw_payload", "$.profile_id"))))
 
 
 def projects(parsed: DataFrame, keep=()) -> DataFrame:
@@ -121,24 +123,40 @@ def web_summaries(profiles: DataFrame, keep=()) -> DataFrame:
                  description=F.col("bio"), url=F.col("url"), evidence_hash=_hash(V.WEB_SOURCE, "summary", F.col("handle"), F.col("url")))
 
 
-def extract_all(persons: DataFrame, identities: DataFrame, stored: DataFrame):
+def code_payloads(raw: DataFrame) -> DataFrame:
+    """Code-source rows with ``raw_payload`` (the profile object), ``login`` and ``repositories``.
+
+    A stored payload wraps the profile as {profile, repositories}; a bare profile has no repositories.
+    """
+    profile = F.coalesce(F.get_json_object("raw_payload", "$.profile"), F.col("raw_payload"))
+    rows = raw.withColumns({"repositories": F.from_json(F.get_json_object("raw_payload", "$.repositories"), REPO), "raw_payload": profile})
+    return rows.withColumns({"code_id": F.get_json_object("raw_payload", "$.id"), "login": F.get_json_object("raw_payload", "$.login")})
+
+
+def extract_all(persons: DataFrame, identities: DataFrame, stored: DataFrame, posts: DataFrame | None = None):
     """Every active person's profiles -> (new evidence rows, error rows).
 
     stored: (profile_id, source, raw_payload, headline, bio, handle, url, source_profile_id). Profiles are
     dispatched by source; a payload that does not parse becomes an error row and stops nothing.
+    posts: community posts as ``job_signals`` takes them, of the profiles with their source_profile_id.
     """
     active = persons.filter("status = 'active'").select("person_id")
     linked = active.join(identities.select("person_id", "profile_id"), "person_id").join(stored, "profile_id")
     a = parsed_profiles(linked.filter(F.col("source") == V.PROFILE_SOURCE))
     a_ok = a.filter(F.col("p._id").isNotNull())
-    b = linked.filter(F.col("source") == V.CODE_SOURCE)
-    b_id = F.get_json_object("raw_payload", "$.id")
+    b = code_payloads(linked.filter(F.col("source") == V.CODE_SOURCE))
+    b_ok = b.filter("code_id IS NOT NULL")
     w = linked.filter(F.col("source") == V.WEB_SOURCE)
     keep = ["person_id", "profile_id"]
     items = (projects(a_ok, keep).unionByName(socials(a_ok, keep)).unionByName(profile_fields(a_ok, keep))
-             .unionByName(code_profile_fields(b.filter(b_id.isNotNull()), keep)).unionByName(web_summaries(w, keep)))
+             .unionByName(code_profile_fields(b_ok, keep)).unionByName(web_summaries(w, keep))
+             .unionByName(repositories(b_ok.select("person_id", F.col("profile_id").alias("stored_id"), F.col("code_id").alias("profile_id"), "login", "repositories"),
+                                       ["person_id", "stored_id"]).withColumnRenamed("stored_id", "profile_id")))
+    if posts is not None:
+        own = a_ok.select(*keep, F.col("p._id").alias("source_profile_id")).join(posts, "source_profile_id")
+        items = items.unionByName(job_signals(own, keep))
     errors = (a.filter(F.col("p._id").isNull()).select(*keep, F.lit("profile payload missing id").alias("message"))
-              .unionByName(b.filter(b_id.isNull()).select(*keep, F.lit("code payload missing profile object").alias("message"))))
+              .unionByName(b.filter("code_id IS NULL").select(*keep, F.lit("code payload missing profile object").alias("message"))))
     unique = best_row(items, ["person_id", "source", "evidence_hash"], F.struct("profile_id", "evidence_type"), maximum=False)
     return unique, errors
 

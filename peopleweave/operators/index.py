@@ -12,9 +12,6 @@ from .aggregates import rank_features
 from .common import distinct_values
 from .filters import is_noise_segment
 
-# A person with more evidence than this gets several text rows; nothing is dropped.
-SEGMENT_ITEMS = 5000
-
 
 def role_labels(segment: Column) -> Column:
     """Role labels of one segment; specific titles win over general ones."""
@@ -39,12 +36,15 @@ def role_labels(segment: Column) -> Column:
 
 
 def role_texts(persons: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Texts that may name a role. ``evidence`` may have ``role_signals``, the array that its metadata holds."""
     kind = F.col("evidence_type")
     own = persons.select("person_id", F.explode(F.array("headline", "summary")).alias("text"))
     fields = evidence.filter((kind == "profile_field") & F.col("field").isin(V.ROLE_FIELDS)).select(
         "person_id", F.col("description").alias("text"))
     work = evidence.filter(kind.isin("job_signal", "experience")).select(
         "person_id", F.explode(F.array("title", "description")).alias("text"))
+    if "role_signals" in evidence.columns:
+        fields = fields.unionByName(evidence.select("person_id", F.explode("role_signals").alias("text")))
     return own.unionByName(fields).unionByName(work).filter(F.col("text").isNotNull()).distinct()
 
 
@@ -99,39 +99,29 @@ def tag_facets(persons, evidence, hints, seeds, directions=V.DIRECTIONS, keyword
                            "facet_tags")
 
 
-def document_texts(persons: DataFrame, evidence: DataFrame, segment_items: int = SEGMENT_ITEMS) -> DataFrame:
-    """(person_id, segment, doc_text).
+def document_texts(persons: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(person_id, doc_text): one row per person, the evidence texts in the order of their ids.
 
-    Evidence text is gathered per (person, segment); the number of segments grows with the person's
-    evidence count and items are spread over them by hash, so the text built in one row is bounded
-    however much evidence a person has. Persons below the limit get the one usual document.
+    Persons are spread over the tasks by their id; a task holds the text of one person at a time, which is the row itself.
     """
-    sizes = evidence.groupBy("person_id").agg(F.ceil(F.count(F.lit(1)) / segment_items).cast("int").alias("n_segments"))
-    items = evidence.select("person_id", "evidence_id", F.concat_ws(" ", F.nullif("title", F.lit("")), F.nullif(
-        "description", F.lit(""))).alias("text")).filter("text <> ''").join(sizes, "person_id")
-    items = items.withColumn("segment", F.pmod(F.xxhash64("evidence_id"), F.col("n_segments")).cast("int"))
-    texts = items.groupBy("person_id", "segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.struct("evidence_id", "text"))), lambda x: x["text"]), " ").alias("body"))
-    own = persons.select("person_id", F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in (
-        "name", "headline", "summary", "location")]).alias("own"), F.lit(0).alias("segment"))
-    joined = own.join(texts, ["person_id", "segment"], "full_outer").join(persons.select("person_id"), "person_id", "left_semi")
-    joined = joined.withColumn("body_text", F.concat_ws(" ", F.nullif("own", F.lit("")), F.nullif("body", F.lit(""))))
+    texts = evidence.select("person_id", "evidence_id", F.concat_ws(" ", F.nullif("title", F.lit("")), F.nullif("description", F.lit(""))).alias("text")).filter("text <> ''")
+    texts = texts.groupBy("person_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("evidence_id", "text"))), lambda x: x["text"]), " ").alias("body"))
+    own = persons.select("person_id", F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("name", "headline", "summary", "location")]).alias("own"))
+    joined = own.join(texts, "person_id", "left").withColumn("body_text", F.concat_ws(" ", F.nullif("own", F.lit("")), F.nullif("body", F.lit(""))))
     terms = document_alias_terms("body_text")
-    return joined.select("person_id", "segment", F.concat_ws(" ", F.nullif("body_text", F.lit("")), F.nullif(
-        F.array_join(terms, " "), F.lit(""))).alias("doc_text"))
+    return joined.select("person_id", F.concat_ws(" ", F.nullif("body_text", F.lit("")), F.nullif(F.array_join(terms, " "), F.lit(""))).alias("doc_text"))
 
 
-def build_documents(persons, evidence, hints, seeds, evidence_places, now, directions=V.DIRECTIONS,
-                    segment_items: int = SEGMENT_ITEMS) -> DataFrame:
-    """The full search document: text rows with the person's facets and rank features."""
+def build_documents(persons, evidence, hints, seeds, evidence_places, now, directions=V.DIRECTIONS) -> DataFrame:
+    """The full search document, one row per person: text, facets and rank features."""
     facets = [role_facets(persons, evidence), location_facets(persons, evidence_places), source_facets(evidence, hints),
               tag_facets(persons, evidence, hints, seeds, directions)]
-    out = document_texts(persons, evidence, segment_items)
+    out = document_texts(persons, evidence)
     for facet in facets:
         out = out.join(facet, "person_id", "left")
     out = out.join(rank_features(persons, evidence, now), "person_id", "left")
     return out.select(
-        "person_id", "segment", "doc_text", *[or_empty(c).alias(c) for c in (
+        "person_id", "doc_text", *[or_empty(c).alias(c) for c in (
             "facet_role", "facet_location", "facet_source", "facet_tags")],
         F.struct("evidence_count", "project_count", "repo_count", "follower_count", "freshness").alias("rank_features"),
         F.lit(now).cast("timestamp").alias("updated_at"))

@@ -37,15 +37,16 @@ def purge_expired(memories: DataFrame, now) -> DataFrame:
     return memories.filter(F.col("expires_at").isNull() | (F.col("expires_at") >= at(now)))
 
 
-def hydrate(memories: DataFrame, now) -> DataFrame:
-    """Live memories split in four groups per user, as sizes and the newest ids of each.
+def hydrate(memories: DataFrame, now, heads: int | None = None) -> DataFrame:
+    """Live memories split in four groups per user, as sizes and the ids of each, newest first; ``heads`` keeps so many.
 
-    The full groups are the rows of ``group`` on ``grouped_memories``; one row per user holds only heads.
+    A row holds the ids of one user. For users with more memories than a row should hold, take the long form,
+    ``grouped_memories``, or set ``heads``.
     """
     g = grouped_memories(memories, now)
     counts = g.groupBy("user_id").agg(*[F.count_if(F.col("memory_group") == n).alias(n) for n in GROUPS])
-    heads = top_k(g, ["user_id", "memory_group"], [F.desc("updated_at"), "memory_id"], 20, "slot")
-    lists = heads.groupBy("user_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(
+    ranked = top_k(g, ["user_id", "memory_group"], [F.desc("updated_at"), "memory_id"], heads, "slot")
+    lists = ranked.groupBy("user_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(
         F.col("memory_group") == n, F.struct("slot", "memory_id")))), lambda x: x["memory_id"]).alias(f"{n}_ids") for n in GROUPS])
     return counts.join(lists, "user_id")
 

@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from .. import vocab as V
 from ..config import DEFAULT, OpportunityConfig
@@ -53,17 +52,19 @@ def direction_match() -> tuple[Column, Column, Column]:
     return clamp01(per_tag + weak + sure - F.col("negative_overlap") * F.lit(0.25)), overlap, negative
 
 
+VIEWER_PARTS = 64
+
+
 def score_opportunities(viewers: DataFrame, candidates: DataFrame, state: DataFrame, cfg: OpportunityConfig = DEFAULT.opportunity,
                         directions=V.DIRECTIONS) -> DataFrame:
-    """Every viewer against the daily pool.
+    """Every viewer against every candidate of the daily pool, which ``candidate_pool`` has cut to ``cfg.pool_keep`` persons.
 
-    The pool holds at most ``cfg.pool_keep`` persons (see ``candidate_pool``). With that bound it becomes one
-    array constant that every viewer row explodes: no join, no shuffle of viewers, pool_keep rows each.
+    Viewers are dealt into ``VIEWER_PARTS`` parts by hash and each part meets a copy of the pool in an equi-join, so nothing passes the driver
+    and candidates beyond the usual number are scored as well.
     """
-    pool = candidates.limit(cfg.pool_keep)
-    packed = pool.agg(F.to_json(F.collect_list(F.struct(*pool.columns))).alias("j")).first()["j"]
-    members = F.from_json(F.lit(packed), ArrayType(pool.schema))
-    j = viewers.select("*", F.explode(members).alias("_c")).select(*viewers.columns, "_c.*")
+    dealt = viewers.withColumn("_part", F.pmod(F.xxhash64("viewer_id"), F.lit(VIEWER_PARTS)).cast("int"))
+    copies = candidates.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(VIEWER_PARTS - 1))))
+    j = dealt.join(copies, "_part").drop("_part")
     j = j.join(state, ["viewer_id", "person_id"], "left")
     score, overlap, negative = direction_match()
     j = j.withColumns({"overlap_tags": overlap, "negative_overlap": negative}).withColumn("direction", score)

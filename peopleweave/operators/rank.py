@@ -145,8 +145,8 @@ def match_reasons(cfg: RankConfig = DEFAULT.rank) -> Column:
 
 
 def rerank(hits: DataFrame, intents: DataFrame, docs: DataFrame, evidence: DataFrame, cfg: RankConfig = DEFAULT.rank,
-           pair_scores: DataFrame | None = None, limit: int = 50) -> DataFrame:
-    """Ranked hits with scores and reasons."""
+           pair_scores: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Ranked hits with scores and reasons; all of them unless ``limit`` says how many."""
     scored = score_hits(hits, intents, docs, evidence, cfg, pair_scores)
     texts = scored.withColumn("_text", normalize_search_text(snippet("doc_text")))
     out = texts.withColumn("match_reasons", match_reasons(cfg))

@@ -184,7 +184,7 @@ def keyword_hits(prepared: DataFrame, docs: DataFrame, cfg: RetrievalConfig = DE
     """Top rows per query by the unclamped sum of trigram similarity and boosts, with the flags that fired.
 
     A row is a candidate when any signal fires and all filters of the query hold. Only active persons count.
-    Several text rows of one person (see ``index.document_texts``) are reduced to the best one.
+    ``docs`` has one row per person.
     """
     q_type, id_type = _types(prepared, docs)
     active, parts = docs.filter("status = 'active'"), []
@@ -214,7 +214,7 @@ def _vector_scorer(rows):
         scale = np.linalg.norm(data, axis=1)[:, None] * norms[None, :]
         sim = np.divide(data @ matrix.T, scale, out=np.zeros((len(data), len(matrix))), where=scale > 0)
         keep = filters.mask(batch) & ok[:, None]
-        return np.where(keep, np.round(sim, 9), -np.inf), []
+        return np.where(keep, np.round(sim, 9), -np.inf), [sim]
 
     return 64, score
 
@@ -228,7 +228,7 @@ def vector_hits(prepared: DataFrame, vectors: DataFrame, docs: DataFrame, embedd
                 cfg: RetrievalConfig = DEFAULT.retrieval) -> DataFrame:
     """Exact cosine top-k under the same filters; queries without a vector give no rows.
 
-    Rows are ordered by the similarity to nine decimals so equal vectors tie and the id decides.
+    Rows are ordered by the similarity to nine decimals so equal vectors tie and the id decides; the score itself is not rounded.
     """
     q = prepared.join(vectors.select("query_id", F.col("embedding")).filter(F.size("embedding") > 0), "query_id")
     q_type, id_type = _types(prepared, docs)
@@ -239,12 +239,12 @@ def vector_hits(prepared: DataFrame, vectors: DataFrame, docs: DataFrame, embedd
         for r in rows:
             by_size.setdefault(len(r["embedding"]), []).append(r)
         for same in by_size.values():
-            parts.append(scan_top_k(prepare_rows(rows_in, same, vectors=True), [same], _vector_scorer, cfg.limit, {},
+            parts.append(scan_top_k(prepare_rows(rows_in, same, vectors=True), [same], _vector_scorer, cfg.limit, {"sim": "double"},
                                     q_type, id_type))
     hits = _final(parts, cfg.limit)
     if hits is None:
         return _empty(prepared, docs, "vector_score double, rank int")
-    return hits.select("query_id", "person_id", clamp01(F.col("rank_score")).alias("vector_score"), "rank")
+    return hits.select("query_id", "person_id", clamp01(F.col("sim")).alias("vector_score"), "rank")
 
 
 def blend_weights(prepared: DataFrame, cfg: RetrievalConfig = DEFAULT.retrieval) -> DataFrame:

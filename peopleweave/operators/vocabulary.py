@@ -4,17 +4,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL_VOCABULARY = 5000
-
-
-def vocabulary_dict(table: DataFrame, limit: int = SMALL_VOCABULARY) -> dict[str, list[str]]:
-    """(canonical, pattern) rows -> dict for the column operators. Refuses tables above the limit; use
-    ``table_hits`` for those."""
-    rows = table.select("canonical", "pattern").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"vocabulary above {limit} rows; use table_hits")
+def vocabulary_dict(table: DataFrame) -> dict[str, list[str]]:
+    """(canonical, pattern) rows -> dict for the column operators, which put the patterns into the plan. For a vocabulary that
+    stays a table, of any size, use ``table_hits``."""
     out: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["canonical"], r["pattern"])):
+    for r in sorted(table.select("canonical", "pattern").distinct().collect(), key=lambda r: (r["canonical"], r["pattern"])):
         out.setdefault(r["canonical"], []).append(r["pattern"])
     return out
 
@@ -23,8 +17,8 @@ def table_hits(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(row_id, text) x (canonical, pattern) -> distinct (row_id, canonical) of patterns occurring in the text.
 
     Any vocabulary size: a pattern meets a text through its first three characters (patterns shorter than
-    that through all of them), each distinct piece of a text once, and is then checked in full. The texts are
-    not shuffled when the vocabulary is small enough to broadcast.
+    that through all of them), each distinct piece of a text once. Only row ids and pieces are joined; the candidates of a row
+    then meet its text once and are checked in full.
     """
     v = vocabulary.select("canonical", F.lower("pattern").alias("pattern")).filter("pattern <> ''").distinct().withColumn(
         "piece", F.substring("pattern", 1, 3))
@@ -32,5 +26,5 @@ def table_hits(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     low = texts.select("row_id", F.lower("text").alias("text"))
     pieces = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
                                                   for n in sizes]))) if sizes else F.array().cast("array<string>")
-    met = low.select("row_id", "text", F.explode(pieces).alias("piece")).join(v, "piece")
-    return met.filter(F.contains("text", F.col("pattern"))).select("row_id", "canonical").distinct()
+    met = low.select("row_id", F.explode(pieces).alias("piece")).join(v, "piece").select("row_id", "canonical", "pattern").distinct()
+    return met.join(low, "row_id").filter(F.contains("text", F.col("pattern"))).select("row_id", "canonical").distinct()

@@ -95,7 +95,7 @@ def same_name_groups(candidates: DataFrame) -> DataFrame:
     return named.join(sizes.filter("group_size > 1"), ["query_id", "name_norm"])
 
 
-def rerank_order(scored: DataFrame, mode: str, n: int = 50) -> DataFrame:
+def rerank_order(scored: DataFrame, mode: str, n: int | None = None) -> DataFrame:
     """fresh / source / evidence order: composite to three decimals, then the signals in mode order.
 
     The pairwise 0.001 tolerance of the interactive sort is not transitive; rounding to 0.001 gives
@@ -106,7 +106,7 @@ def rerank_order(scored: DataFrame, mode: str, n: int = 50) -> DataFrame:
     return top_k(scored, ["query_id"], [F.desc(F.round("composite", 3)), *[F.desc(c) for c in order], "person_id"], n)
 
 
-def dimension_order(scored: DataFrame, dimension: str, n: int = 50) -> DataFrame:
+def dimension_order(scored: DataFrame, dimension: str, n: int | None = None) -> DataFrame:
     return top_k(scored, ["query_id"], [F.desc(F.coalesce(F.col(dimension), F.lit(-1.0))), "person_id"], n)
 
 

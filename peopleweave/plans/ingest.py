@@ -32,9 +32,10 @@ def resolve_people(stored: DataFrame, identities: DataFrame, opt_outs: DataFrame
     return {**out, "links": identity.new_links(out, cfg.identity)}
 
 
-def collect_evidence(persons: DataFrame, identities: DataFrame, stored: DataFrame, existing: DataFrame, opt_outs: DataFrame, now):
-    """New evidence of active persons (to append) and the payloads that could not be read."""
-    items, errors = ev.extract_all(persons, identities, visible_profiles(stored, opt_outs))
+def collect_evidence(persons: DataFrame, identities: DataFrame, stored: DataFrame, existing: DataFrame, opt_outs: DataFrame, now,
+                     posts: DataFrame | None = None):
+    """New evidence of active persons (to append), with the job signals of their posts, and the payloads that could not be read."""
+    items, errors = ev.extract_all(persons, identities, visible_profiles(stored, opt_outs), posts)
     rows = items.withColumns({"evidence_id": F.sha2(F.concat_ws("|", F.col("person_id").cast("string"), "source", "evidence_hash"), 256),
                               "created_at": F.lit(now).cast("timestamp")})
     return append_new_evidence(existing, rows), errors
