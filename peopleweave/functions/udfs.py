@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,13 +27,18 @@ def nfkc_udf():
 
 def hashed_embedder(dimension: int = 64) -> Callable[[list[str]], np.ndarray]:
     """Default embedder: signed hashed character trigrams, unit length, zero rows for blank text."""
+    @lru_cache(1 << 16)
+    def cell(gram: str) -> tuple[int, float]:
+        h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "little")
+        return h % dimension, 1.0 if h >> 63 else -1.0
+
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimension), dtype=np.float32)
         for i, text in enumerate(texts):
             padded = f"  {text.lower()} "
             for j in range(len(padded) - 2):
-                h = int.from_bytes(hashlib.blake2b(padded[j:j + 3].encode(), digest_size=8).digest(), "little")
-                out[i, h % dimension] += 1.0 if h >> 63 else -1.0
+                at, sign = cell(padded[j:j + 3])
+                out[i, at] += sign
             norm = np.linalg.norm(out[i])
             if norm:
                 out[i] /= norm
@@ -94,41 +100,17 @@ def score_pairs(pairs: DataFrame, make_scorer: Callable[[], Callable] = overlap_
 
 def register_sql(spark: SparkSession) -> None:
     """Names for SQL users: scalar nfkc(text), table functions text_trigrams(text) and profile_evidence(json)."""
-    from pyspark.sql.functions import udtf
-
     spark.udf.register("nfkc", nfkc_udf())
-
-    @udtf(returnType="trigram: string")
-    class TextTrigrams:
-        def eval(self, text: str):
-            import re
-            seen = set()
-            for word in re.findall(r"[^\W_]+", (text or "").lower()):
-                padded = f"  {word} "
-                for i in range(len(padded) - 2):
-                    gram = padded[i:i + 3]
-                    if gram not in seen:
-                        seen.add(gram)
-                        yield (gram,)
-
-    @udtf(returnType="evidence_type: string, title: string, description: string")
-    class ProfileEvidence:
-        def eval(self, payload: str):
-            import json
-            try:
-                p = json.loads(payload or "{}")
-            except ValueError:
-                return
-            for c in p.get("creations") or []:
-                if c.get("url") or c.get("title"):
-                    yield "project", (c.get("title") or "").strip() or None, (c.get("description") or "").strip() or None
-            for s in p.get("socials") or []:
-                if (s.get("content") or "").strip():
-                    yield "social", s.get("type"), s["content"].strip()
-            info = p.get("basicInfo") or {}
-            for title, key in (("Current Doing", "current_doing"), ("Role", "role"), ("Skill", "skill")):
-                if (info.get(key) or "").strip():
-                    yield "profile_field", title, info[key].strip()
-
-    spark.udtf.register("text_trigrams", TextTrigrams)
-    spark.udtf.register("profile_evidence", ProfileEvidence)
+    # Both are SQL functions, so their expressions become part of the caller's plan.
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION text_trigrams(value STRING) RETURNS TABLE(trigram STRING) RETURN
+        SELECT explode(array_distinct(flatten(transform(regexp_extract_all(lower(coalesce(value, '')), '([\\\\p{L}\\\\p{N}]+)', 1),
+            w -> transform(sequence(1, length(w) + 1), i -> substring(concat('  ', w, ' '), i, 3)))))) AS trigram""")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION profile_evidence(payload STRING) RETURNS TABLE(evidence_type STRING, title STRING, description STRING) RETURN
+        SELECT r.evidence_type, r.title, r.description FROM (SELECT explode(concat(
+            transform(filter(coalesce(p.creations, array()), c -> coalesce(c.url, '') <> '' OR coalesce(c.title, '') <> ''),
+                c -> named_struct('evidence_type', 'project', 'title', nullif(trim(c.title), ''), 'description', nullif(trim(c.description), ''))),
+            transform(filter(coalesce(p.socials, array()), s -> trim(coalesce(s.content, '')) <> ''),
+                s -> named_struct('evidence_type', 'social', 'title', s.type, 'description', trim(s.content))),
+            transform(filter(array(named_struct('t', 'Current Doing', 'v', p.basicInfo.current_doing), named_struct('t', 'Role', 'v', p.basicInfo.role), named_struct('t', 'Skill', 'v', p.basicInfo.skill)),
+                f -> trim(coalesce(f.v, '')) <> ''), f -> named_struct('evidence_type', 'profile_field', 'title', f.t, 'description', trim(f.v))))) AS r
+          FROM (SELECT from_json(payload, 'creations ARRAY<STRUCT<url: STRING, title: STRING, description: STRING>>, socials ARRAY<STRUCT<type: STRING, content: STRING>>, basicInfo STRUCT<current_doing: STRING, role: STRING, skill: STRING>') AS p))""")

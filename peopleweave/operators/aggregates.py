@@ -1,13 +1,13 @@
 """Aggregations. All are partial + final groupBys, so a hot key is combined map-side before the shuffle."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions.dates import at, age_days, first_timestamp
 from ..functions.text import blank_to_null, trim_ws
-from .common import positions, top_k
+from .common import top_k
 
 FEEDBACK_KINDS = ["interested", "not_interested", "contacted", "revisit"]
 INTERACTION_KINDS = ["detail_view", "repeat_view", "evidence_expand", "dwell"]
@@ -215,12 +215,15 @@ def bucket_counts(listed: DataFrame) -> DataFrame:
 
 # --- ranked lists ------------------------------------------------------------------------------
 def exact_median(df: DataFrame, keys, value: str, out: str = "median") -> DataFrame:
-    """Exact median without gathering a group: rows are numbered skew-safely and the middle ones averaged."""
+    """Exact median without gathering a group: equal values are counted before the shuffle, and running counts find the middle."""
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    numbered = positions(df.select(*keys, value), keys, [value], "_pos").join(sizes, keys)
-    middle = numbered.filter((F.col("_pos") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_pos") == F.floor(F.col("_n") / 2) + 1))
-    return middle.groupBy(*keys).agg(F.avg(value).alias(out))
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    rows = counts.withColumn("_upto", upto).join(sizes, keys)
+    middle = F.array(F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1)
+    hits = rows.select(*keys, value, "_c", "_upto", F.explode(middle).alias("_at")).filter("_at <= _upto AND _at > _upto - _c")
+    return hits.groupBy(*keys).agg(F.avg(value).alias(out))
 
 
 def score_distribution(hits: DataFrame, bounded: bool = False) -> DataFrame:

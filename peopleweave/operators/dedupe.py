@@ -8,7 +8,7 @@ from ..functions.similarity import name_key
 from ..functions.text import trim_ws
 from ..session import cut_lineage
 from .common import best_row
-from .identity import name_substrings
+from .identity import head_piece, text_pieces
 from .windows import component_winners
 
 # Host prefixes and handle patterns of the strong alias types.
@@ -57,9 +57,9 @@ def alias_edges(aliases: DataFrame, persons: DataFrame) -> DataFrame:
     names = rows.filter(F.coalesce("name", F.lit("")) != "").groupBy("alias_key", "name").agg(F.min("person_id").alias("head"))
     several = names.groupBy("alias_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("alias_key")
     names = names.join(several, "alias_key", "left_semi")
-    parts = names.select("alias_key", F.col("head").alias("src"), F.col("name").alias("outer"), F.explode(
-        name_substrings(F.col("name"))).alias("name")).filter("name <> outer")
-    inside = parts.join(names.select("alias_key", "name", F.col("head").alias("dst")), ["alias_key", "name"]).select("src", "dst")
+    parts = names.select("alias_key", F.col("head").alias("src"), F.col("name").alias("outer"), F.explode(text_pieces(F.col("name"))).alias("piece"))
+    held = names.select("alias_key", "name", F.col("head").alias("dst"), head_piece(F.col("name")).alias("piece"))
+    inside = parts.join(held, ["alias_key", "piece"]).filter(F.contains("outer", F.col("name")) & (F.col("outer") != F.col("name"))).select("src", "dst")
     return star("place").unionByName(star("name_key")).unionByName(inside.filter("src <> dst")).distinct()
 
 

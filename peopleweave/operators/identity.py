@@ -37,20 +37,24 @@ def pair_score(a: str = "a", b: str = "b") -> tuple[Column, Column]:
     return F.least(F.lit(1.0), n + loc + c), reasons
 
 
-def name_substrings(name: Column) -> Column:
-    """Every substring of at least two characters."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(2), F.greatest(F.length(name) - i + 1, F.lit(2))), lambda n: F.substring(name, i, n)))))
+def text_pieces(text: Column) -> Column:
+    """Distinct substrings of one, two and three characters, and the empty one: three per character of the text."""
+    n = F.length(text)
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i, k=k: F.substring(text, i, k)) for k in (1, 2, 3)]))
+
+
+def head_piece(text: Column) -> Column:
+    """The piece that every text containing ``text`` has as well: its first three characters."""
+    return F.substring(text, 1, 3)
 
 
 def signature_pairs(left: DataFrame, right: DataFrame, cfg: IdentityConfig = DEFAULT.identity) -> DataFrame:
     """Signature pairs reaching the review line, without a cross product and without losing any.
 
-    Location and company give at most .5, so a pair below the .7 line without a name signal is
-    impossible. Equal names (spaces ignored) meet on the name key together with what the rest of the
-    score must come from: a shared place word or a company signal; a contained name (.25) needs the
-    equal location and the company signal, so it meets on location and the contained text.
+    Location and company give at most .5, so a pair above the .7 line has a name signal. Equal names (.5, or .4 with other
+    spaces) need .2 more, which a shared role keyword (.1) alone is not: they meet on the name key with a shared place word, or with a
+    piece of an organisation that the other's text contains. A contained name (.25) needs the equal location, so it
+    meets on the location with a piece of the contained name. What meets is scored in full.
     """
     def distinct(df):
         return df.select("sig", *FEATURES).dropDuplicates(["sig"])
@@ -60,17 +64,24 @@ def signature_pairs(left: DataFrame, right: DataFrame, cfg: IdentityConfig = DEF
     def keyed(df):
         place = F.transform(F.filter(F.split(F.lower(trim_ws(F.coalesce("location", F.lit("")))), r"\s*[,/]\s*|\s+"), lambda t: t != ""),
                             lambda t: F.concat(F.lit("p:"), t))
-        whole = F.when(F.coalesce("location", F.lit("")) != "", F.array(F.concat(F.lit("l:"), F.lower(trim_ws("location"))))).otherwise(
-            F.array().cast("array<string>"))
-        # A company signal is possible only with some words on either side; those rows meet on one extra key.
-        extra = F.when(F.size("companies") > 0, F.array(F.lit("c:"))).otherwise(F.array().cast("array<string>"))
-        text = F.when(trim_ws("words") != "", F.array(F.lit("c:"))).otherwise(F.array().cast("array<string>"))
-        return df.withColumn("name_key", name_key("display_name")).filter(F.coalesce("name_key", F.lit("")) != "").withColumn(
-            "block", F.explode(F.array_distinct(F.concat(place, whole, extra, text))))
+        return df.withColumn("name_key", name_key("display_name")).filter(F.coalesce("name_key", F.lit("")) != "").withColumn("places", F.array_distinct(place))
 
     ka, kb = keyed(a), keyed(b)
-    same_name = ka.select(F.col("sig").alias("sig_a"), "name_key", "block").join(
-        kb.select(F.col("sig").alias("sig_b"), "name_key", "block"), ["name_key", "block"]).select("sig_a", "sig_b")
+
+    def placed(df, sig):
+        return df.select(F.col("sig").alias(sig), "name_key", F.explode("places").alias("block"))
+
+    same_name = placed(ka, "sig_a").join(placed(kb, "sig_b"), ["name_key", "block"]).select("sig_a", "sig_b")
+
+    def mentioned(owner, text, owner_sig, text_sig):
+        named = owner.select(F.col("sig").alias(owner_sig), "name_key", F.explode("companies").alias("company")).select(
+            owner_sig, "name_key", head_piece(F.col("company")).alias("piece"))
+        # Only texts whose name has an organisation on the other side are cut into pieces.
+        texts = text.join(named.select("name_key").distinct(), "name_key", "left_semi")
+        pieces = texts.select(F.col("sig").alias(text_sig), "name_key", F.explode(text_pieces(F.col("words"))).alias("piece"))
+        return named.join(pieces, ["name_key", "piece"]).select("sig_a", "sig_b")
+
+    same_name = same_name.unionByName(mentioned(ka, kb, "sig_a", "sig_b")).unionByName(mentioned(kb, ka, "sig_b", "sig_a"))
 
     def short(df):
         return df.select("sig", F.lower(trim_ws("display_name")).alias("name"), F.lower(trim_ws("location")).alias("place")).filter(
@@ -79,8 +90,9 @@ def signature_pairs(left: DataFrame, right: DataFrame, cfg: IdentityConfig = DEF
     sa, sb = short(a), short(b)
 
     def contained(outer, inner, outer_name, inner_name):
-        parts = outer.select(F.col("sig").alias(outer_name), "place", F.explode(name_substrings(F.col("name"))).alias("name"))
-        return parts.join(inner.select(F.col("sig").alias(inner_name), "place", "name"), ["place", "name"])
+        parts = outer.select(F.col("sig").alias(outer_name), "place", F.col("name").alias("outer"), F.explode(text_pieces(F.col("name"))).alias("piece"))
+        inner = inner.select(F.col("sig").alias(inner_name), "place", "name", head_piece(F.col("name")).alias("piece"))
+        return parts.join(inner, ["place", "piece"]).filter(F.contains("outer", F.col("name")))
 
     inside = contained(sa, sb, "sig_a", "sig_b").select("sig_a", "sig_b").unionByName(
         contained(sb, sa, "sig_b", "sig_a").select("sig_a", "sig_b"))
