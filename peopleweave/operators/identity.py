@@ -39,8 +39,12 @@ def pair_score(a: str = "a", b: str = "b") -> tuple[Column, Column]:
 
 def text_pieces(text: Column) -> Column:
     """Distinct substrings of one, two and three characters, and the empty one: three per character of the text."""
-    n = F.length(text)
-    return F.array_distinct(F.concat(F.array(F.lit("")), *[F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i, k=k: F.substring(text, i, k)) for k in (1, 2, 3)]))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    # The size is read in the loop's own function: a second lambda parameter would be the element's index.
+    def cut(size: int) -> Column:
+        return F.transform(starts, lambda i: F.substring(text, i, size))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[cut(size) for size in (1, 2, 3)]))
 
 
 def head_piece(text: Column) -> Column:
