@@ -160,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = rows.join(docs.select(id_col).distinct(), id_col, "left_semi").withColumn("h", F.xxhash64(id_col))
     chosen = top_k(rows, ["label"], ["h", id_col], class_rows)
     chosen = chosen.select(F.col(id_col).alias("__id"), "label", (F.pmod(F.xxhash64(F.col("h")), F.lit(CALIBRATION_PART)) == 0).alias("curve"))
-    sample = docs.select(F.col(id_col).alias("__id"), utf8(text_col).alias("text")).join(chosen, "__id").select("label", "curve", "text")
+    # At most class_rows ids of each label.
+    sample = docs.select(F.col(id_col).alias("__id"), utf8(text_col).alias("text")).join(F.broadcast(chosen), "__id").select("label", "curve", "text")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
     def count(batches):
