@@ -150,15 +150,20 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn=None, class_rows: int = CLASS_ROWS) -> Model:
     """Model from the labelled rows for which ``learn`` (a column over the id; default all) holds.
 
-    Null ids and labels are left out, an id with several labels takes the largest. With one class or none to learn from, every text gets the
+    Null ids, and labels other than 0 and 1, are left out, an id with several labels takes the largest. With one class or none to learn from, every text gets the
     share of label 1 (0 without labels) as its score.
     """
     spark = docs.sparkSession
-    rows = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    rows = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     rows = (rows if learn is None else rows.filter(learn)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
     # Labels of documents that are not there must not take up the sample.
     rows = rows.join(docs.select(id_col).distinct(), id_col, "left_semi").withColumn("h", F.xxhash64(id_col))
-    chosen = top_k(rows, ["label"], ["h", id_col], class_rows)
+    # Hashes beyond four times the needed share can't be among the first; so few rows are ranked, however many there are.
+    counts_of = dict(rows.groupBy("label").count().collect())
+    bound = F.lit(2**63 - 1)
+    for label, n in counts_of.items():
+        bound = F.when(F.col("label") == label, F.lit(2**63 - 1 if n <= 4 * class_rows else int(-2**63 + 4 * class_rows / n * 2**64))).otherwise(bound)
+    chosen = top_k(rows.filter(F.col("h") <= bound), ["label"], ["h", id_col], class_rows)
     chosen = chosen.select(F.col(id_col).alias("__id"), "label", (F.pmod(F.xxhash64(F.col("h")), F.lit(CALIBRATION_PART)) == 0).alias("curve"))
     # At most class_rows ids of each label.
     sample = docs.select(F.col(id_col).alias("__id"), utf8(text_col).alias("text")).join(F.broadcast(chosen), "__id").select("label", "curve", "text")
