@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..bindings import NOW, Tables, with_sql
-from ..functions import similarity, udfs
+from ..functions import udfs
 from ..operators import evidence as ev
 from ..operators import goals, index
 from .registry import query
@@ -254,11 +254,13 @@ def idx6(t: Tables):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("idx7_embed_stale")
+@query("idx7_embed_stale", with_sql(["search_docs", "doc_embeddings"], """
+SELECT d.person_id, 64 AS dimension, CASE WHEN trim(d.doc_text) = '' THEN 0.0 ELSE 1.0 END AS norm FROM search_docs d LEFT JOIN doc_embeddings e USING (person_id) WHERE e.person_id IS NULL OR e.embedded_at < d.updated_at"""))
 def idx7(t: Tables):
     from ..operators.joins import stale_documents
     made = udfs.embed_documents(stale_documents(t.search_docs(), t.embeddings()).drop("embedded_at"))
-    return made.select("person_id", "dimension", F.round(similarity.cosine("embedding", "embedding"), 4).alias("self_similarity"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    return made.select("person_id", "dimension", F.round(norm, 4).alias("norm"))
 
 
 @query("dir1_direction_signals", with_sql(NEED, "SELECT person_id, source, tag, text AS matched_text FROM sig", FACETS))

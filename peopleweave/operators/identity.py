@@ -107,16 +107,12 @@ def signature_pairs(left: DataFrame, right: DataFrame, cfg: IdentityConfig = DEF
 
 
 def explicit_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """A handle of one side named by the other: (left_id, right_id) with score 1.
+    """(left_id, right_id) where ``linked_handles`` of the left side name a right handle; the score is 1.
 
-    left.linked_handles name right handles; right.linked_handles (optional) name left handles.
+    For links that the right side names, call it with the sides exchanged.
     """
-    def named(owner, target, owner_id, target_id):
-        rows = owner.select(F.col("profile_id").alias(owner_id), F.explode(or_empty("linked_handles")).alias("h"))
-        return rows.join(target.select(F.col("profile_id").alias(target_id), F.lower("handle").alias("h")), "h").select(owner_id, target_id)
-
-    out = named(left, right, "left_id", "right_id")
-    return out.distinct()
+    rows = left.select(F.col("profile_id").alias("left_id"), F.explode(or_empty("linked_handles")).alias("h"))
+    return rows.join(right.select(F.col("profile_id").alias("right_id"), F.lower("handle").alias("h")), "h").select("left_id", "right_id").distinct()
 
 
 def preference_lists(left: DataFrame, right: DataFrame, cfg: IdentityConfig = DEFAULT.identity) -> DataFrame:
