@@ -5,7 +5,7 @@ flag, the id, the number of token ids and the end of its frame. The footer holds
 documents and the magic again. Files follow each other in ascending doc_id order; the manifest lists them.
 
 Documents are cut at ASCII white space, which the tokenizer drops and no token, and no normalisation, spans. Each distinct
-chunk is encoded by the library once per task and kept in a bounded table; a comma or full stop after a plain word is encoded apart.
+chunk is encoded by the library once per worker and kept in a bounded table; a comma or full stop after a plain word is encoded apart.
 """
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ import math
 import os
 import struct
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import zstandard
@@ -120,10 +121,16 @@ class ChunkTokenizer:
         return b"".join(parts)
 
 
+@lru_cache(1)
+def worker_tokenizer(tokenizer_path: str) -> ChunkTokenizer:
+    """One tokenizer for all tasks of a worker process, with what it has learnt."""
+    return ChunkTokenizer(tokenizer_path)
+
+
 def encode(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text", end_id: int = END_ID, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``ids``, the packed little-endian ids of each text and the end id. Null texts are empty."""
     def start():
-        codec = ChunkTokenizer(tokenizer_path)
+        codec = worker_tokenizer(tokenizer_path)
         end = array(codec.kind, [end_id]).tobytes()
         return lambda columns: [[codec.encode(t) + end for t in columns["text"]]]
 
@@ -191,7 +198,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     rows = rows.repartitionByRange(parts, F.asc_nulls_first("id"), "h").sortWithinPartitions(F.asc_nulls_first("id"), "h").select("id", "text")
 
     def run(batches):
-        codec, stamp, part = ChunkTokenizer(tokenizer_path), hashlib.sha256(dictionary).digest(), TaskContext.get().partitionId()
+        codec, stamp, part = worker_tokenizer(tokenizer_path), hashlib.sha256(dictionary).digest(), TaskContext.get().partitionId()
         end, pack = array(codec.kind, [end_id]).tobytes(), zstandard.ZstdCompressor(level=3, **_dictionary(dictionary))
         uri, null, ids, tokens, ends, at = f"{folder}/part-{part:06d}.ids", bytearray(), array("q"), array("q"), array("q"), 0
         batches = (b for b in batches if b.num_rows)
