@@ -7,7 +7,7 @@ two again. A token sequence whose neighbours are all compatible is the encoding
 then position) that crossed a token border would cross it for these two tokens alone as well. So tokens outside
 the window are final. Decoding concatenates halves up the same tree.
 
-Distinct matches are encoded once per task and kept in a bounded table, as a text's matches repeat.
+Distinct matches are encoded once per worker and kept in a bounded table, as a text's matches repeat.
 """
 from __future__ import annotations
 
@@ -276,6 +276,12 @@ class TextCodec:
         return count, of_ids.hexdigest(), of_bytes.hexdigest()
 
 
+@lru_cache(1)
+def worker_codec(ranks_path: str, pattern: str) -> TextCodec:
+    """One codec for all tasks of a worker process, with what it has encoded."""
+    return TextCodec(ranks_path, pattern)
+
+
 def _text(col: str):
     return F.coalesce(F.col(f"`{col}`"), F.lit(""))
 
@@ -286,7 +292,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
     Every row is encoded by itself, so repeated rows repeat. Kept columns named like a result are replaced.
     """
     def start():
-        codec = TextCodec(ranks_path, pattern)
+        codec = worker_codec(ranks_path, pattern)
 
         def work(columns):
             ids = [codec.encode(t) for t in columns["text"]]
@@ -312,7 +318,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str
     Null and empty texts have no ids; both digests are then those of the empty string.
     """
     def start():
-        codec = TextCodec(ranks_path, pattern)
+        codec = worker_codec(ranks_path, pattern)
 
         def work(columns):
             return [list(c) for c in zip(*map(codec.digests, columns["text"]))]
