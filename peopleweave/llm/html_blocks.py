@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. A block is described by its word count and link density, those of the blocks
 before and after it, and by what surrounds it: an element or a class name that stands for page furniture, or
-an element that names the article. A decision tree trained on the labelled table of ``html_training`` tells main text
+an element that names the article. A form or a furniture name around the article itself is a mere wrapper and does not
+count (``_wrappers``). A decision tree trained on the labelled table of ``html_training`` tells main text
 from the rest; main blocks are joined in page order.
 """
 from __future__ import annotations
@@ -34,6 +35,8 @@ NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising"
          "cookies", "copyright", "disclaimer", "disqus", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification",
          "overlay", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social",
          "sponsor", "sponsored", "subscribe", "subscription", "tags", "toolbar", "topbar", "widget", "widgets", "alert", "aside", "toc", "topnav", "subnav", "sidenav", "cta", "responses", "discussion", "reader"}
+# Words that make a furniture name after them a state of a wrapper (has-sidebar), or one before them (nav-open).
+STATES, ENDS = {"has", "with", "without", "no"}, {"open", "opened", "closed"}
 CONTENT_NAMES = {"article", "content", "entry", "post", "story", "main", "body", "text"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>|<[!?/][^>]*>", re.S)
@@ -41,28 +44,91 @@ _ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:
 _WORD_CUT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
+def _furniture_name(words: list[str]) -> bool:
+    """Does a single class name or id, as words, stand for page furniture?"""
+    if words[-1] in ENDS and len(words) > 1:
+        return False
+    named = set()
+    for w in words:
+        if w in STATES:
+            break
+        named.add(w)
+    named &= NAMES
+    return bool(named) and not (named == {"header"} and CONTENT_NAMES & set(words))
+
+
 @lru_cache(4096)
-def _marked(attributes: str) -> tuple[bool, bool]:
-    """(names page furniture, names content) of a tag's attributes."""
-    bad = good = False
+def _marked(attributes: str) -> tuple[str, bool, bool]:
+    """(mark of page furniture: "hard", "soft" for a mere name or none, names content, is the main element) of a tag's attributes."""
+    hard = soft = good = main = False
     for name, *values in _ATTR.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id"):
-            words = {w.lower() for w in _WORD_CUT.split(value) if w}
-            bad |= bool(words & NAMES)
-            good |= bool(words & CONTENT_NAMES)
+            for one in value.split():
+                words = [w.lower() for w in _WORD_CUT.split(one) if w]
+                soft |= bool(words) and _furniture_name(words)
+                good |= bool(CONTENT_NAMES.intersection(words))
         elif name == "role":
-            bad |= value.lower() in ROLES
+            soft |= value.lower() == "form"
+            hard |= value.lower() in ROLES and value.lower() != "form"
             good |= value.lower() in ARTICLE
+            main |= value.lower() == "main"
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            bad = True
-    return bad, good and not bad
+            hard = True
+    return "hard" if hard else "soft" if soft else "", good and not (hard or soft), main
+
+
+def _wrappers(cells: list[tuple[int, str]], words: list[int], titles: list[int]) -> set[int]:
+    """Marks that lie around the main text of the page and so do not tell it from the rest.
+
+    ``cells`` are the marks and the main and article elements in page order, each with the one around it; ``words`` the words in each, ``titles``
+    the places of <h1>. The main element counts first, then the article with the fewest marks around it, then a title. The marks around
+    an article must hold a title or be forms, or the article half of the page (comments are articles, too); those around
+    a title must hold half of the page (a header may hold one).
+    """
+    marks, hard, forms, titled, total = [0], [False], [True], [False] * len(cells), words[:]
+    for around, kind in cells[1:]:
+        marks.append(marks[around] + (kind in ("hard", "soft", "form")))
+        hard.append(hard[around] or kind == "hard")
+        forms.append(forms[around] and kind != "soft")
+    for c in titles:
+        titled[c] = True
+    for c in range(len(cells) - 1, 0, -1):
+        total[cells[c][0]] += total[c]
+        titled[cells[c][0]] |= titled[c]
+    half = 0.5 * (total[0] - sum(total[c] for c in range(1, len(cells)) if cells[c][1] == "hard" and not hard[cells[c][0]]))
+
+    def chain(c: int) -> set[int]:
+        found = set()
+        while c:
+            if cells[c][1] in ("soft", "form"):
+                found.add(c)
+            c = cells[c][0]
+        return found
+
+    open_cells = [c for c in range(1, len(cells)) if not hard[c]]
+    for kind in ("main", "article"):
+        here = [c for c in open_cells if cells[c][1] == kind]
+        if here:
+            best = min(here, key=lambda c: (marks[c], not titled[c], c))
+            around = chain(best)
+            if kind == "main" or forms[best] or titled[best] or total[best] >= half or around and titled[max(around)]:
+                return around
+            return set()
+    here = [c for c in titles if not hard[c]]
+    around = chain(min(here, key=lambda c: (marks[c], c))) if here else set()
+    if around and total[max(around)] >= half:
+        return around
+    # Without a title: forms around most of the page.
+    return {c for c in open_cells if cells[c][1] == "form" and forms[c] and total[c] >= half and not here}
 
 
 def blocks(html: str) -> list[tuple]:
     """(text, words, words in links, furniture, article, content name, heading) of each non-empty block, in page order."""
     out: list[tuple] = []
-    stack: list[tuple] = []                     # (element, furniture, article, content name) with the flags of all around it
+    stack: list[tuple] = []                     # (element, innermost cell, article, content name) with the flags of all around it
+    cells: list[tuple[int, str]] = [(0, "")]    # (cell around it, kind) of the marks and the main and article elements
+    titles: list[int] = []                      # cells of <h1>
     pieces: list[str] = []
     linked: list[str] = []
     in_link = heading = False
@@ -72,8 +138,8 @@ def blocks(html: str) -> list[tuple]:
         if pieces:
             words = "".join(pieces).split()
             if words:
-                bad, art, good = stack[-1][1:] if stack else (False, False, False)
-                out.append((" ".join(words), len(words), min(len(words), len("".join(linked).split())), bad, art, good, heading))
+                cell, art, good = stack[-1][1:] if stack else (0, False, False)
+                out.append((" ".join(words), len(words), min(len(words), len("".join(linked).split())), cell, art, good, heading))
             pieces, linked = [], []
 
     at, size = 0, len(html)
@@ -120,7 +186,7 @@ def blocks(html: str) -> list[tuple]:
                 if stack[i][0] == name:
                     if name in INLINE and any(e[0] not in INLINE for e in stack[i + 1:]):
                         break
-                    if name in INLINE and stack[i][1] != (stack[i - 1][1] if i else False):
+                    if name in INLINE and stack[i][1] != (stack[i - 1][1] if i else 0):
                         flush()
                     del stack[i:]
                     break
@@ -131,18 +197,36 @@ def blocks(html: str) -> list[tuple]:
                 stack.pop()
         elif stack and stack[-1][0] == "p" and name not in INLINE:
             stack.pop()
-        bad, art, good = stack[-1][1:] if stack else (False, False, False)
-        mark_bad, mark_good = _marked(m[3]) if m[3] and not m[3].isspace() else (False, False)
+        cell, art, good = stack[-1][1:] if stack else (0, False, False)
+        mark, mark_good, main = _marked(m[3]) if m[3] and not m[3].isspace() else ("", False, False)
         inner = art or name in ARTICLE
-        if name in INLINE and not mark_bad and name != "label":
+        if name in INLINE and not mark and name != "label":
             continue
-        worse = bad or mark_bad and name not in ("body", "html") or name in FURNITURE or name == "header" and not art
-        if name in INLINE and worse and not bad:
+        mark = "" if name in ("body", "html") else mark
+        if name == "form":
+            mark = mark if mark == "hard" else "form"
+        elif name in FURNITURE:
+            mark = "hard"
+        elif name == "header" and not art:
+            mark = mark or "soft"
+        if name in INLINE and mark:
             flush()
+        for kind in (mark, "main" if main or name == "main" else "article" if name == "article" else ""):
+            if kind:
+                cells.append((cell, kind))
+                cell = len(cells) - 1
+        if name == "h1":
+            titles.append(cell)
         if not m[3].endswith("/") or name not in INLINE:
-            stack.append((name, worse, inner, good or mark_good))
+            stack.append((name, cell, inner, good or mark_good))
     flush()
-    return out
+    words = [0] * len(cells)
+    for b in out:
+        words[b[3]] += b[1]
+    wrappers, bad = _wrappers(cells, words, titles), [False]
+    for c, (around, kind) in enumerate(cells[1:], 1):
+        bad.append(bad[around] or kind in ("hard", "soft", "form") and c not in wrappers)
+    return [(*b[:3], bad[b[3]], *b[4:]) for b in out]
 
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "furniture", "outside_article", "in_article", "content_name", "heading")

@@ -30,4 +30,10 @@ PAGES = [
     [(0, "<body><nav><ul><li>", 1, 1, "</li></ul></nav>"), (1, "<article><h1>", 2, 0, "</h1>"), (1, "<p>", 1, 0, "</p>"), (1, "<p>", 3, 3, "</p>"), (1, "<p>", 2, 0, "</p></article>"), (0, "<p>", 10, 0, "</p>")],
     [(0, "<body><nav>", 5, 5, "</nav>"), (1, "<main><h1>", 1, 0, "</h1>"), (1, "<p>", 6, 6, "</p>"), (1, "<ul><li>", 1, 1, "</li>"), (1, "<li>", 2, 2, "</li></ul></main>"), (0, "<div>", 3, 3, "</div>"), (0, "<div>", 2, 0, "</div>")],
     [(0, "<body><div>", 3, 3, "</div>"), (1, "<article><h2>", 4, 0, "</h2>"), (1, "<p>", 2, 2, "</p>"), (1, "<pre>", 12, 0, "</pre>"), (0, '<div class="tags">', 3, 3, "</div></article>"), (0, "<div>", 7, 0, "</div>")],
+    [(0, '<body><form id="aspnetForm"><div class="menu">', 5, 5, "</div>"), (1, "<article><h1>", 6, 0, "</h1>"), (1, "<p>", 48, 1, "</p>"), (1, "<p>", 66, 0, "</p></article>"), (0, '<section class="comments"><article><p>', 31, 0, "</p></article></section>"),
+     (0, '<div class="footer">', 9, 3, "</div></form>")],
+    [(0, '<body><div class="layout has-sidebar"><header>', 4, 1, "</header>"), (1, '<article><header class="entry-header"><h1>', 7, 0, "</h1></header>"), (1, "<p>", 58, 2, "</p>"), (1, "<p>", 34, 0, "</p></article>"),
+     (0, '<div class="sidebar"><p>', 26, 2, "</p></div></div>")],
+    [(0, '<body><div id="reader"><div class="share">', 4, 4, "</div>"), (1, "<main><p>", 44, 0, "</p>"), (1, "<p>", 71, 3, "</p></main></div>"), (0, "<footer>", 8, 2, "</footer>")],
+    [(0, '<body><form action="page.aspx"><ul class="nav"><li>', 3, 3, "</li></ul>"), (1, '<div id="content"><h1>', 5, 0, "</h1>"), (1, "<p>", 85, 2, "</p>"), (1, "<p>", 37, 0, "</p></div>"), (0, '<div class="search">', 3, 0, "</div></form>")],
 ]

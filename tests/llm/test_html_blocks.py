@@ -3,6 +3,7 @@ import pytest
 from peopleweave.llm import html_blocks as H
 
 LONG = "word " * 30
+TITLE = "Six words stand in this title"
 
 
 @pytest.mark.parametrize("html, text", [
@@ -41,3 +42,22 @@ def test_operator(spark):
     got = sorted(((r.page_id, r.text, r.n_chars) for r in out.collect()), key=repr)
     assert got[:2] == [(1, LONG + "é", len(LONG) + 1)] * 2 and (None, "", 0) in got and (2, "", 0) in got
     assert H.extract(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("html", [
+    f"<form id=aspnetForm><nav>a b</nav><article><h1>{TITLE}</h1><p>{LONG}</p></article></form>",
+    f"<form action=x><div class=menu><a>a</a></div><div id=content><h1>{TITLE}</h1><p>{LONG}</p></div></form>",
+    f"<div class='has-sidebar'><article><h1>{TITLE}</h1><p>{LONG}</p></article><div class=sidebar>{LONG}</div></div>",
+    f"<div class='layout with-sidebar'><article><h1>{TITLE}</h1><p>{LONG}</p></article></div>",
+    f"<div id='reader'><article><h1>{TITLE}</h1><p>{LONG}</p></article><section id=comments><article><p>{LONG}</p></article></section></div>",
+    f"<div class='page nav-open'><main><h1>{TITLE}</h1><p>{LONG}</p></main><ul class='menu menu-open'><li>{LONG}</ul></div>",
+    f"<article><header class='entry-header'><h1>{TITLE}</h1></header><p>{LONG}</p></article>",
+    f"<header><h2>s</h2></header><article><h1>{TITLE}</h1><p>{LONG}</p></article><div id=comments><article><h1>c</h1><p>{LONG}</p></article></div>",
+    f"<form><div class=popup><main hidden>{LONG}</main></div><article><h1>{TITLE}</h1><p>{LONG}</p></article></form>",
+])
+def test_wrappers_of_the_article_are_no_furniture(html):
+    assert H.main_text(html) == f"{TITLE} {LONG}".strip()
+
+
+def test_deeply_nested_marks_take_linear_time():
+    assert H.main_text("<div class=nav><article>" * 20_000 + "x") in ("", "x")
