@@ -1,32 +1,37 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
 Every word of every training document is counted. Contexts of one to ``DEPTH`` words, and the words that follow them, enter the
-tree when they make up at least ``GRAM_SHARE`` of all training tokens (so there are at most 1 / GRAM_SHARE of each length),
-found level by level: a longer sequence can only be frequent if both its ends are. A context is retained if its
+tree when they occur at least ``LEAST`` times in the training documents, whatever the size of the corpus, so that the tree grows with it. They are
+found level by level: a longer sequence can only occur that often if both its ends do. A context is retained if its
 next-word distribution diverges from that of its longest retained suffix by more than its description costs.
 Distributions are smoothed by handing the mass of all other words down to the suffix, and in the end to the
 add-one distribution of single words. A token is scored in the states of all retained suffixes, the longest deciding.
 
-Only frequent words (at least ``WORD_SHARE`` of all tokens, so at most 1 / WORD_SHARE) are shipped to the tasks. The counts of all
-others are joined by word; no word among them is hot.
+The tree is never in one place. Documents are encoded in chunks of about ``CHUNK`` tokens. A chunk asks for its distinct sequences, once
+each and sorted by hash, at the buckets that their hashes fall into; a bucket adds up what all chunks sent and answers in the order of
+the question. So a sequence costs one entry per chunk, however often it occurs. Words and sequences are told apart by
+64-bit hashes. ``SuffixTree`` is the same model in memory.
 """
 from __future__ import annotations
 
-import math
-from collections import Counter
+import gc
+import hashlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
-from .common import stored, utf8, with_results
+from .common import stored, utf8
 
 DEPTH = 3
-WORD_SHARE = 1e-6
-GRAM_SHARE = 1e-5
+LEAST = 2                # occurrences of a sequence in the tree; one occurrence tells nothing about a distribution
+CHUNK = 1 << 20          # tokens after which a chunk of documents is closed
+BUCKET, BUCKETS = 1 << 21, 64    # tokens per bucket, and buckets at least
 ALPHA = 1.0              # smoothing mass of a context besides its count
-FLUSH = 400_000          # distinct words or sequences a task holds before it passes its counts on
+FLUSH = 400_000          # distinct sequences a task of sequence_counts holds before it passes its counts on
 END = b""
 
 
@@ -37,32 +42,6 @@ def tokens_of(raw: bytes) -> list[bytes]:
     return words
 
 
-def word_counts(docs: DataFrame, text: Column, train: Column) -> DataFrame:
-    """(word, n_train, n_all) over all documents."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-
-    def count(batches):
-        def batch_of():
-            words = list(seen[0].keys() | seen[1].keys())
-            n = [seen[1][w] for w in words]
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array([a + seen[0][w] for a, w in zip(n, words)], pa.int64())], names=["word", "n_train", "n_all"])
-            seen[0].clear()
-            seen[1].clear()
-            return out
-
-        seen = [Counter(), Counter()]
-        for batch in batches:
-            for raw, learn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[bool(learn)].update(tokens_of(raw))
-                if len(seen[0]) + len(seen[1]) > FLUSH:
-                    yield batch_of()
-        if seen[0] or seen[1]:
-            yield batch_of()
-
-    parts = docs.select(text.alias("text"), train.alias("learn")).mapInArrow(count, "word binary, n_train long, n_all long")
-    return parts.groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
-
-
 def lookup(kept: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Index of each code in the sorted array of kept codes, or -1; codes below 0 are none."""
     if not len(kept):
@@ -190,68 +169,272 @@ class SuffixTree:
         return np.log10(p), np.log10(base)
 
 
-def score(docs: DataFrame, train: Column, *, text_col: str = "text", depth: int = DEPTH, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE,
+def pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return len(values).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def unpack(raw: bytes, kind) -> np.ndarray:
+    n, width = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(raw[8:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit (splitmix64)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the sorted hashes are cut into buckets of equal ranges."""
+    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+    return np.r_[0, np.searchsorted(hashes, edges), len(hashes)]
+
+
+ASKED = "kind long, level long, bucket long, chunk long, hashes binary, n binary, a binary, b binary, c binary, d binary"
+ANSWERED = "kind long, level long, bucket long, chunk long, values binary, first binary, tokens long, kinds long"
+COUNT, SUM = 0, 1
+
+
+class Chunk:
+    """A chunk of encoded documents with the levels of its sequences, as far as the answers go."""
+
+    def __init__(self, row: dict, answers: pa.Table | None, least: tuple[float, float], alpha: float, n_train: int, kinds: int):
+        self.number, self.least, self.alpha = row["chunk"], least, alpha
+        self.sizes, learn = unpack(row["sizes"], np.int64), unpack(row["learn"], np.int8)
+        flat, self.words = unpack(row["ids"], np.int32).astype(np.int64), unpack(row["words"], np.uint64)
+        self.real = np.ones(len(flat) + len(self.sizes), bool)
+        self.real[np.cumsum(self.sizes + 1) - 1] = False
+        self.ids = np.full(len(self.real), -1, np.int64)
+        self.ids[self.real] = flat
+        self.learn = np.repeat(learn, self.sizes + 1).astype(np.float64)
+        self.answers: dict = {}
+        if answers is not None:
+            for r in sorted(answers.to_pylist(), key=lambda r: r["bucket"]):
+                self.answers.setdefault((r["kind"], r["level"]), []).append((r["values"], r["first"]))
+        at = self.ids[self.real]
+        # Per level: index of the sequence that ends at each place or -1; hash, count here, sequence without its last and without its first word.
+        self.levels = [(self.ids, self.words, np.bincount(at, self.learn[self.real], len(self.words)), None, None)]
+        self.orders, self.n, self.kept, self.first = [np.argsort(self.words)], [], [], []
+        self.rest: list[np.ndarray] = []
+        self.single, self.p = None, []
+        while (COUNT, len(self.levels)) in self.answers:
+            self._next()
+        if self.n:
+            self.single = (self.n[0] + 1) / (n_train + kinds + 1)
+            self.p = [self.single]
+        while (SUM, len(self.rest) + 1) in self.answers:
+            self._decided()
+
+    def _values(self, kind: int, level: int, dtype, which: int = 0) -> np.ndarray:
+        return np.concatenate([unpack(x[which], dtype) for x in self.answers[kind, level]])
+
+    def _next(self) -> None:
+        """Take the counts of the last level and lay out the sequences one longer, of which both ends are kept."""
+        level, order = len(self.levels), self.orders[-1]
+        n, first = np.zeros(len(order)), np.zeros(len(order), bool)
+        n[order], first[order] = self._values(COUNT, level, np.int64), self._values(COUNT, level, np.int8, 1) > 0
+        self.n.append(n)
+        self.first.append(first)
+        kept = n >= self.least[level > 1]
+        self.kept.append(kept)
+        index, hashes = self.levels[-1][:2]
+        have = np.zeros(len(index), bool)
+        have[index >= 0] = kept[index[index >= 0]]
+        places = np.flatnonzero(have[:-1] & have[1:]) + 1
+        codes, at, inverse = np.unique(index[places - 1] * len(self.words) + self.ids[places], return_index=True, return_inverse=True)
+        longer = np.full(len(index), -1, np.int64)
+        longer[places] = inverse
+        before, word = codes // len(self.words), codes % len(self.words)
+        own = mixed(hashes[before] ^ mixed(self.words[word] + np.uint64(level)))
+        self.levels.append((longer, own, np.bincount(inverse, self.learn[places], len(codes)), before, index[places[at]]))
+        self.orders.append(np.argsort(own))
+
+    def _decided(self) -> None:
+        """Take the masses that the contexts of the next length hand down."""
+        k = len(self.rest)
+        rest = np.ones(len(self.n[k]))
+        order = self.orders[k]
+        rest[order[self.kept[k][order]]] = self._values(SUM, k + 1, np.float64)
+        self.rest.append(rest)
+        _, _, _, before, after = self.levels[k + 1]
+        own = np.where(rest[before] < 1, self.n[k + 1] / (self.n[k][before] + self.alpha), 0.0)
+        self.p.append(own + rest[before] * self.p[k][after])
+
+    def _rows(self, kind: int, level: int, hashes: np.ndarray, values: list[np.ndarray], buckets: int) -> list[dict]:
+        cuts = _cuts(hashes, buckets)
+        return [dict(zip(("kind", "level", "bucket", "chunk", "hashes", "n", "a", "b", "c", "d"), (kind, level, b, self.number, pack(np.diff(hashes[i:j], prepend=np.uint64(0))), *[pack(v[i:j]) for v in values], *[None] * (5 - len(values)))))
+                for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))]
+
+    def ask_counts(self, buckets: int) -> list[dict]:
+        order = self.orders[-1]
+        return self._rows(COUNT, len(self.levels), self.levels[-1][1][order], [self.levels[-1][2][order].astype(np.int64)], buckets)
+
+    def ask_sums(self, buckets: int) -> list[dict]:
+        """What the sequences that this chunk answers for add to their contexts."""
+        k = len(self.rest)
+        _, _, _, before, after = self.levels[k + 1]
+        mine = self.first[k + 1] & self.kept[k + 1]
+        context, n, lower = before[mine], self.n[k + 1][mine], np.maximum(self.p[k][after[mine]], 1e-300)
+        size, order = len(self.n[k]), self.orders[k]
+        order = order[self.kept[k][order]]
+        gain = np.bincount(context, n * np.log(n / self.n[k][context] / lower), size)
+        followers, kept, below = np.bincount(context, minlength=size).astype(np.float64), np.bincount(context, n, size), np.bincount(context, lower, size)
+        return self._rows(SUM, k + 1, self.levels[k][1][order], [v[order] for v in (self.n[k], followers, kept, gain, below)], buckets)
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known words, log10 probability as single words, log10 probability) of each document."""
+        known, base = np.zeros(len(self.ids)), np.ones(len(self.ids))
+        real = self.real
+        known[real], base[real] = self.n[0][self.ids[real]] > 0, self.single[self.ids[real]]
+        p = base.copy()
+        for k, rest in enumerate(self.rest):
+            state, follow = np.r_[-1, self.levels[k][0][:-1]], self.levels[k + 1][0]
+            ok = real & (state >= 0)
+            ok[ok] = self.kept[k][state[ok]]
+            s, f = state[ok], follow[ok]
+            own = np.zeros(len(s))
+            has = f >= 0
+            own[has] = np.where(rest[s[has]] < 1, self.n[k + 1][f[has]] / (self.n[k][s[has]] + self.alpha), 0.0)
+            p[ok] = own + rest[s] * p[ok]
+        begins = np.r_[0, np.cumsum(self.sizes + 1)[:-1]].astype(np.int64)
+        return tuple(np.add.reduceat(v, begins) for v in (known, np.log10(base), np.log10(p)))
+
+
+def answered(asked: pa.Table, least: float, alpha: float) -> pa.Table:
+    """What a bucket answers to the chunks: counts (0 below the least), or the mass that each context hands down (1 where it is not retained)."""
+    rows = sorted(asked.to_pylist(), key=lambda r: r["chunk"])
+    kind, level, bucket = (rows[0][k] for k in ("kind", "level", "bucket"))
+    hashes = [np.cumsum(unpack(r["hashes"], np.uint64), dtype=np.uint64) for r in rows]
+    cuts = np.r_[0, np.cumsum([len(h) for h in hashes])]
+    every, at, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    first, tokens, kinds = np.zeros(cuts[-1], np.int8), 0, 0
+
+    def total(name: str, dtype) -> np.ndarray:
+        return np.bincount(inverse, np.concatenate([unpack(r[name], dtype) for r in rows]), len(every))
+
+    if kind == COUNT:
+        n = total("n", np.int64).astype(np.int64)
+        tokens, kinds = int(n.sum()), int((n > 0).sum())
+        values = np.where(n >= (1 if level == 1 else least), n, 0)
+        first[at] = values > 0
+    else:
+        followers, kept, gain, lower = total("a", np.float64), total("b", np.float64), total("c", np.float64), total("d", np.float64)
+        n = np.zeros(len(every))
+        n[inverse] = np.concatenate([unpack(r["n"], np.float64) for r in rows])
+        left, left_lower = np.maximum(n - kept, 0), np.maximum(1 - lower, 1e-12)
+        gain = gain + np.where(left > 0, left * np.log(np.maximum(left / n, 1e-300) / left_lower), 0)
+        retained = (followers > 0) & (gain > 0.5 * (1 + followers) * np.log(n + 1))
+        values = np.where(retained, 1 - kept / (n + alpha), 1.0)
+    values = values[inverse]
+    out = [{"kind": kind, "level": level, "bucket": bucket, "chunk": r["chunk"], "values": pack(values[i:j]), "first": pack(first[i:j]), "tokens": tokens if not c else 0, "kinds": kinds if not c else 0}
+           for c, (r, i, j) in enumerate(zip(rows, cuts[:-1], cuts[1:]))]
+    return pa.Table.from_pylist(out, pa.schema([(k, pa.binary() if k in ("values", "first") else pa.int64()) for k in out[0]]))
+
+
+def chunks_of(docs: DataFrame, text: Column, train: Column, kept: list[str]) -> DataFrame:
+    """Documents in chunks: kept columns as arrays, and the words as numbers within the chunk."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    frame = docs.select(*[F.col(f"`{c}`") for c in kept], text.alias("__text"), F.coalesce(train, F.lit(False)).alias("__learn"))
+    width, limit = len(kept), CHUNK
+
+    def encode(batches):
+        def closed():
+            words = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in index)
+            binaries = [pack(np.concatenate(ids)), pack(np.frombuffer(words, np.uint64)), pack(np.array(sizes, np.int64)), pack(np.array(learn, np.int8))]
+            lists = []
+            for i in range(width):
+                values = pa.concat_arrays([b.column(i) for b in held])
+                lists.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+            return pa.RecordBatch.from_arrays([*lists, *[pa.array([x], pa.binary()) for x in binaries], pa.array([sum(sizes)], pa.int64())], names=[*[f"__k{i}" for i in range(width)], "ids", "words", "sizes", "learn", "tokens"])
+
+        def fresh():
+            d = defaultdict()
+            d.default_factory = d.__len__
+            return d, [], [], [], []
+
+        index, ids, sizes, learn, held = fresh()
+        size = 0
+        for batch in batches:
+            begin = 0
+            flags = batch.column(width + 1).to_pylist()
+            for r, raw in enumerate(batch.column(width).to_pylist()):
+                words = tokens_of(raw)
+                ids.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
+                sizes.append(len(words))
+                learn.append(flags[r])
+                size += len(words)
+                if size >= limit:
+                    held.append(batch.slice(begin, r + 1 - begin))
+                    begin = r + 1
+                    yield closed()
+                    index, ids, sizes, learn, held = fresh()
+                    size = 0
+            if begin < batch.num_rows:
+                held.append(batch.slice(begin))
+        if sizes:
+            yield closed()
+
+    schema = StructType([*[StructField(f"__k{i}", ArrayType(frame.schema[i].dataType)) for i in range(width)], *[StructField(c, BinaryType()) for c in ("ids", "words", "sizes", "learn")], StructField("tokens", LongType())])
+    return stored(frame.mapInArrow(encode, schema).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+
+
+def score(docs: DataFrame, train: Column, *, text_col: str = "text", depth: int = DEPTH, word_share: float = 0.0, gram_share: float = 0.0, least: int = LEAST,
           keep: list[str] | None = None) -> DataFrame:
     """``docs`` (kept columns) with n_tokens, n_known, train_tokens, base_score and score (log10), the model learnt from the rows where ``train`` holds.
 
-    Null texts are empty and consist of the end alone. Rows are scored one by one, so repeated rows repeat. Kept columns with a result's
+    Sequences of at least ``least`` occurrences enter the tree; a ``gram_share`` or ``word_share`` above 0 asks besides for that share of all training tokens, for
+    sequences and for the words in them. Null texts are empty and consist of the end alone. Rows are scored one by one, so repeated rows repeat. Kept columns with a result's
     name are replaced. Without training rows all words are unknown and share one probability.
     """
     spark = docs.sparkSession
     results = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in results]
-    counts = stored(word_counts(docs, utf8(text_col), train), "words")
-    n_train, kinds, n_all = counts.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum((F.col("n_train") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum("n_all"), F.lit(0))).first()
-    unit = 1.0 / (n_train + kinds + 1)
-    frequent = F.col("n_all") >= max(1.0, word_share * n_all)
-    top = sorted(((bytes(w), n) for w, n in counts.filter(frequent).select("word", "n_train").collect()), key=lambda x: (-x[1], x[0]))
-    index = spark.sparkContext.broadcast({w: i for i, (w, _) in enumerate(top)})
-    word_counts_top = np.array([n for _, n in top], np.float64)
-    single, width = (word_counts_top + 1) * unit, len(top)
-
-    def start():
-        find = index.value.get
-
-        def work(columns):
-            ids, rare, sizes = [], [], []
-            for raw in columns["text"]:
-                words = tokens_of(raw)
-                at = np.fromiter([find(w, -1) for w in words], np.int32, len(words))
-                ids.append(at.tobytes())
-                rare.append([words[i] for i in np.flatnonzero(at < 0).tolist()])
-                sizes.append(len(words))
-            return [ids, rare, sizes]
-
-        return work
-
-    named = docs.select(*[F.col(f"`{c}`") for c in kept], utf8(text_col).alias("__text"), train.alias("learn"))
-    encoded = with_results(named, {"text": F.col("__text")}, start, {"ids": "binary", "rare": "binaries", "n_tokens": "long"}, keep=[*kept, "learn"])
-    encoded = stored(encoded.withColumn("__row", F.monotonically_increasing_id()), "encoded")
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(depth):
-        levels.append(sequence_counts(encoded, [c for c, _ in levels], max(width, 1), max(2.0, gram_share * n_train)))
-    tree = spark.sparkContext.broadcast(SuffixTree(single if width else np.ones(1), word_counts_top if width else np.zeros(1), levels))
-    trained = word_counts_top > 0
-
-    def measure():
-        model = tree.value
-
-        def work(columns):
-            ids = _stream(columns["ids"])
-            full, base = model.logs(ids)
-            known = np.where(ids >= 0, np.r_[trained, False][ids], False)
-            ends = np.cumsum([len(b) // 4 + 1 for b in columns["ids"]])
-            begins = np.r_[0, ends[:-1]]
-            full[ends - 1] = base[ends - 1] = 0.0    # the gaps between documents
-            return [np.add.reduceat(v, begins).tolist() for v in (full, base)] + [np.add.reduceat(known.astype(np.int64), begins).tolist()]
-
-        return work
-
-    partial = with_results(encoded.select(*kept, "__row", "n_tokens", "ids"), {"ids": F.col("ids")}, measure, {"__full": "double", "__base": "double", "__known": "long"}, keep=[*kept, "__row", "n_tokens"])
-    rare = encoded.select("__row", F.explode("rare").alias("word")).join(counts.filter(~frequent).select("word", "n_train"), "word", "left")
-    c = F.coalesce("n_train", F.lit(0))
-    rare = rare.groupBy("__row").agg(F.sum(F.log10((c + 1) * F.lit(unit))).alias("r"), F.sum((c > 0).cast("long")).alias("k"))
-    both = partial.join(rare, "__row", "left")
-    r = F.coalesce("r", F.lit(0.0))
-    return both.select(*[F.col(f"`{c}`") for c in kept], "n_tokens", (F.col("__known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-                       (F.col("__base") + r).alias("base_score"), (F.col("__full") + r).alias("score"))
+    chunks = chunks_of(docs, utf8(text_col), train, kept)
+    tokens = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    buckets = max(BUCKETS, -(-tokens // BUCKET))
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
+    asked_schema = pa.schema([(c.split()[0], pa.int64() if c.split()[1] == "long" else pa.binary()) for c in ASKED.split(", ")])
+    encoded = chunks.select("chunk", "ids", "words", "sizes", "learn")
+    answers, n_train, kinds, floors = None, 0, 0, (float(least), float(least))
+
+    def asker(step: int, model: tuple):
+        def ask(left: pa.Table, right: pa.Table | None) -> pa.Table:
+            chunk = Chunk(left.to_pylist()[0], right, *model)
+            rows = chunk.ask_counts(buckets) if step <= depth + 1 else []
+            return pa.Table.from_pylist(rows + (chunk.ask_sums(buckets) if step > 2 else []), asked_schema)
+
+        return (lambda left: ask(left, None)) if step == 1 else (lambda left, right: ask(left, right))
+
+    def bucket_of(sequences: float):
+        return lambda rows: answered(rows, sequences, ALPHA)
+
+    for step in range(1, depth + 3):
+        ask, sequences = asker(step, (floors, ALPHA, n_train, kinds)), floors[1]
+        asked = encoded.groupBy("chunk").applyInArrow(ask, ASKED) if answers is None else encoded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, ASKED)
+        new = stored(asked.groupBy("kind", "level", "bucket").applyInArrow(bucket_of(sequences), ANSWERED), "answers")
+        if step == 1:
+            n_train, kinds = new.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+            floors = max(floors[0], word_share * n_train), max(floors[1], gram_share * n_train)
+        answers = new if answers is None else answers.unionAll(new)
+        del asked, new
+        gc.collect()
+        spark._jvm.System.gc()      # shuffle files that nothing refers to any more are deleted
+
+    model = floors, ALPHA, n_train, kinds
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = Chunk(left.select(["chunk", "ids", "words", "sizes", "learn"]).to_pylist()[0], right, *model)
+        known, base, full = chunk.sums()
+        columns = [left.column(f"__k{i}").chunk(0)[0].values for i in range(len(kept))]
+        numbers = [pa.array(chunk.sizes), pa.array(known.astype(np.int64)), pa.array(np.full(len(known), n_train, np.int64)), pa.array(base), pa.array(full)]
+        return pa.Table.from_arrays([*columns, *numbers], names=[*kept, *results])
+
+    out = StructType([*schema.fields, *[StructField(c, LongType()) for c in results[:3]], StructField("base_score", DoubleType()), StructField("score", DoubleType())])
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, out)

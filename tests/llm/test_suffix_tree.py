@@ -79,3 +79,33 @@ def test_no_rows_and_nothing_to_learn(spark):
     assert P.score(docs.limit(0), F.lit(True)).collect() == []
     rows = P.score(docs, F.lit(False)).collect()
     assert [r.n_known for r in rows] == [0, 0, 0] and all(r.score == r.base_score == 0 for r in rows)
+
+
+def in_memory(docs, learn, depth, least):
+    """Scores of the documents (lists of words) by the tree in memory."""
+    words = sorted({w for d in docs for w in d})
+    find = {w: i for i, w in enumerate(words)}
+    ids = [[find[w] for w in d] for d in docs]
+    trained = [d for d, on in zip(ids, learn) if on]
+    counts = np.bincount([w for d in trained for w in d], minlength=len(words)).astype(float)
+    tree = P.SuffixTree((counts + 1) / (counts.sum() + (counts > 0).sum() + 1), counts, levels_of(trained, len(words), depth, least))
+    return [tree.logs(np.array(d))[0].sum() for d in ids]
+
+
+def test_scores_equal_the_tree_in_memory_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(P, "CHUNK", 150)
+    rows = corpus()[:130]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = sorted(((r.doc_id, r.text, round(r.full, 6)) for r in P.score(docs.drop("score"), fold("doc_id", 7) != 2).withColumnRenamed("score", "full").collect()), key=repr)
+    learn = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for i, _, _ in rows]
+    want = in_memory([P.tokens_of((t or "").encode()) for _, t, _ in rows], learn, P.DEPTH, 2)
+    assert got == sorted(((i, t, round(s, 6)) for (i, t, _), s in zip(rows, want)), key=repr)
+
+
+def test_a_passage_gives_context_however_large_the_corpus_is(spark):
+    random.seed(8)
+    passage = "seven green lamps hung over quiet water".split()
+    noise = [(i, " ".join(f"n{random.randint(0, 50)}" for _ in range(3_000)), "x") for i in range(200)]
+    told = [(1_000 + i, " ".join([f"u{i}", *passage]), "x") for i in range(4)]         # below 1e-5 of 600 000 tokens
+    out = P.score(spark.createDataFrame(noise + told + [(5_000, " ".join(passage), "x")], SCHEMA), F.col("doc_id") < 5_000).filter("doc_id = 5000").first()
+    assert out.score > out.base_score + 6 * 3
