@@ -68,3 +68,8 @@ def with_results(df: DataFrame, inputs: dict[str, Column], start: Callable, resu
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *arrays], names=[*kept, *outs])
 
     return frame.mapInArrow(run, schema)
+
+
+def broadcast_if_small(table: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """A stored table with a broadcast hint if it has at most ``most_rows`` rows; larger ones are left to a shuffle join."""
+    return F.broadcast(table) if table.count() <= most_rows else table

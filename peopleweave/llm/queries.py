@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html_blocks, permutation_index, sharding, simhash, suffix_tree, token_files, toxicity, warc
+from . import bpe, decontamination, hard_negatives, html_blocks, permutation_index, quality, sharding, simhash, suffix_tree, token_files, toxicity, warc
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -103,3 +103,61 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_extraction")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+_SOUND = "vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@query("op11_hard_negatives", f"""
+WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {_SOUND}),
+rows AS (SELECT id, min((label, v)) AS x FROM r GROUP BY id),
+c AS (SELECT id, x[1] AS label, x[2] AS v FROM rows),
+s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM c a JOIN c b ON a.id <> b.id AND len(a.v) = len(b.v) WHERE a.id % 50 = 0),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (SELECT p.a, p.b AS positive, p.score AS ps, s.b AS negative, s.score AS ns,
+    row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+  FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT a AS anchor_id, positive AS positive_id, CAST(rank AS INTEGER) AS rank, negative AS negative_id, ps AS positive_score, ns AS negative_score
+FROM n WHERE rank <= 3""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, label=label)
+
+
+def _fence_sql(keys: str, name: str) -> str:
+    """Quartiles of the sketches of one level as a DuckDB CTE."""
+    by = f"{keys}, " if keys else ""
+    return f"""{name}_s AS (SELECT {by}figure, place, sum(n) AS n FROM sk GROUP BY {by}figure, place),
+{name}_u AS (SELECT *, sum(n) OVER (PARTITION BY {by}figure ORDER BY place) AS upto, sum(n) OVER (PARTITION BY {by}figure) AS total FROM {name}_s),
+{name} AS (SELECT {by}figure, max(total) AS n, min(place) FILTER (4 * upto >= total) AS q1, min(place) FILTER (4 * upto >= 3 * total) AS q3 FROM {name}_u GROUP BY {by}figure)"""
+
+
+@query("op12_quality_rules", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^ 	-]+') AS w FROM d),
+win AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, a, b, c) > 1),
+nrep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY r),
+ln AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM w),
+m AS (SELECT w.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(nrep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w JOIN ln USING (r) LEFT JOIN nrep USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS word_length, CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS symbol_rate,
+    CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_rate, CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_rate FROM m),
+x AS (SELECT r, lang, source, base_failed, unnest(['word_length', 'symbol_rate', 'dup_line_rate', 'repeat_rate']) AS figure, unnest([word_length, symbol_rate, dup_line_rate, repeat_rate]) AS v FROM f),
+sk AS (SELECT lang, source, figure, (v >> greatest(length(bin(v)) - 8, 0)::INTEGER) << greatest(length(bin(v)) - 8, 0)::INTEGER AS place, count(*) AS n FROM x WHERE NOT base_failed GROUP BY ALL),
+{_fence_sql('lang, source', 'g')}, {_fence_sql('lang', 'la')}, {_fence_sql('', 'co')},
+e AS (SELECT g.lang, g.source, g.figure, CASE WHEN g.n >= 100 THEN g.q1 WHEN la.n >= 100 THEN la.q1 ELSE co.q1 END AS q1, CASE WHEN g.n >= 100 THEN g.q3 WHEN la.n >= 100 THEN la.q3 ELSE co.q3 END AS q3
+  FROM g JOIN la ON g.lang IS NOT DISTINCT FROM la.lang AND g.figure = la.figure JOIN co ON g.figure = co.figure),
+b AS (SELECT *, 3 * greatest(q3 - q1, CASE figure WHEN 'word_length' THEN 150 WHEN 'symbol_rate' THEN 50 WHEN 'dup_line_rate' THEN 150 ELSE 120 END) AS wide FROM e),
+v AS (SELECT x.r, bool_and(x.v <= q3 + wide AND (x.figure <> 'word_length' OR x.v >= q1 - wide)) AS inside
+  FROM x JOIN b ON x.lang IS NOT DISTINCT FROM b.lang AND x.source IS NOT DISTINCT FROM b.source AND x.figure = b.figure GROUP BY x.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, false) AS kept
+FROM f LEFT JOIN v USING (r)""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
