@@ -102,7 +102,7 @@ def normalize_index_text(value) -> Column:
     text = F.translate(F.lower(F.coalesce(col(value), F.lit(""))), V.FULL_WIDTH_FROM, V.FULL_WIDTH_TO)
     text = F.replace(F.replace(text, F.lit("浙江大学"), F.lit("zhejiang university")), F.lit("浙大"),
                      F.lit("zhejiang university"))
-    text = F.regexp_replace(text, r"(?<![\p{L}\p{N}_])zju(?![\p{L}\p{N}_])", "zhejiang university")
+    text = F.when(text.contains("zju"), F.regexp_replace(text, r"(?<![\p{L}\p{N}_])zju(?![\p{L}\p{N}_])", "zhejiang university")).otherwise(text)
     return F.trim(F.regexp_replace(text, r"[\s\p{P}\p{S}]+", " "))
 
 

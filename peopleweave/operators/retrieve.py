@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +12,13 @@ from ..functions.arrays import expand_family, or_empty, single, unique_lower
 from ..functions.similarity import clamp01, trigrams
 from ..functions.text import (contains_any, is_boundary_term, is_strong_term, normalize_index_text,
                               normalize_search_text, normalized_contains_any, snippet, trim_ws)
+from ..session import stored
 from .common import top_k
 from .filters import usable_must_haves
 from .intent import keyword_query
-from .scan import QueryFilters, TermMatrix, query_chunks, scan_top_k
+from .postings import SearchIndex, build_index, filter_columns, meeting_blocks
+from .scan import QueryFilters, Rows, TermMatrix, TextTerms, gram_code, meet_top_k, tiled
+from .vectors import build_vectors
 
 FLAGS = ["role", "skill", "skill_text", "leadership", "open_source", "code_source", "specialized", "exact_name",
          "prefix_name"]
@@ -69,88 +73,38 @@ def prepare_queries(intents: DataFrame, cfg: RetrievalConfig = DEFAULT.retrieval
         "grams": trigrams("keyword_query")})
 
 
-def _literal_hits(text: Column, terms: list[str]) -> Column:
-    """Which of a known list of phrases occur in the text."""
-    if not terms:
-        return _none()
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t))
-
-
-def _is_word(term: str) -> bool:
-    return 0 < len(term) <= 8 and term.isascii() and term.isalnum() and term == term.lower()
-
-
-def prepare_rows(docs: DataFrame, chunk_rows: list, vectors: bool = False) -> DataFrame:
-    """Arrow input of the scan: the row id, filter channels and the scoring channels.
-
-    docs: (person_id, doc_text, facet_role, facet_location, facet_source, facet_tags, name, location [, embedding]).
-    """
-    def terms(*names):
-        return sorted({t for r in chunk_rows for n in names for t in r[n]})
-
-    scored = not vectors  # a vector scan reads the text only when some query has must-have terms
-    tested = scored or bool(terms("must_words", "must_phrases"))
-    used = ["must_phrases"] + (["skill_terms", "lead_terms", "open_terms"] if scored else [])
-    phrases = [t for t in terms(*used) if not _is_word(t)]
-    places = terms("want_places")
-    df = docs.withColumn("_norm", normalize_index_text("doc_text") if tested else F.lit(""))
-    norm = F.col("_norm")
-    place_text = F.lower(F.array_join(F.concat(or_empty("facet_location"), single("location")), "\n"))
-    columns = [
-        F.col("person_id"), F.transform(or_empty("facet_source"), F.lower).alias("sources"),
-        _literal_hits(place_text, places).alias("places"), _literal_hits(norm, phrases).alias("phrases"),
-        F.array_distinct(F.split(norm, "[^A-Za-z0-9_]+")).alias("words")]
-    if vectors:
-        columns.append(F.col("embedding"))
-    else:
-        name = normalize_index_text("name")
-        # A name prefix match needs a further word after the query, so one-word names have no head.
-        head = F.when(name.contains(" "), F.array(F.split(name, " ")[0])).otherwise(_none())
-        columns += [trigrams(norm).alias("grams"), F.transform(or_empty("facet_role"), F.lower).alias("roles"),
-                    F.transform(or_empty("facet_tags"), F.lower).alias("tags"), F.array(name).alias("names"), head.alias("heads")]
-    return df.select(*columns)
-
-
 def _keyword_scorer(cfg: RetrievalConfig):
     boosts = [cfg.boost_role, cfg.boost_skill, cfg.boost_skill_text, cfg.boost_leadership, cfg.boost_open_source,
               cfg.boost_code_source, cfg.boost_specialized, cfg.boost_exact_name, cfg.boost_prefix_name]
     threshold = cfg.keyword_threshold
 
-    def make(rows):
-        def words(name):
-            return TermMatrix([[t for t in r[name] if _is_word(t)] for r in rows])
-
-        def phrases(name):
-            return TermMatrix([[t for t in r[name] if not _is_word(t)] for r in rows])
-
-        filters, grams = QueryFilters(rows), TermMatrix([r["grams"] for r in rows])
-        facets = {"roles": TermMatrix([r["exp_roles"] for r in rows]), "tags": TermMatrix([r["exp_skills"] for r in rows])}
-        texts = {n: (words(n), phrases(n)) for n in ("skill_terms", "lead_terms", "open_terms")}
-        exact = TermMatrix([[r["norm_query"]] if r["norm_query"] else [] for r in rows])
-        prefix = TermMatrix([[r["norm_query"]] if r["norm_query"] and " " not in r["norm_query"] else [] for r in rows])
-        code = TermMatrix([[V.CODE_SOURCE] for _ in rows])
-        wants_open = np.array([bool(r["wants_open"]) for r in rows])
-        wants_special = np.array([bool(r["wants_special"]) for r in rows])
-        usable = np.array([bool(r["keyword_query"]) for r in rows])
-
-        def score(batch):
-            def column(name):
-                return batch.column(batch.schema.get_field_index(name))
-
-            row_grams = column("grams")
+    def make(queries):
+        filters = QueryFilters(queries)
+        grams = TermMatrix([[gram_code(g) for g in q["grams"]] for q in queries], pa.int64())
+        facets = {"roles": TermMatrix([q["exp_roles"] for q in queries]), "tags": TermMatrix([q["exp_skills"] for q in queries])}
+        texts = {n: TextTerms([q[n] for q in queries]) for n in ("skill_terms", "lead_terms", "open_terms")}
+        exact = TermMatrix([[q["norm_query"]] if q["norm_query"] else [] for q in queries])
+        prefix = TermMatrix([[q["norm_query"]] if q["norm_query"] and " " not in q["norm_query"] else [] for q in queries])
+        code = TermMatrix([[V.CODE_SOURCE] for _ in queries])
+        wants_open = np.array([bool(q["wants_open"]) for q in queries])
+        wants_special = np.array([bool(q["wants_special"]) for q in queries])
+        usable = np.array([bool(q["keyword_query"]) for q in queries])
+
+        def score(rows: Rows):
+            row_grams = rows.grams
             shared = grams.overlap(row_grams).astype(np.float64)
             sizes = np.asarray(row_grams.value_lengths(), dtype=np.float64)[:, None]
             total = sizes + grams.needed.astype(np.float64)[None, :] - shared
             sim = np.divide(shared, total, out=np.zeros_like(shared), where=total > 0)
-            hit = {n: (w.overlap(column("words")) > 0) | (p.overlap(column("phrases")) > 0) for n, (w, p) in texts.items()}
-            is_code = code.overlap(column("sources")) > 0
-            flags = [facets["roles"].overlap(column("roles")) > 0, facets["tags"].overlap(column("tags")) > 0,
+            hit = {n: t.overlap(rows) > 0 for n, t in texts.items()}
+            is_code = code.overlap(rows["sources"]) > 0
+            flags = [facets["roles"].overlap(rows["roles"]) > 0, facets["tags"].overlap(rows["tags"]) > 0,
                      hit["skill_terms"], hit["lead_terms"], hit["open_terms"], is_code & wants_open,
-                     is_code & hit["skill_terms"] & wants_special, exact.overlap(column("names")) > 0,
-                     prefix.overlap(column("heads")) > 0]
+                     is_code & hit["skill_terms"] & wants_special, exact.overlap(rows["names"]) > 0,
+                     prefix.overlap(rows["heads"]) > 0]
             # The code-source flag alone adds score but does not make a row a candidate.
             candidate = (sim > threshold) | np.logical_or.reduce([f for i, f in enumerate(flags) if i != 5])
-            candidate &= filters.mask(batch) & usable
+            candidate &= filters.mask(rows) & usable
             rank, bits = sim.copy(), np.zeros(sim.shape, dtype=np.int32)
             for i, (flag, boost) in enumerate(zip(flags, boosts)):
                 rank = rank + flag * boost
@@ -162,88 +116,51 @@ def _keyword_scorer(cfg: RetrievalConfig):
     return make
 
 
-def _types(queries: DataFrame, docs: DataFrame) -> tuple[str, str]:
-    return queries.schema["query_id"].dataType.simpleString(), docs.schema["person_id"].dataType.simpleString()
-
-
-def _final(parts: list[DataFrame], k: int) -> DataFrame | None:
-    if not parts:
-        return None
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return top_k(out, ["query_id"], [F.desc("rank_score"), "person_id"], k)
-
-
-def _empty(queries: DataFrame, docs: DataFrame, columns: str) -> DataFrame:
-    q, p = _types(queries, docs)
-    return queries.sparkSession.createDataFrame([], f"query_id {q}, person_id {p}, {columns}")
-
-
-def keyword_hits(prepared: DataFrame, docs: DataFrame, cfg: RetrievalConfig = DEFAULT.retrieval) -> DataFrame:
+def keyword_hits(prepared: DataFrame, docs: DataFrame | SearchIndex, cfg: RetrievalConfig = DEFAULT.retrieval) -> DataFrame:
     """Top rows per query by the unclamped sum of trigram similarity and boosts, with the flags that fired.
 
     A row is a candidate when any signal fires and all filters of the query hold. Only active persons count.
-    ``docs`` has one row per person.
+    ``docs`` has one row per person, or is the index that ``postings.build_index`` made of such a table.
     """
-    q_type, id_type = _types(prepared, docs)
-    active, parts = docs.filter("status = 'active'"), []
-    for rows in query_chunks(prepared):
-        parts.append(scan_top_k(prepare_rows(active, rows), [rows], _keyword_scorer(cfg), cfg.limit,
-                                {"sim": "double", "flags": "int"}, q_type, id_type))
-    hits = _final(parts, cfg.limit)
-    if hits is None:
-        return _empty(prepared, docs, "sim double, rank_score double, keyword_score double, rank int" + "".join(
-            f", m_{f} boolean" for f in FLAGS))
+    index = docs if isinstance(docs, SearchIndex) else build_index(docs)
+    queries = stored(prepared, "queries")
+    pairs = stored(meeting_blocks(queries, index, cfg.keyword_threshold), "meeting-blocks")
+    hits = meet_top_k(index.rows, tiled(queries), pairs, _keyword_scorer(cfg), cfg.limit, {"sim": "double", "flags": "int"})
     return hits.select("query_id", "person_id", "sim", "rank_score", clamp01(F.col("rank_score")).alias("keyword_score"),
                        "rank", *[(F.col("flags").bitwiseAND(F.lit(1 << i)) > 0).alias(f"m_{f}") for i, f in enumerate(FLAGS)])
 
 
-def _vector_scorer(rows):
-    filters = QueryFilters(rows)
-    matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
+def _vector_scorer(queries):
+    filters = QueryFilters(queries)
+    matrix = np.array([q["embedding"] for q in queries], dtype=np.float64)
     norms = np.linalg.norm(matrix, axis=1)
 
-    def score(batch):
-        column = batch.column(batch.schema.get_field_index("embedding"))
-        lengths = np.asarray(column.value_lengths().fill_null(0))
-        ok = lengths == matrix.shape[1]
-        data = np.zeros((batch.num_rows, matrix.shape[1]))
-        if ok.any():
-            data[ok] = np.asarray(column.filter(pa_mask(ok)).flatten(), dtype=np.float64).reshape(-1, matrix.shape[1])
+    def score(rows: Rows):
+        data = np.asarray(rows["embedding"].flatten(), dtype=np.float64).reshape(len(rows), matrix.shape[1])
         scale = np.linalg.norm(data, axis=1)[:, None] * norms[None, :]
         sim = np.divide(data @ matrix.T, scale, out=np.zeros((len(data), len(matrix))), where=scale > 0)
-        keep = filters.mask(batch) & ok[:, None]
-        return np.where(keep, np.round(sim, 9), -np.inf), [sim]
+        return np.where(filters.mask(rows), np.round(sim, 9), -np.inf), [sim]
 
     return 64, score
 
 
-def pa_mask(values: np.ndarray):
-    import pyarrow as pa
-    return pa.array(values)
-
-
 def vector_hits(prepared: DataFrame, vectors: DataFrame, docs: DataFrame, embeddings: DataFrame,
                 cfg: RetrievalConfig = DEFAULT.retrieval) -> DataFrame:
     """Exact cosine top-k under the same filters; queries without a vector give no rows.
 
     Rows are ordered by the similarity to nine decimals so equal vectors tie and the id decides; the score itself is not rounded.
+    Queries first meet the blocks nearest to them; their k-th best row then tells which of the others can still matter.
     """
     q = prepared.join(vectors.select("query_id", F.col("embedding")).filter(F.size("embedding") > 0), "query_id")
-    q_type, id_type = _types(prepared, docs)
-    rows_in = docs.filter("status = 'active'").join(embeddings.select("person_id", "embedding"), "person_id")
-    parts = []
-    for rows in query_chunks(q):
-        by_size: dict[int, list] = {}
-        for r in rows:
-            by_size.setdefault(len(r["embedding"]), []).append(r)
-        for same in by_size.values():
-            parts.append(scan_top_k(prepare_rows(rows_in, same, vectors=True), [same], _vector_scorer, cfg.limit, {"sim": "double"},
-                                    q_type, id_type))
-    hits = _final(parts, cfg.limit)
-    if hits is None:
-        return _empty(prepared, docs, "vector_score double, rank int")
+    q = stored(q.withColumn("dim", F.size("embedding")), "query-vectors")
+    tested = not q.filter((F.size("must_words") > 0) | (F.size("must_phrases") > 0)).isEmpty()  # texts are read only for must-have terms
+    rows = filter_columns(docs, tested).select("person_id", "sources", "place_text", "norm").join(embeddings.select("person_id", "embedding"), "person_id")
+    index = build_vectors(rows)
+    queries = tiled(q)
+    extra = {"sim": "double"}
+    first = stored(meet_top_k(index.rows, queries, index.nearest(q), _vector_scorer, cfg.limit, extra).drop("rank"), "first-vectors")
+    further = meet_top_k(index.rows, queries, index.further(q, first, cfg.limit), _vector_scorer, cfg.limit, extra).drop("rank")
+    hits = top_k(first.unionByName(further), ["query_id"], [F.desc("rank_score"), "person_id"], cfg.limit)
     return hits.select("query_id", "person_id", clamp01(F.col("sim")).alias("vector_score"), "rank")
 
 

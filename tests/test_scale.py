@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from peopleweave.config import RetrievalConfig
-from peopleweave.operators import aggregates, common, index, joins, retrieve, scan
+from peopleweave.functions import similarity
+from peopleweave.operators import aggregates, common, index, joins, postings, retrieve, scan
+from peopleweave.operators import vectors as vector_blocks
 
 
 def hot(spark, n=3000):
@@ -65,17 +67,96 @@ def bare(spark, ids, status="active"):
     return retrieve.prepare_queries(q)
 
 
-@pytest.mark.parametrize("limit", [2000, 3])
-def test_vector_scan_is_exact_also_in_chunks(spark, monkeypatch, limit):
-    monkeypatch.setattr(scan, "MAX_QUERIES", limit)
-    monkeypatch.setattr(retrieve, "query_chunks", lambda df: scan.query_chunks(df, limit))
-    data, asked, e, v = vectors(spark)
+def vector_docs(e):
     none = F.array().cast("array<string>")
-    docs = e.select("person_id", F.lit("").alias("doc_text"), none.alias("facet_location"), none.alias("facet_source"), F.lit("").alias("location"), F.lit("active").alias("status"))
-    hits = retrieve.vector_hits(bare(spark, v), v, docs, e, RetrievalConfig(limit=5)).collect()
-    sims = asked @ data.T / np.linalg.norm(asked, axis=1)[:, None] / np.linalg.norm(data, axis=1)[None, :]
-    want = {(q, i) for q in range(len(asked)) for i in sorted(range(len(data)), key=lambda i: (-round(sims[q, i], 9), i))[:5]}
-    assert {(r["query_id"], r["person_id"]) for r in hits} == want
+    return e.select("person_id", F.lit("").alias("doc_text"), none.alias("facet_location"), none.alias("facet_source"), F.lit("").alias("location"), F.lit("active").alias("status"))
+
+
+def nearest(asked, data, k):
+    with np.errstate(invalid="ignore"):
+        sims = np.nan_to_num(asked @ data.T / np.linalg.norm(asked, axis=1)[:, None] / np.linalg.norm(data, axis=1)[None, :])
+    return {(q, i) for q in range(len(asked)) for i in sorted(range(len(data)), key=lambda i: (-round(sims[q, i], 9), i))[:k]}
+
+
+@pytest.mark.parametrize("tile, block, first", [(1024, 2048, 8192), (3, 30, 40)])
+def test_vector_search_is_exact_also_in_tiles_and_blocks(spark, monkeypatch, tile, block, first):
+    monkeypatch.setattr(retrieve, "tiled", lambda df: scan.tiled(df, tile))
+    monkeypatch.setattr(retrieve, "build_vectors", lambda df: vector_blocks.build_vectors(df, 8, block))
+    near, further = vector_blocks.VectorIndex.nearest, vector_blocks.VectorIndex.further
+    monkeypatch.setattr(vector_blocks.VectorIndex, "nearest", lambda self, q: near(self, q, first))
+    monkeypatch.setattr(vector_blocks.VectorIndex, "further", lambda self, q, h, k: further(self, q, h, k, first))
+    data, asked, e, v = vectors(spark)
+    hits = retrieve.vector_hits(bare(spark, v), v, vector_docs(e), e, RetrievalConfig(limit=5)).collect()
+    assert {(r["query_id"], r["person_id"]) for r in hits} == nearest(asked, data, 5)
+
+
+def test_vector_blocks_out_of_reach_are_not_met(spark):
+    rng = np.random.default_rng(8)
+    centres = np.eye(6)
+    data = np.array([centres[i % 6] + rng.normal(size=6) * 0.01 for i in range(600)] + [np.zeros(6)])
+    asked = np.vstack([centres[:2] * 3, np.zeros((1, 6))])
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "person_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(asked)], "query_id long, embedding array<double>").withColumn("dim", F.size("embedding"))
+    built = vector_blocks.build_vectors(rows, 64, 20)
+    first = built.nearest(q, 50)
+    hits = spark.createDataFrame([(0, 0.99)] * 5 + [(1, 0.99)] * 5 + [(2, 0.0)] * 5, "query_id long, rank_score double")
+    met = {i: n for i, n in first.unionByName(built.further(q, hits, 5, 50)).groupBy("query_id").count().collect()}
+    blocks = built.rows.select("block").distinct().count()
+    assert met[2] == blocks and met[0] < blocks / 2 and met[1] < blocks / 2
+    again = first.intersect(built.further(q, hits, 5, 50))
+    assert again.isEmpty()
+    got = retrieve.vector_hits(bare(spark, q), q.drop("dim"), vector_docs(rows), rows, RetrievalConfig(limit=7)).collect()
+    assert {(r["query_id"], r["person_id"]) for r in got} == nearest(asked, data, 7)
+
+
+def people(spark, n=700):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(160)] + ["c++", "浙大", "naïve", "rag", "x_y", "multi-part", "go", "ai"]
+    text = lambda k: " ".join(rng.choice(words, k))
+    rows = [(i, text(int(rng.integers(0, 60))), [str(x) for x in rng.choice(["engineer", "Writer", "chef"], 1)] if i % 3 else None, ["hangzhou" if i % 4 else "oslo"], ["github"] if i % 5 else ["bonjour", "github"],
+             [str(rng.choice(words))], " ".join(rng.choice(words, 2)) if i % 7 else str(rng.choice(words)), "Hangzhou", "active" if i % 11 else "hidden") for i in range(n)]
+    docs = spark.createDataFrame(rows, "person_id long, doc_text string, facet_role array<string>, facet_location array<string>, facet_source array<string>, facet_tags array<string>, name string, location string, status string")
+    asked = [(i, text(int(rng.integers(0, 5))), ["engineer"] if i % 4 == 0 else [], [str(rng.choice(words))] if i % 3 else ["c++", "go"], ["oslo"] if i % 6 == 0 else [], [str(rng.choice(words))] if i % 5 == 0 else [], [],
+              "bonjour" if i % 7 == 0 else None) for i in range(40)]
+    asked += [(90, "open source rag", [], ["rag"], [], [], [], None), (91, "", [], [], [], [], [], None), (92, str(rows[7][6]), [], [], [], [], [], None)]
+    queries = spark.createDataFrame(asked, "query_id long, raw_query string, roles array<string>, skills array<string>, locations array<string>, must_haves array<string>, nice_to_haves array<string>, source_bias string")
+    return docs, queries
+
+
+def test_keyword_search_over_many_blocks_and_tiles_equals_one_block(spark, monkeypatch):
+    docs, queries = people(spark)
+    prepared = retrieve.prepare_queries(queries)
+    cfg = RetrievalConfig(limit=20)
+    columns = ["query_id", "person_id", "rank", "sim", "rank_score", *[f"m_{f}" for f in retrieve.FLAGS]]
+
+    def run(every_block):
+        if every_block:
+            monkeypatch.setattr(retrieve, "meeting_blocks", lambda q, index, t: q.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(index.count - 1))).alias("block")))
+        return sorted(tuple(r) for r in retrieve.keyword_hits(prepared, index_, cfg).select(*columns).collect())
+
+    index_ = postings.build_index(docs, block_rows=40)
+    monkeypatch.setattr(retrieve, "tiled", lambda df: scan.tiled(df, 7))
+    few = run(False)
+    assert few and few == run(True)
+
+
+def test_blocks_without_common_grams_or_terms_are_left_out(spark):
+    docs, queries = people(spark)
+    index_ = postings.build_index(docs, block_rows=40)
+    blocks = index_.rows.select("block").distinct().count()
+    assert blocks >= 15 and index_.rows.count() == docs.filter("status = 'active'").count()
+    short = queries.filter("query_id = 92").unionByName(queries.filter("query_id = 92").withColumns({"query_id": F.lit(93).cast("long"), "raw_query": F.lit("kkkk qqqq"), "source_bias": F.lit("nowhere")}))
+    short = short.unionByName(queries.filter("query_id = 92").withColumns({"query_id": F.lit(94).cast("long"), "raw_query": F.lit("kkkk")}))
+    met = {r["query_id"]: r["count"] for r in postings.meeting_blocks(retrieve.prepare_queries(short), index_, 0.08).groupBy("query_id").count().collect()}
+    assert met[92] >= 1 and 93 not in met and 94 not in met
+    assert retrieve.keyword_hits(retrieve.prepare_queries(short), docs.limit(0)).isEmpty()
+
+
+def test_gram_codes_agree_with_the_column_version(spark):
+    texts = ["Ab cd", "", "naïve  浙大 x_y 12", "𝒳yz ok", None, "a-b_c"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("norm", retrieve.normalize_index_text("t"))
+    for r in df.select("norm", F.array_sort(F.transform(similarity.trigrams("norm"), postings.gram_key)).alias("codes")).collect():
+        assert postings.text_grams(r["norm"]).tolist() == r["codes"]
 
 
 def test_keyword_scan_filters_and_k_above_the_list(spark):
