@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from ..bindings import NOW, Tables, with_sql
 from ..operators import common
+from ..session import shared_folder
 from ..sources import readers, sinks
 from .registry import query
 
@@ -138,8 +139,9 @@ def snk1(t: Tables):
     incoming = p.select("source", F.when(new, pid).alias("source_profile_id"),
                         F.when(new, F.concat("handle", F.lit("-renamed"))).otherwise(F.col("handle")).alias("handle"),
                         F.concat("display_name", F.lit(" new")).alias("display_name"), F.col("ordinal").alias("seq"))
-    return sinks.upsert_profiles(existing, incoming, t.opt_outs(), NOW).select(
-        "profile_id", "source", "source_profile_id", "handle", "display_name", "is_deleted")
+    table = sinks.keyed_table(existing, shared_folder(t.spark, "profiles"), ["profile_id"], 16)
+    sinks.merge_profiles(table, incoming, t.opt_outs(), NOW)
+    return table.read().select("profile_id", "source", "source_profile_id", "handle", "display_name", "is_deleted")
 
 
 @query("snk2_upsert_documents", with_sql(["search_docs", "doc_embeddings"], """
@@ -151,7 +153,9 @@ def snk2(t: Tables):
     incoming = t.embeddings().select("person_id", F.lit("new").alias("version"), F.col("embedded_at").alias("updated_at"))
     earlier = incoming.select("person_id", F.lit("stale").alias("version"),
                               (F.col("updated_at") - F.expr("interval 1 day")).alias("updated_at"))
-    return sinks.upsert_by_person(existing, incoming.unionByName(earlier), "updated_at")
+    table = sinks.keyed_table(existing, shared_folder(t.spark, "documents"), ["person_id"], 16)
+    sinks.merge_by_person(table, incoming.unionByName(earlier), "updated_at")
+    return table.read()
 
 
 @query("snk3_insert_absent_evidence", with_sql(["evidence"], """
@@ -165,7 +169,9 @@ def snk3(t: Tables):
     e = t.evidence().withColumn("evidence_hash", F.sha2(F.concat_ws("|", "title", "description"), 256)).select(
         "person_id", "source", "evidence_hash", "evidence_id", "created_at", "evidence_type")
     old, new = e.filter("evidence_type = 'project'"), e.filter("evidence_type <> 'project'")
-    return sinks.append_new_evidence(old, new).select("person_id", "source", "evidence_hash", "evidence_id")
+    table = sinks.keyed_table(old, shared_folder(t.spark, "evidence"), ["person_id"], 16)
+    sinks.merge_absent(table, new, sinks.append_new_evidence)
+    return table.read().filter("evidence_type <> 'project'").select("person_id", "source", "evidence_hash", "evidence_id")
 
 
 @query("snk3_insert_absent_aliases", with_sql(["alias_rows"], """
@@ -173,8 +179,9 @@ SELECT person_id, alias_type, alias_value FROM alias_rows WHERE confidence < 1
 EXCEPT SELECT person_id, alias_type, alias_value FROM alias_rows WHERE confidence = 1"""))
 def snk3_aliases(t: Tables):
     a = t.alias_rows().withColumn("seq", F.col("person_id"))
-    return sinks.append_new_aliases(a.filter("confidence = 1"), a.filter("confidence < 1")).select(
-        "person_id", "alias_type", "alias_value")
+    table = sinks.keyed_table(a.filter("confidence = 1"), shared_folder(t.spark, "aliases"), ["person_id"], 16)
+    sinks.merge_absent(table, a.filter("confidence < 1"), sinks.append_new_aliases)
+    return table.read().filter("confidence < 1").select("person_id", "alias_type", "alias_value")
 
 
 @query("snk4_replace_identities", with_sql(["identities", "profiles"], """
@@ -187,7 +194,9 @@ def snk4(t: Tables):
     moved = t.profiles().filter("source = 'github'").select(
         "profile_id", (F.col("ordinal") + 100000).alias("person_id"), F.lit(0.7).alias("match_score"),
         F.col("ordinal").alias("seq"))
-    return sinks.replace_identities(old, moved)
+    table = sinks.keyed_table(old, shared_folder(t.spark, "identities"), ["profile_id"], 16)
+    sinks.merge_identities(table, moved)
+    return table.read()
 
 
 @query("snk5_export_csv", with_sql(["persons"], """

@@ -14,12 +14,13 @@ def trigrams(value) -> Column:
     """Distinct padded character trigrams of every word: two spaces before, one after.
 
     Words are padded and put on separate lines, then one regex pass takes every overlapping
-    three-character window inside a line; no per-character lambda is evaluated.
+    three-character window inside a line; no per-character lambda is evaluated. A window that begins inside
+    a character beyond the basic plane comes out with a question mark, which no word holds, and is dropped.
     """
     text = F.regexp_replace(F.lower(col(value)), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     padded = F.concat(F.lit("  "), F.regexp_replace(text, r"[^\p{L}\p{N}]+", " \n  "), F.lit(" "))
     return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.regexp_extract_all(padded, F.lit("(?=([^\n]{3}))"), F.lit(1))))
+        F.filter(F.array_distinct(F.regexp_extract_all(padded, F.lit("(?=([^\n]{3}))"), F.lit(1))), lambda g: ~g.contains("?")))
 
 
 def set_similarity(left: Column, right: Column) -> Column:

@@ -1,55 +1,76 @@
-"""Sinks: keyed upserts, a versioned table, the run ledger, exports and snapshot packs.
+"""Sinks: keyed upserts, hash-partitioned tables, the run ledger, exports and snapshot packs.
 
-Upserts are pure DataFrame functions giving the new table contents; ``VersionedTable`` makes the
-switch atomic, so a job that dies half way leaves the previous version in place and can be re-run.
+Upserts are pure DataFrame functions giving new table contents. ``KeyedTable`` applies them to the partitions that a batch touches and to no others.
 """
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.similarity import percent
 from ..functions.text import trim_ws
 from ..operators.common import best_row, insert_if_absent, latest_wins
+from ..session import stored
 
 
-class VersionedTable:
-    """A Parquet table whose current version is named by the highest row of a pointer log.
+@dataclass(frozen=True)
+class KeyedTable:
+    """A folder of plain Parquet, partitioned by a hash of the key columns; a row with a key lies in one known partition.
 
-    Every write goes to a folder of its own, so a version that is being read is never touched; the
-    pointer row is appended only after the data is complete. One writer at a time.
+    A merge joins its batch with the touched partitions only and lets Spark overwrite just these; the files of all others stay as they are.
+    Spark moves the partitions in one after the other when the job commits, so after a crash the same batch has to be merged again, which is
+    harmless with merges that keep the newest or the first row of a key. One writer at a time. ``partitions`` belongs to the folder and is never changed.
     """
+    spark: SparkSession
+    path: str
+    keys: tuple[str, ...]
+    schema: StructType
+    partitions: int = 64
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def _placed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_part", F.pmod(F.xxhash64(*self.keys), F.lit(self.partitions)).cast("int"))
 
-    def _pointer(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema("version long, run_id string, path string, at timestamp").parquet(f"{self.root}/pointer")
-        except AnalysisException:
-            return None
+    def _write(self, placed: DataFrame) -> None:
+        rows = placed.select(*self.schema.names, "_part").repartition("_part")
+        rows.write.partitionBy("_part").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
 
-    def write(self, df: DataFrame, run_id: str, at) -> None:
-        pointer = self._pointer()
-        version = 1 if pointer is None else 1 + (pointer.agg(F.max("version")).first()[0] or 0)
-        path = f"{self.root}/data/{run_id}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        row = self.spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(run_id).alias("run_id"), F.lit(path).alias("path"),
-                                         F.lit(at).cast("timestamp").alias("at"))
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/pointer")
+    def read(self, parts: list[int] | None = None) -> DataFrame:
+        """All rows, or those of some partitions: other folders are not listed as input."""
+        df = self.spark.read.schema(StructType([*self.schema.fields, StructField("_part", IntegerType())])).parquet(self.path)
+        return (df if parts is None else df.filter(F.col("_part").isin(parts))).drop("_part")
 
-    def current(self) -> DataFrame:
-        newest = self._pointer().orderBy(F.desc("version")).select("path").first()
-        return self.spark.read.parquet(newest["path"])
+    def create(self, df: DataFrame) -> None:
+        """First contents. An empty table still gets its folder."""
+        self.spark.createDataFrame([], StructType([*self.schema.fields, StructField("_part", IntegerType())])).write.mode("append").partitionBy("_part").parquet(self.path)
+        self._write(self._placed(df))
 
+    def merge(self, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+        """Replace the touched partitions by ``merge(their rows, batch)`` and return their numbers, at most ``partitions`` of them.
 
-def upsert_profiles(existing: DataFrame, incoming: DataFrame, opt_outs: DataFrame, now) -> DataFrame:
-    """Match on (source, source_profile_id) first, else on (source, handle); last incoming row wins.
+        ``merge`` may change or add rows of keys of the batch only.
+        """
+        batch = stored(self._placed(batch), "batch")
+        touched = sorted(r[0] for r in batch.select("_part").distinct().collect())
+        if touched:
+            self._write(self._placed(merge(self.read(touched), batch.drop("_part"))))
+        return touched
 
-    Handles with a processed opt-out land hidden. ``incoming`` carries ``seq``, the arrival order.
+
+def keyed_table(df: DataFrame, path: str, keys, partitions: int = 64) -> KeyedTable:
+    """Write ``df`` as a new table."""
+    table = KeyedTable(df.sparkSession, path, tuple(keys), StructType([StructField(f.name, f.dataType) for f in df.schema.fields]), partitions)
+    table.create(df)
+    return table
+
+
+def identify_profiles(existing: DataFrame, incoming: DataFrame, opt_outs: DataFrame, now) -> DataFrame:
+    """Incoming rows with the profile_id they belong to: that of (source, source_profile_id), else of (source, handle), else a new one.
+
+    Of ``existing`` only profile_id, source, source_profile_id and handle are read. Handles with a processed opt-out come out hidden.
     """
     stamp = F.lit(now).cast("timestamp")
     hidden = opt_outs.filter("status = 'processed'").select("source", "handle").distinct().withColumn("_out", F.lit(True))
@@ -62,13 +83,42 @@ def upsert_profiles(existing: DataFrame, incoming: DataFrame, opt_outs: DataFram
              .join(by_id, ["source", "source_profile_id"], "left").join(by_handle, ["source", "handle"], "left")
              .join(in_batch, ["source", "handle"], "left").join(hidden, ["source", "handle"], "left"))
     new_id = F.sha2(F.concat_ws("|", "source", F.coalesce("source_profile_id", "_batch_id", "handle")), 256)
-    keyed = keyed.select(F.coalesce("_by_id", "_by_handle", new_id).alias("profile_id"),
-                         *[c for c in incoming.columns if c not in ("profile_id", "is_deleted", "synced_at", "seen_at")],
-                         F.coalesce("_out", F.lit(False)).alias("is_deleted"), stamp.alias("synced_at"),
-                         stamp.alias("seen_at"))
+    return keyed.select(F.coalesce("_by_id", "_by_handle", new_id).alias("profile_id"),
+                        *[c for c in incoming.columns if c not in ("profile_id", "is_deleted", "synced_at", "seen_at")],
+                        F.coalesce("_out", F.lit(False)).alias("is_deleted"), stamp.alias("synced_at"),
+                        stamp.alias("seen_at"))
+
+
+def _last_arrival(existing: DataFrame, keyed: DataFrame) -> DataFrame:
     return latest_wins(existing.withColumn("seq", F.lit(None).cast("long")), keyed, ["profile_id"], "seq").drop("seq")
 
 
+def upsert_profiles(existing: DataFrame, incoming: DataFrame, opt_outs: DataFrame, now) -> DataFrame:
+    """Match on (source, source_profile_id) first, else on (source, handle); last incoming row wins.
+
+    Handles with a processed opt-out land hidden. ``incoming`` carries ``seq``, the arrival order.
+    """
+    return _last_arrival(existing, identify_profiles(existing, incoming, opt_outs, now))
+
+
+def merge_profiles(table: KeyedTable, incoming: DataFrame, opt_outs: DataFrame, now) -> list[int]:
+    """``upsert_profiles`` on a table keyed by profile_id: the narrow key columns are read in full, whole rows only from touched partitions."""
+    return table.merge(identify_profiles(table.read(), incoming, opt_outs, now), _last_arrival)
+
+
+def merge_by_person(table: KeyedTable, incoming: DataFrame, stamp: str) -> list[int]:
+    return table.merge(incoming, lambda old, new: upsert_by_person(old, new, stamp))
+
+
+def merge_absent(table: KeyedTable, incoming: DataFrame, absent: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+    """Add the rows of a batch whose key is not stored; ``absent`` is ``append_new_evidence`` or ``append_new_aliases``."""
+    return table.merge(incoming, lambda old, new: old.unionByName(absent(old, new).select(*old.columns)))
+
+
+def merge_identities(table: KeyedTable, incoming: DataFrame) -> list[int]:
+    return table.merge(incoming, replace_identities)
+
+
 def upsert_by_person(existing: DataFrame, incoming: DataFrame, stamp: str) -> DataFrame:
     """Documents or embeddings: one row per person, newest write wins."""
     return latest_wins(existing, incoming, ["person_id"], stamp)

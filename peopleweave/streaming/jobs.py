@@ -1,24 +1,33 @@
 """Structured Streaming jobs. Every job takes and returns streaming DataFrames (or starts a query)."""
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 from ..operators.aggregates import FEEDBACK_KINDS, candidate_state
 from ..operators.common import best_row
-from ..session import ensure_checkpoint_dir
+from ..session import shared_folder as scratch_folder, stored
+from ..sources.sinks import KeyedTable
 
 
 # --- running -----------------------------------------------------------------------------
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder beside the job's checkpoints, on storage all executors share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+def _run(job: DataFrame, root: str, mode: str) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    query = (job.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(write)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def _result(job: DataFrame, root: str) -> DataFrame:
+    return job.sparkSession.read.schema(job.schema.add("batch", "long")).option("basePath", f"{root}/out").parquet(f"{root}/out/batch=*")
 
 
 def run_available(stream: DataFrame, mode: str = "append", keys=()) -> DataFrame:
@@ -27,21 +36,33 @@ def run_available(stream: DataFrame, mode: str = "append", keys=()) -> DataFrame
     Every batch is written under its id, so a replayed batch overwrites itself and nothing appears twice.
     In update mode the newest batch of each key counts.
     """
-    spark = stream.sparkSession
-    root = scratch_folder(spark, "stream")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
-
-    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(write)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    out = spark.read.schema(stream.schema.add("batch", "long")).option("basePath", f"{root}/out").parquet(f"{root}/out/batch=*")
+    root = scratch_folder(stream.sparkSession, "stream")
+    _run(stream, root, mode)
+    out = _result(stream, root)
     if mode == "update":
         out = best_row(out, list(keys), F.col("batch"))
     return out.drop("batch")
 
 
+def run_to_end(stream: DataFrame, job: Callable[[DataFrame], DataFrame], marker: dict, mode: str = "append") -> DataFrame:
+    """Process all data present, then close what the watermark has left open, and return what the sink holds.
+
+    ``job`` gets the stream joined by a second source, a folder for end markers. Once the data is processed a marker, a row with the values
+    given (a time far behind all data, and what the job's filters ask for), is put there and the same query goes on from its checkpoint: the marker
+    moves the watermark past every window that is open, so each comes out once. The marker's own window stays open and never comes out.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    root = scratch_folder(spark, "stream")
+    ends = f"{root}/ends"
+    spark.createDataFrame([], schema).write.parquet(ends)
+    ended = job(stream.unionByName(spark.readStream.schema(schema).parquet(ends)))
+    _run(ended, root, mode)
+    row = spark.range(1).select(*[F.lit(marker.get(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields])
+    row.write.mode("append").parquet(ends)
+    _run(ended, root, mode)
+    return _result(ended, root).drop("batch")
+
+
 def table_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
     """Stream over a Parquet file or folder of files. The last letter is globbed because the file source wants
     a pattern or a folder."""
@@ -74,10 +95,13 @@ def viewer_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1
 
 
 # --- upserts ------------------------------------------------------------------------------------
-def upsert_stream(stream: DataFrame, table, merge, now, checkpoint: str):
-    """Merge every micro-batch into a versioned table; the batch id names the version, so a replay is harmless."""
+def upsert_stream(stream: DataFrame, table: KeyedTable, merge, checkpoint: str):
+    """Merge every micro-batch into the partitions of a keyed table that it touches.
+
+    A batch that is replayed after a crash is merged again, which changes nothing if ``merge`` keeps the newest or the first row of a key.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.write(merge(table.current(), batch), f"batch-{batch_id:012d}", now)
+        table.merge(batch, merge)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
 
@@ -142,9 +166,38 @@ def surfaced_then_feedback(surfaced: DataFrame, feedback: DataFrame, within: str
 
 
 def split_late(batch: DataFrame, watermark, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
-    """(rows in time, late rows) of one micro-batch, for jobs that keep late data in a side table."""
-    limit = F.lit(watermark).cast("timestamp")
-    return batch.filter(F.col(ts) >= limit), batch.filter(F.col(ts) < limit)
+    """(rows in time, late rows) of one micro-batch; rows without a time are in time, and so are all while there is no watermark."""
+    late = F.coalesce(F.col(ts) < F.lit(watermark).cast("timestamp"), F.lit(False))
+    return batch.filter(~late), batch.filter(late)
+
+
+def keep_late(stream: DataFrame, root: str, ts: str = "ts", delay: str = "1 day") -> StreamingQuery:
+    """Write a stream to ``root``/in_time and the rows behind the watermark to ``root``/late, where nothing is lost.
+
+    The watermark of a batch is the largest time of all earlier batches less ``delay``. Every batch stores the largest time up to itself under its
+    id, and so does what it writes: a replayed batch finds the same watermark and overwrites its own output.
+    """
+    spark = stream.sparkSession
+    clock_schema = StructType([StructField("upto", TimestampType()), StructField("batch", LongType())])
+    spark.createDataFrame([], clock_schema).write.mode("append").partitionBy("batch").parquet(f"{root}/clock")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        before = spark.read.schema(clock_schema).parquet(f"{root}/clock").filter(F.col("batch") < batch_id).agg(F.max("upto").alias("upto"))
+        clock = before.select("upto", (F.col("upto") - F.expr(f"interval {delay}")).alias("watermark")).first()
+        rows = stored(batch, "late-batch")
+        for name, part in zip(("in_time", "late"), split_late(rows, clock["watermark"], ts)):
+            part.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+        upto = rows.agg(F.greatest(F.max(ts).cast("timestamp"), F.lit(clock["upto"]).cast("timestamp")).alias("upto"))
+        upto.write.mode("overwrite").parquet(f"{root}/clock/batch={batch_id}")
+
+    return stream.writeStream.option("checkpointLocation", f"{root}/state").foreachBatch(write).trigger(availableNow=True).start()
+
+
+def late_tables(spark: SparkSession, root: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows in time, late rows) that ``keep_late`` has written."""
+    def read(name):
+        return spark.read.schema(schema).option("basePath", f"{root}/{name}").parquet(f"{root}/{name}/batch=*")
+    return read("in_time"), read("late")
 
 
 def feedback_only(events: DataFrame) -> DataFrame:

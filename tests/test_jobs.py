@@ -37,14 +37,36 @@ def test_handle_lists_and_golden_set(spark, tmp_path):
     assert ok.count() == 1 and bad.count() == 2
 
 
-def test_versioned_table_switches_and_survives_a_replay(spark, tmp_path):
-    table = sinks.VersionedTable(spark, str(tmp_path / "t"))
-    table.write(spark.range(3), "v1", "2024-01-01")
-    table.write(spark.range(5), "v2", "2024-01-02")
-    table.write(spark.range(5), "v2", "2024-01-02")
-    assert table.current().count() == 5
-    table.write(table.current().limit(2), "v2", "2024-01-02")  # a replay may read the version it follows
-    assert table.current().count() == 2
+def files_of(path):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet") and "_part=" in d}
+
+
+def test_merge_rewrites_only_the_partitions_of_its_batch(spark, tmp_path):
+    rows = spark.range(400).select(F.col("id").alias("key"), F.lit("old").alias("v"), F.lit(0).cast("long").alias("at"))
+    table = sinks.keyed_table(rows, str(tmp_path / "t"), ["key"], 32)
+    before = files_of(tmp_path / "t")
+    batch = spark.createDataFrame([(3, "new", 5), (9, "new", 5), (9, "newer", 6), (1000, "added", 1)], "key long, v string, at long")
+    merge = lambda old, new: common.newest_wins(old, new, ["key"], "at")
+    touched = table.merge(batch, merge)
+    after = files_of(tmp_path / "t")
+    assert 1 <= len(touched) <= 3 and table.read(touched).count() < 400
+    kept = {f: m for f, m in before.items() if int(f.split("_part=")[1].split("/")[0]) not in touched}
+    assert kept and all(after.get(f) == m for f, m in kept.items())
+    want = {i: "old" for i in range(400)} | {3: "new", 9: "newer", 1000: "added"}
+    for _ in range(2):  # a batch that is merged again changes nothing
+        assert {r["key"]: r["v"] for r in table.read().collect()} == want
+        assert table.merge(batch, merge) == touched
+    assert table.merge(batch.limit(0), merge) == [] and table.read().count() == 401
+
+
+def test_merge_into_an_empty_table_and_absent_rows(spark, tmp_path):
+    cols = "person_id long, alias_type string, alias_value string, seq long"
+    table = sinks.keyed_table(spark.createDataFrame([], cols), str(tmp_path / "t"), ["person_id"], 8)
+    assert table.read().count() == 0
+    rows = spark.createDataFrame([(1, "a", "x", 2), (1, "a", "x", 1), (2, "a", "y", 1), (None, "a", "z", 1)], cols)
+    sinks.merge_absent(table, rows, sinks.append_new_aliases)
+    sinks.merge_absent(table, rows.withColumn("seq", F.lit(0).cast("long")), sinks.append_new_aliases)
+    assert sorted((r["person_id"], r["seq"]) for r in table.read().filter("person_id IS NOT NULL").collect()) == [(1, 1), (2, 1)]
 
 
 def test_csv_export_quotes(spark, tmp_path):
@@ -89,13 +111,12 @@ def test_stream_state_equals_batch_for_out_of_order_files(spark, tables, tmp_pat
 
 def test_stream_upsert_replay_is_harmless(spark, tables, tmp_path):
     rows = event_files(spark, tables, str(tmp_path / "in"))
-    table = sinks.VersionedTable(spark, str(tmp_path / "table"))
-    table.write(rows.limit(0), "start", "1970-01-01")
+    table = sinks.keyed_table(rows.limit(0), str(tmp_path / "table"), ["viewer_id"], 4)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     merge = lambda old, new: common.newest_wins(old, new, ["viewer_id"], F.struct("ts", "event_id", "kind"))
     for folder in ("c1", "c2"):  # the second run starts from nothing, as after a lost checkpoint
-        jobs.upsert_stream(stream, table, merge, NOW, str(tmp_path / folder)).awaitTermination()
-    got = {r["viewer_id"]: (r["ts"], r["event_id"], r["kind"]) for r in table.current().collect()}
+        jobs.upsert_stream(stream, table, merge, str(tmp_path / folder)).awaitTermination()
+    got = {r["viewer_id"]: (r["ts"], r["event_id"], r["kind"]) for r in table.read().collect()}
     want = {}
     for r in rows.collect():
         key = (r["ts"], r["event_id"], r["kind"])
@@ -104,9 +125,38 @@ def test_stream_upsert_replay_is_harmless(spark, tables, tmp_path):
 
 
 def test_late_rows_go_to_the_side(spark):
-    df = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-05")], "id int, t string").withColumn("ts", F.col("t").cast("timestamp"))
+    df = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-05"), (3, None)], "id int, t string").withColumn("ts", F.col("t").cast("timestamp"))
     kept, late = jobs.split_late(df, "2024-01-03")
-    assert [r["id"] for r in kept.collect()] == [2] and [r["id"] for r in late.collect()] == [1]
+    assert sorted(r["id"] for r in kept.collect()) == [2, 3] and [r["id"] for r in late.collect()] == [1]
+    kept, late = jobs.split_late(df, None)
+    assert kept.count() == 3 and late.count() == 0
+
+
+def test_late_rows_of_a_stream_and_its_replay(spark, tmp_path):
+    schema = "id long, ts timestamp"
+    days = [[1, 2], [9, 1, 8], [], [7, 4, 12, None], [11, 10, 5]]
+    for n, batch in enumerate(days):
+        rows = [(100 * n + i, None if d is None else f"2024-01-{d:02d}") for i, d in enumerate(batch)]
+        spark.createDataFrame(rows, "id long, t string").select("id", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    root, seen, upto, want = str(tmp_path / "out"), [], 0, set()
+    for n, batch in enumerate(days):
+        want |= {100 * n + i for i, d in enumerate(batch) if d is not None and d < upto - 2}
+        upto = max([upto, *[d for d in batch if d]])
+    for replay in range(2):  # the second run starts from nothing, as after a lost checkpoint, and overwrites what the first has written
+        jobs.keep_late(stream, root, delay="2 days").awaitTermination()
+        kept, late = jobs.late_tables(spark, root, stream.schema)
+        assert sorted(r["id"] for r in late.collect()) == sorted(want) and kept.count() + late.count() == sum(map(len, days))
+        os.rename(f"{root}/state", str(tmp_path / f"state{replay}"))
+
+
+def test_windows_that_input_leaves_open_come_out_once(spark, tmp_path):
+    rows = spark.createDataFrame([(f"2024-01-{d:02d} 10:00:00", "seen") for d in (1, 1, 2, 5)], "t string, kind string").select(F.col("t").cast("timestamp").alias("ts"), "kind")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    got = sorted((r["day"], r["n"]) for r in jobs.run_to_end(stream, jobs.daily_counts, {"ts": "2999-01-01 00:00:00"}).collect())
+    assert got == [("2024-01-01", 2), ("2024-01-02", 1), ("2024-01-05", 1)]
+    assert len(jobs.run_available(jobs.daily_counts(stream)).collect()) == 2
 
 
 def test_search_job(spark, tables):
