@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 from ..functions.dates import at, age_days, first_timestamp
 from ..functions.text import blank_to_null, trim_ws
+from ..session import cut_lineage
 from .common import top_k
 
 FEEDBACK_KINDS = ["interested", "not_interested", "contacted", "revisit"]
@@ -17,6 +18,28 @@ def sorted_set(value) -> Column:
     return F.sort_array(F.collect_set(value))
 
 
+def distinct_facts(df: DataFrame, keys, kinds: dict[str, Column]) -> DataFrame:
+    """(keys, kind, value): the distinct non-null values of some string columns per key, in long form.
+
+    Rows are made distinct by key, kind and value, first in every task and then over a hash of all three, so the values of a hot key are spread over all
+    tasks and never meet in one row.
+    """
+    facts = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("string").alias("value")) for k, v in kinds.items()])).alias("f")
+    return df.select(*keys, facts).select(*keys, "f.kind", "f.value").filter(F.col("value").isNotNull()).distinct()
+
+
+def nested_facts(facts: DataFrame, keys, kinds) -> DataFrame:
+    """Facts as one sorted array per kind. A key becomes one row, so this is for results whose sets are known to be small."""
+    sets = [F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("value")))).alias(k) for k in kinds]
+    return facts.groupBy(*keys).agg(*sets)
+
+
+def _with_sets(counts: DataFrame, facts: DataFrame, key: str, kinds) -> DataFrame:
+    sets = nested_facts(facts, [key], kinds)
+    joined = counts.join(sets, key, "left")
+    return joined.select(*counts.columns, *[F.coalesce(k, F.array().cast("array<string>")).alias(k) for k in kinds])
+
+
 # --- coverage -----------------------------------------------------------------------------
 def coverage_report(persons, docs, embeddings, identities, profiles, approximate: bool = False) -> DataFrame:
     """One row of totals and rounded percentages of active persons."""
@@ -104,66 +127,88 @@ def identity_confidence(scores: DataFrame) -> DataFrame:
     return agg.select("person_id", F.when(F.col("n") <= 1, 0.5).otherwise(F.coalesce("mean", F.lit(0.5))).alias("confidence"))
 
 
+def source_links(identities: DataFrame, profiles: DataFrame, website_aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(person_id, source, handle, url, display_name, bio) per linked profile, and distinct (person_id, website): the long form of ``source_bundles``."""
+    linked = identities.select("person_id", "profile_id")
+    rows = linked.join(profiles, "profile_id").select("person_id", "source", "handle", "url", "display_name", "bio")
+    sites = website_aliases.join(linked, "profile_id").select("person_id", "website").filter("website IS NOT NULL").distinct()
+    return rows, sites
+
+
 def source_bundles(identities: DataFrame, profiles: DataFrame, website_aliases: DataFrame) -> DataFrame:
     """All linked profiles of a person as one nested value, with the person's website links."""
-    linked = identities.select("person_id", "profile_id").join(profiles, "profile_id")
-    nested = linked.groupBy("person_id").agg(F.sort_array(F.collect_list(F.struct(
+    rows, sites = source_links(identities, profiles, website_aliases)
+    nested = rows.groupBy("person_id").agg(F.sort_array(F.collect_list(F.struct(
         "source", "handle", "url", "display_name", "bio"))).alias("sources"))
-    sites = website_aliases.join(identities.select("person_id", "profile_id"), "profile_id").groupBy("person_id").agg(
-        sorted_set("website").alias("websites"))
+    sites = sites.groupBy("person_id").agg(F.sort_array(F.collect_list("website")).alias("websites"))
     return nested.join(sites, "person_id", "left").withColumn(
         "websites", F.coalesce("websites", F.array().cast("array<string>")))
 
 
 # --- community handles ------------------------------------------------------------------------
-def accumulate_handles(mentions: DataFrame) -> DataFrame:
-    """Posts, likes, comments and imports -> one row per handle.
+HANDLE_SETS = ["categories", "category_titles", "names", "descriptions", "source_kinds", "external_sources"]
+
+
+def handle_facts(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(handle, occurrences) and (handle, kind, value) over posts, likes, comments and imports.
 
     mentions: (handle, source_kind, category, category_title, name, description, external_source).
     Imports count as known, not as an occurrence.
     """
-    rows = mentions.filter(blank_to_null("handle").isNotNull())
-    return rows.groupBy(trim_ws("handle").alias("handle")).agg(
-        F.count_if(F.col("source_kind") != "external_import").alias("occurrences"),
-        sorted_set(blank_to_null("category")).alias("categories"),
-        sorted_set(F.coalesce(blank_to_null("category_title"), blank_to_null("category"))).alias("category_titles"),
-        sorted_set(blank_to_null("name")).alias("names"), sorted_set(blank_to_null("description")).alias("descriptions"),
-        sorted_set("source_kind").alias("source_kinds"), sorted_set("external_source").alias("external_sources"))
+    rows = mentions.filter(blank_to_null("handle").isNotNull()).withColumn("handle", trim_ws("handle"))
+    counts = rows.groupBy("handle").agg(F.count_if(F.col("source_kind") != "external_import").alias("occurrences"))
+    return counts, distinct_facts(rows, ["handle"], {
+        "categories": blank_to_null("category"), "category_titles": F.coalesce(blank_to_null("category_title"), blank_to_null("category")),
+        "names": blank_to_null("name"), "descriptions": blank_to_null("description"), "source_kinds": F.col("source_kind"),
+        "external_sources": F.col("external_source")})
 
 
-def merge_handle_summaries(batches: DataFrame) -> DataFrame:
-    """The same handle in several batches: largest occurrence count, union of every set.
+def accumulate_handles(mentions: DataFrame) -> DataFrame:
+    """``handle_facts`` as one row per handle with its sets."""
+    return _with_sets(*handle_facts(mentions), "handle", HANDLE_SETS)
 
-    Members are exploded and collected as sets, so each distinct value is shuffled once per task.
-    """
-    names = ["categories", "category_titles", "names", "descriptions", "source_kinds", "external_sources"]
-    tops = batches.groupBy("handle").agg(F.max("occurrences").alias("occurrences"))
 
+def merge_handle_facts(counts: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same handle in several batches, in long form: largest occurrence count, distinct facts."""
+    return counts.groupBy("handle").agg(F.max("occurrences").alias("occurrences")), facts.select("handle", "kind", "value").distinct()
+
+
+def merge_handle_summaries(batches: DataFrame) -> DataFrame:
+    """The same handle in several nested batches: their sets are taken apart, merged in long form and nested again."""
     def tagged(name):
         values = F.coalesce(F.col(name), F.array().cast("array<string>"))
-        return F.transform(values, lambda v: F.struct(F.lit(name).alias("k"), v.alias("v")))
+        return F.transform(values, lambda v: F.struct(F.lit(name).alias("kind"), v.alias("value")))
 
-    pairs = batches.select("handle", F.explode(F.flatten(F.array(*[tagged(n) for n in names]))).alias("m"))
-    sets = pairs.groupBy("handle").agg(*[sorted_set(F.when(F.col("m.k") == n, F.col("m.v"))).alias(n) for n in names])
-    out = tops.join(sets, "handle", "left")
-    return out.select("handle", "occurrences", *[F.coalesce(n, F.array().cast("array<string>")).alias(n) for n in names])
+    facts = batches.select("handle", F.explode(F.flatten(F.array(*[tagged(n) for n in HANDLE_SETS]))).alias("m")).select("handle", "m.kind", "m.value")
+    return _with_sets(*merge_handle_facts(batches.select("handle", "occurrences"), facts.filter("value IS NOT NULL")), "handle", HANDLE_SETS)
 
 
-def friend_previews(links: DataFrame) -> DataFrame:
-    """Sightings of a handle in friend lists: first name and avatar, longest description, counts."""
+def friend_facts(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sightings of a handle in friend lists: first name, longest description and counts; and (handle, kind, value) of edge types and files."""
     name, text = blank_to_null("name"), blank_to_null("description")
-    order = F.col("seen_order")
-    return links.groupBy("dst").agg(
+    order, rows = F.col("seen_order"), links.withColumnRenamed("dst", "handle")
+    counts = rows.groupBy("handle").agg(
         F.min_by(name, F.when(name.isNotNull(), order)).alias("name"),
         F.min_by(text, F.when(text.isNotNull(), F.struct((-F.length(text)).alias("l"), order.alias("o")))).alias("description"),
-        F.count(F.lit(1)).alias("sightings"), sorted_set("edge_type").alias("edge_types"),
-        sorted_set("file").alias("files")).withColumnRenamed("dst", "handle")
+        F.count(F.lit(1)).alias("sightings"))
+    return counts, distinct_facts(rows, ["handle"], {"edge_types": F.col("edge_type"), "files": F.col("file")})
+
+
+def friend_previews(links: DataFrame) -> DataFrame:
+    """``friend_facts`` as one row per handle with its sets."""
+    return _with_sets(*friend_facts(links), "handle", ["edge_types", "files"])
+
+
+def frontier_facts(visits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dst, depth, src) sightings -> in-degree and first depth per handle, and distinct (handle, kind, value) of where it was seen."""
+    rows = visits.withColumnRenamed("dst", "handle")
+    counts = rows.groupBy("handle").agg(F.count(F.lit(1)).alias("incoming"), F.min("depth").alias("first_depth"))
+    return counts, distinct_facts(rows, ["handle"], {"discovered_from": F.col("src")})
 
 
 def frontier_summary(visits: DataFrame) -> DataFrame:
-    """(dst, depth, src) sightings -> in-degree, first depth, discovered-from set."""
-    return visits.groupBy("dst").agg(F.count(F.lit(1)).alias("incoming"), F.min("depth").alias("first_depth"),
-                                     sorted_set("src").alias("discovered_from")).withColumnRenamed("dst", "handle")
+    """``frontier_facts`` as one row per handle with its discovered-from set."""
+    return _with_sets(*frontier_facts(visits), "handle", ["discovered_from"])
 
 
 # --- viewers ---------------------------------------------------------------------------------
@@ -214,16 +259,58 @@ def bucket_counts(listed: DataFrame) -> DataFrame:
 
 
 # --- ranked lists ------------------------------------------------------------------------------
-def exact_median(df: DataFrame, keys, value: str, out: str = "median") -> DataFrame:
-    """Exact median without gathering a group: equal values are counted before the shuffle, and running counts find the middle."""
+BINS, SALTS, FEW_VALUES = 1024, 32, 4096
+
+
+def exact_median(df: DataFrame, keys, value: str, out: str = "median", few: int = FEW_VALUES) -> DataFrame:
+    """Exact median without gathering a group; nulls play no part.
+
+    Equal values are counted before the shuffle. Keys with at most ``few`` distinct values find their middle by running counts, all others by
+    ``refined_ranks``, where no task sorts a key.
+    """
     keys = list(keys)
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    rows = counts.withColumn("_upto", upto).join(sizes, keys)
-    middle = F.array(F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1)
-    hits = rows.select(*keys, value, "_c", "_upto", F.explode(middle).alias("_at")).filter("_at <= _upto AND _at > _upto - _c")
-    return hits.groupBy(*keys).agg(F.avg(value).alias(out))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = cut_lineage(counts)
+    sizes = cut_lineage(counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_m")))
+    middle = F.explode(F.array_distinct(F.array(F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1))).alias("_at")
+    small = counts.join(sizes.filter(F.col("_m") <= few).select(*keys), keys)
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    hits = small.withColumn("_upto", upto).join(sizes.select(*keys, middle), keys).filter("_at <= _upto AND _at > _upto - _c").select(*keys, "_v")
+    large = sizes.filter(F.col("_m") > few)
+    if not large.isEmpty():
+        hits = hits.unionByName(refined_ranks(counts, large.select(*keys, middle), keys).select(*keys, "_v"))
+    return hits.groupBy(*keys).agg(F.avg("_v").alias(out))
+
+
+def refined_ranks(counts: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _at, _v): the value at each rank, from counts (keys, _v, _c) and targets (keys, _at), by narrowing value ranges.
+
+    Each round deals the values that are still in the range of a target into ``BINS`` equal bins, counts them with partial aggregation and goes on with
+    the one bin that holds the rank. A round leaves a thousandth of evenly spread values; it always leaves fewer, as a bin never holds
+    both ends of a range. Counts and targets meet over ``SALTS`` hashed parts, so a hot key is no hot partition.
+    """
+    salted = counts.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    finite = (F.abs("_v") < float("inf")) & ~F.isnan("_v")
+    live = targets.withColumns({"_from": F.lit(None).cast("double"), "_to": F.lit(None).cast("double"), "_left": F.col("_at")})
+    ends = counts.filter(finite).groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    live = cut_lineage(live.join(ends, keys, "left"))
+    found = None
+    while not live.isEmpty():
+        rows = salted.join(live.withColumn("_salt", parts), [*keys, "_salt"])
+        rows = rows.filter(F.col("_from").isNull() | ((F.col("_v") >= F.col("_from")) & (F.col("_v") <= F.col("_to"))))
+        # Halves, because the distance of two doubles may be no double.
+        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        bin_ = F.when(F.isnan("_v"), BINS + 1).when(F.col("_v") == float("inf"), BINS).when(F.col("_v") == float("-inf"), -1).when(
+            F.col("_lo") == F.col("_hi"), 0).when(F.col("_v") == F.col("_hi"), BINS - 1).otherwise(F.least(F.lit(BINS - 2), F.floor(share * (BINS - 1))))
+        bins = rows.groupBy(*keys, "_at", "_left", bin_.cast("int").alias("_bin")).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+        upto = F.sum("_n").over(Window.partitionBy(*keys, "_at").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
+        hit = bins.withColumn("_upto", upto).filter((F.col("_left") <= F.col("_upto")) & (F.col("_left") > F.col("_upto") - F.col("_n")))
+        hit = cut_lineage(hit.select(*keys, "_at", "_from", "_to", (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_left"), F.col("_from").alias("_lo"), F.col("_to").alias("_hi")))
+        done = hit.filter("_from = _to").select(*keys, "_at", F.col("_from").alias("_v"))
+        found = done if found is None else found.unionByName(done)
+        live = hit.filter("_from < _to")
+    return found
 
 
 def score_distribution(hits: DataFrame, bounded: bool = False) -> DataFrame:

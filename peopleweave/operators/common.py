@@ -51,6 +51,21 @@ def positions(df: DataFrame, keys, order, out: str = "position", parts: int | No
             .drop("_part", "_local", "_shift"))
 
 
+def running_max(df: DataFrame, keys, order, value: str, out: str, parts: int | None = None) -> DataFrame:
+    """Largest ``value`` up to each row of its key, in order, when groups may be huge; ``order`` tells the rows of a key apart.
+
+    Like ``positions``: range parts are scanned on their own and raised by the maxima of earlier parts of the same key.
+    """
+    keys = list(keys)
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(df.repartitionByRange(parts, *as_cols(keys), *as_cols(order)).withColumn("_part", F.spark_partition_id()))
+    inner = Window.partitionBy("_part", *keys).orderBy(*as_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = placed.groupBy("_part", *keys).agg(F.max(value).alias("_top")).withColumn("_before", F.max("_top").over(before)).drop("_top")
+    local = placed.withColumn("_local", F.max(value).over(inner))
+    return local.join(tops, ["_part", *keys]).withColumn(out, F.greatest("_local", "_before")).drop("_part", "_local", "_before")
+
+
 def distinct_values(df: DataFrame, keys, value, out: str) -> DataFrame:
     """Sorted distinct array per key; pairs are made distinct map-side first, so repeats never travel."""
     pairs = df.select(*keys, F.col(value).alias("_v") if isinstance(value, str) else value.alias("_v"))

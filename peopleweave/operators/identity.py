@@ -10,7 +10,7 @@ from ..functions.similarity import company_score, location_score, name_key, name
 from ..functions.text import trim_ws
 from ..session import cut_lineage
 from .aggregates import identity_confidence, merged_summaries
-from .common import best_row, positions
+from .common import best_row, positions, running_max
 from .windows import primary_fields
 
 FEATURES = ["display_name", "location", "words", "companies"]
@@ -141,46 +141,64 @@ def prepare(profiles: DataFrame) -> DataFrame:
     return out.withColumn("group", F.sha2(F.concat_ws("|", "sig", F.array_join("linked_handles", ",")), 256))
 
 
+def shared_lists(merge: DataFrame) -> DataFrame:
+    """(group, list, least and largest person of its rights): groups whose preference lists hold the same rights in the same order have the same list number.
+
+    Two hashes of (right, place), summed up by xor, tell lists apart, so no list is gathered.
+    """
+    mark = [F.bit_xor(F.xxhash64("right_id", "pos", F.lit(seed))) for seed in (0, 1)]
+    return merge.groupBy("group").agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)), *mark), 256).alias("list"), F.min("right_person").alias("_first_person"), F.max("right_person").alias("_last_person"))
+
+
 def resolve(left: DataFrame, right: DataFrame, identities: DataFrame, cfg: IdentityConfig = DEFAULT.identity,
-            max_rounds: int = 10_000) -> dict[str, DataFrame]:
+            max_rounds: int | None = None) -> dict[str, DataFrame]:
     """Greedy one-to-one assignment, equal to walking the left profiles in order.
 
-    All rights prefer the earlier left, so deferred acceptance ends in the same assignment: each round
-    every open left asks the next right of its list, each right keeps the earliest asker. Lefts of one
-    group have equal lists, so the k-th of them can start at place k. A pair whose two profiles
-    already belong to different persons is a conflict: it holds the left but not the right, and ends as an
+    All rights prefer the earlier left, so deferred acceptance ends in the same assignment: each round every open left asks a right of its list, each
+    right keeps the earliest asker, and the others go on to a later place. Many lefts settle in a round, because demand is set against
+    the places of a list as a whole: lefts with equal lists, of one group or of several, end at rising places in their order, so the k-th of them starts
+    at place k, and one that has to move on moves all behind it that stand too close. Such a place is never behind the final one, so
+    nothing is skipped. Rounds are bounded by the places there are to move over; ``max_rounds`` may bound them further. A pair whose two
+    profiles already belong to different persons is a conflict: it holds the left but not the right, and ends as an
     error. Returns frames ``matches``, ``conflicts``, ``review``, ``singletons``.
     """
     known = identities.select("profile_id", "person_id")
     a = prepare(left).join(known.withColumnRenamed("person_id", "left_person"), "profile_id", "left")
     b = prepare(right).join(known.withColumnRenamed("person_id", "right_person"), "profile_id", "left")
     lists = cut_lineage(preference_lists(a, b, cfg))
-    merge = positions(lists.filter(F.col("score") >= cfg.merge_threshold), ["group"], [F.desc("score"), "right_order"], "pos")
+    merge = positions(lists.filter(F.col("score") >= cfg.merge_threshold), ["group"], [F.desc("score"), "right_order", "right_id"], "pos")
     merge = cut_lineage(merge.join(b.select(F.col("profile_id").alias("right_id"), "right_person"), "right_id"))
-    asking = a.select(F.col("profile_id").alias("left_id"), F.col("ordinal").alias("left_order"), "group", "left_person").join(
-        merge.select("group").distinct(), "group", "left_semi")
-    fresh = positions(asking.filter("left_person IS NULL"), ["group"], ["left_order"], "pos")
-    state = cut_lineage(fresh.select("left_id", "left_order", "group", "left_person", "pos").unionByName(
-        asking.filter("left_person IS NOT NULL").select(
-            "left_id", "left_order", "group", "left_person", F.lit(1).cast("long").alias("pos"))))
+    asking = a.select(F.col("profile_id").alias("left_id"), F.col("ordinal").alias("left_order"), "group", "left_person").join(shared_lists(merge), "group")
+    other = (F.col("_first_person") != F.col("left_person")) | (F.col("_last_person") != F.col("left_person"))
+    asking = asking.withColumn("_clashes", F.coalesce(other, F.lit(False))).drop("_first_person", "_last_person")
+    fresh = positions(asking.filter("NOT _clashes"), ["list"], ["left_order", "left_id"], "place").withColumn("pos", F.col("place"))
+    # A left with a person may stop at a right of another person without taking it, so it starts at the first place and moves alone.
+    owned = asking.filter("_clashes").withColumns({"place": F.lit(None).cast("long"), "pos": F.lit(1).cast("long")})
+    columns = ["left_id", "left_order", "group", "list", "left_person", "place", "pos"]
+    state = cut_lineage(fresh.select(*columns).unionByName(owned.select(*columns)))
 
     def current(s):
         clash = F.coalesce(F.col("left_person") != F.col("right_person"), F.lit(False))
         return s.join(merge, ["group", "pos"]).withColumn("clash", clash)
 
-    for _ in range(max_rounds):
+    round_ = 0
+    while max_rounds is None or round_ < max_rounds:
+        round_ += 1
         asked = current(state)
         holders = asked.filter("NOT clash").groupBy("right_id").agg(F.min("left_order").alias("holder"))
-        moved = asked.join(holders, "right_id").filter(F.col("left_order") > F.col("holder")).select("left_id", F.lit(1).alias("_m"))
-        state = cut_lineage(state.join(moved, "left_id", "left").select(
-            "left_id", "left_order", "group", "left_person", (F.col("pos") + F.coalesce("_m", F.lit(0))).alias("pos"),
-            F.coalesce("_m", F.lit(0)).alias("_m")))
-        if state.filter("_m = 1").isEmpty():
+        moved = cut_lineage(asked.join(holders, "right_id").filter(F.col("left_order") > F.col("holder")).select("left_id", "list", F.lit(1).alias("_m")))
+        if moved.isEmpty():
             break
-        state = state.drop("_m")
+        state = state.join(moved.select("left_id", "_m"), "left_id", "left").withColumn("pos", F.col("pos") + F.coalesce("_m", F.lit(0))).drop("_m")
+        # The k-th fresh left of a list stands at least at k more than any before it stands beyond its own number.
+        touched = moved.select("list").distinct().withColumn("_t", F.lit(True))
+        state = cut_lineage(state.join(touched, "list", "left"))
+        still = state.filter("_t IS NULL OR place IS NULL")
+        shifted = running_max(state.filter("_t AND place IS NOT NULL").withColumn("_lead", F.col("pos") - F.col("place")), ["list"], ["place"], "_lead", "_lead_upto")
+        state = cut_lineage(still.select(*columns).unionByName(shifted.withColumn("pos", F.col("place") + F.col("_lead_upto")).select(*columns)))
     else:
         raise RuntimeError("assignment did not settle")
-    final = cut_lineage(current(state.drop("_m")))
+    final = cut_lineage(current(state))
     matches = final.filter("NOT clash").select("left_id", "right_id", "left_order", "score", "reasons", "left_person", "right_person")
     conflicts = final.filter("clash").select("left_id", "right_id", "score")
     # Review: an unmatched left whose best right not taken by an earlier left scores between the lines.

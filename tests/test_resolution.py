@@ -91,6 +91,17 @@ def test_many_copies_of_one_profile_pair_in_order(spark):
     assert {(r["left_id"], r["right_id"]) for r in out["matches"].collect()} == {(f"l{i}", f"r{i}") for i in range(200)}
 
 
+def test_ten_thousand_contenders_of_several_groups_settle_in_few_rounds(spark):
+    """Profiles of many groups that all want the same rights, some of them with a person already."""
+    n, m = 6_000, 4_000
+    base = ["'Same Name' AS display_name", "'X / Y' AS location", "'engineer' AS headline", "array('acme') AS companies", "array_except(array('x'), array('x')) AS linked_handles", "id AS ordinal"]
+    lefts = spark.range(n).selectExpr("concat('l', id) AS profile_id", "concat('lh', id) AS handle", "concat('acme ', id % 50) AS bio", *base)
+    rights = spark.range(m).selectExpr("concat('r', id) AS profile_id", "concat('rh', id) AS handle", "'acme' AS bio", *base)
+    ids = spark.createDataFrame([("l5", "p5"), ("l900", "p9")], "profile_id string, person_id string")
+    out = identity.resolve(lefts, rights, ids, max_rounds=20)
+    assert {(r["left_id"], r["right_id"]) for r in out["matches"].collect()} == {(f"l{i}", f"r{i}") for i in range(m)}
+
+
 def components_of(nodes, pairs):
     parent = {n: n for n in nodes}
 

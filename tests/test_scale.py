@@ -195,3 +195,33 @@ def test_query_reuse_respects_time_and_capacity(spark):
 def test_hot_facet_values_are_counted_once(spark):
     df = spark.range(5000).select(F.lit("p").alias("person_id"), (F.col("id") % 4).cast("string").alias("tag"))
     assert common.distinct_values(df, ["person_id"], "tag", "tags").first()["tags"] == ["0", "1", "2", "3"]
+
+
+def test_exact_median_of_a_key_with_a_million_values_in_no_single_task(spark):
+    n = 1_000_001
+    df = spark.range(n).select(F.lit("hot").alias("key"), (F.pmod(F.xxhash64("id"), F.lit(10 ** 12)) / 7.0).alias("v")).unionByName(
+        spark.range(1001).select(F.lit("small").alias("key"), F.col("id").cast("double").alias("v"))).unionByName(
+        spark.range(6000).select(F.lit("odd").alias("key"), F.expr("CASE WHEN id < 10 THEN -double('inf') WHEN id > 5000 THEN double('nan') WHEN id % 2 = 0 THEN -1e300 * id ELSE id * 1e-300 END").alias("v")))
+    got = {r["key"]: r["m"] for r in aggregates.exact_median(df, ["key"], "v", "m").collect()}
+    hot_values = np.sort(np.array([r["v"] for r in df.filter("key = 'hot'").select("v").toLocalIterator()]))
+    odd = sorted((r["v"] for r in df.filter("key = 'odd'").collect()), key=lambda v: (np.isnan(v), v))
+    assert got == {"hot": float(hot_values[n // 2]), "small": 500.0, "odd": (odd[2999] + odd[3000]) / 2}
+
+
+def test_refinement_equals_the_running_count(spark):
+    df = hot(spark).withColumn("v", F.col("v") * 0.5 - 100)
+    a = {r["key"]: r["median"] for r in aggregates.exact_median(df, ["key"], "v", few=0).collect()}
+    assert a == {r["key"]: r["median"] for r in aggregates.exact_median(df, ["key"], "v").collect()}
+    assert aggregates.exact_median(df.limit(0), ["key"], "v").count() == 0
+
+
+def test_facts_of_a_hot_handle_stay_in_long_form(spark):
+    rows = spark.range(300_000).select(F.lit("hot").alias("handle"), F.lit("post").alias("source_kind"), F.concat(F.lit("c"), F.col("id") % 5).alias("category"), F.lit(None).cast("string").alias("category_title"),
+                                       F.concat(F.lit("n"), F.col("id")).alias("name"), F.lit(" ").alias("description"), F.lit(None).cast("string").alias("external_source"))
+    counts, facts = aggregates.handle_facts(rows)
+    assert counts.first()["occurrences"] == 300_000
+    assert {r["kind"]: r["count"] for r in facts.groupBy("kind").count().collect()} == {"names": 300_000, "categories": 5, "category_titles": 5, "source_kinds": 1}
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "collect" not in plan and "value#" in plan.split("hashpartitioning(")[1].split(")")[0]
+    few = aggregates.accumulate_handles(rows.limit(3)).first()
+    assert few["names"] == sorted(few["names"]) and few["descriptions"] == [] and few["category_titles"] == few["categories"]
