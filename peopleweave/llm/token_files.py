@@ -4,7 +4,8 @@ File: magic, id width (1 byte), SHA-256 of the dictionary, frames, index, footer
 flag, the id, the number of token ids and the end of its frame. The footer holds the index's place, the number of
 documents and the magic again. Files follow each other in ascending doc_id order; the manifest lists them.
 
-Documents are cut at ASCII white space, which the tokenizer drops and no token, and no normalisation, spans. Each distinct
+Documents are cut at the tokenizer's added tokens, which the library looks for in the raw text before anything else, and then at ASCII white
+space, which the tokenizer drops and no token, and no normalisation, spans. Each distinct
 chunk is encoded by the library once per worker and kept in a bounded table; a comma or full stop after a plain word is encoded apart.
 """
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import os
+import re
 import struct
 from array import array
 from functools import lru_cache
@@ -29,9 +31,11 @@ from .sharing import reading, writing
 MAGIC = b"TOKIDS01"
 END_ID = 2
 MEMO_ENTRIES = 650_000
+PIECE_BYTES = 4 << 20
 PART_BYTES = 24 << 20        # text bytes that go to one file
 DICTIONARY_BYTES = 64 << 10
-SAMPLE_DOCS, SAMPLE_CHARS = 1500, 8000   # documents, and characters of each, that train the dictionary (no results depend on them)
+# Whole documents that train the dictionary: about so many of so many bytes in all, none longer than the last. No results depend on them.
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_LONGEST = 1500, 8 << 20, 1 << 20
 
 
 class ChunkTokenizer:
@@ -41,9 +45,12 @@ class ChunkTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # they are cut out before; what reads like one in lower case only is ordinary text
+        added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added_pattern = re.compile(b"(" + b"|".join(map(re.escape, sorted(added, key=len, reverse=True))) + b")") if added else None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = "H" if self.width == 2 else "I"
+        self.added = {t: array(self.kind, [i]).tobytes() for t, i in added.items()}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -110,11 +117,17 @@ class ChunkTokenizer:
 
     def encode(self, raw: bytes) -> bytes:
         """Packed ids."""
-        if len(raw) <= 4 << 20:
+        if self.added_pattern is None or not any(t in raw for t in self.added):
+            return self._text(raw)
+        return b"".join(self.added.get(piece) or self._text(piece) for piece in self.added_pattern.split(raw))
+
+    def _text(self, raw: bytes) -> bytes:
+        """Packed ids of a text without added tokens, about four megabytes at a time."""
+        if len(raw) <= PIECE_BYTES:
             return self._part(raw)
         parts, at = [], 0
         while at < len(raw):
-            cut = raw.find(b" ", at + (4 << 20))
+            cut = raw.find(b" ", at + PIECE_BYTES)
             cut = len(raw) if cut < 0 else cut
             parts.append(self._part(raw[at:cut]))
             at = cut
@@ -138,8 +151,16 @@ def encode(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text", end_
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> bytes:
-    """Dictionary trained on the serialized ids of at most SAMPLE_DOCS documents, first by hash of their id; empty without enough data."""
-    sample = docs.select(F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"), F.xxhash64(F.col(id_col)).alias("h")).orderBy("h").limit(SAMPLE_DOCS)
+    """Dictionary trained on the serialized ids of about SAMPLE_DOCS whole documents; empty without enough data.
+
+    A hash of id and text below a share of its range picks them, so that no task or shuffle sees more than the sample.
+    """
+    size = F.coalesce(F.octet_length(text_col), F.lit(0))
+    rows = docs.filter(size <= SAMPLE_LONGEST)
+    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    share = min(1.0, SAMPLE_DOCS / max(n, 1), SAMPLE_BYTES / max(total, 1))
+    h = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 40))
+    sample = rows.filter(h < F.lit(int(share * (1 << 40)) + 1)).select(F.col(text_col).alias("text"), h.alias("h")).orderBy("h").limit(2 * SAMPLE_DOCS)
     arrays = [bytes(r[0]) for r in encode(sample.select("text"), tokenizer_path, end_id=end_id, keep=[]).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()

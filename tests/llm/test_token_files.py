@@ -13,11 +13,10 @@ PATH = P.path("word_bpe_49k.json")
 
 def ids_of(text):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     return [*tok.encode(text or "", add_special_tokens=False).ids, 2]
 
 
-TEXTS = [None, "", " ", "Hello, World's \n end.", "J̌ x́ İstanbul ΟΔΟΣ", "<|endoftext|> a", "漢字 かな　\xa0x\x1cy\x85z", "a" * 3000, "I'll 12345 we're", "naïve\tcafé… “q” ﬁ", "word " * 4000, "e ́b"]
+TEXTS = [None, "", " ", "Hello, World's \n end.", "J̌ x́ İstanbul ΟΔΟΣ", "<|endoftext|> a", "hello <|endoftext|> world", "a<|startoftext|>b<|endoftext|><|endoftext|>e\u0301", "<|ENDOFTEXT|> <|endoftext| >", "<|EndOfText|>", "漢字 かな　\xa0x\x1cy\x85z", "a" * 3000, "I'll 12345 we're", "naïve\tcafé… “q” ﬁ", "word " * 4000, "e ́b"]
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -27,11 +26,22 @@ def test_chunks_give_the_library_ids(text):
         assert np.frombuffer(codec.encode((text or "").encode()), "<u2").tolist() + [2] == ids_of(text)
 
 
+def test_long_texts_are_cut_without_a_trace(monkeypatch):
+    monkeypatch.setattr(T, "PIECE_BYTES", 50)
+    text = "Hello world, this is <|endoftext|>a longer text than fifty bytes, with e\u0301 <|startoftext|> and more of it. " * 30 + "x" * 200
+    assert np.frombuffer(T.ChunkTokenizer(PATH).encode(text.encode()), "<u2").tolist() + [2] == ids_of(text)
+
+
+def test_a_text_above_four_megabytes():
+    text = "Some words <|endoftext|> and others, ordinary ones. " * 90_000
+    assert len(text) > 4 << 20 and np.frombuffer(T.ChunkTokenizer(PATH).encode(text.encode()), "<u2").tolist() + [2] == ids_of(text)
+
+
 def test_random_texts_give_the_library_ids():
     random.seed(3)
     codec, letters = T.ChunkTokenizer(PATH), "aAbTJ's.,!1 2 \n\t\x1c\x85\xa0　́̌èÉß漢😀-<|>"
     for _ in range(400):
-        text = "".join(random.choice(letters) for _ in range(random.randint(0, 40)))
+        text = "".join(random.choice([*letters, "<|endoftext|>", "<|startoftext|>"]) for _ in range(random.randint(0, 40)))
         assert np.frombuffer(codec.encode(text.encode()), "<u2").tolist() + [2] == ids_of(text), repr(text)
 
 
