@@ -10,7 +10,7 @@ from ..operators import evidence as ev
 from ..operators import identity, index, normalize
 from ..operators.common import visible_profiles
 from ..operators.joins import source_hints
-from ..sources.sinks import append_new_evidence, upsert_profiles
+from ..sources.sinks import KeyedTable, append_new_evidence, merge_profiles, upsert_profiles
 
 
 def store_profiles(existing: DataFrame, raw: DataFrame, source: str, opt_outs: DataFrame, now) -> DataFrame:
@@ -22,6 +22,12 @@ def store_profiles(existing: DataFrame, raw: DataFrame, source: str, opt_outs: D
     return upsert_profiles(existing, rows, opt_outs, now)
 
 
+def store_profiles_in(table: KeyedTable, raw: DataFrame, source: str, opt_outs: DataFrame, now) -> list[int]:
+    """``store_profiles`` on a table keyed by profile_id, rewriting the touched partitions only."""
+    rows = normalize.NORMALISERS[source](raw).withColumn("seq", F.col("row_id").cast("long"))
+    return merge_profiles(table, rows.select(*[c for c in table.schema.names if c in rows.columns], "seq"), opt_outs, now)
+
+
 def resolve_people(stored: DataFrame, identities: DataFrame, opt_outs: DataFrame, cfg: Config = DEFAULT) -> dict[str, DataFrame]:
     """Match the visible unlinked profiles of both sources; returns the parts of ``identity.resolve`` and the new links."""
     shown = visible_profiles(stored, opt_outs)

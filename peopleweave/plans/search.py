@@ -10,14 +10,14 @@ from ..session import cut_lineage
 
 
 def run_search(queries: DataFrame, persons: DataFrame, docs: DataFrame, embeddings: DataFrame, evidence: DataFrame,
-               vectors: DataFrame, cfg: Config = DEFAULT, vocabularies: dict | None = None, pair_scorer=None) -> dict[str, DataFrame]:
+               vectors: DataFrame, cfg: Config = DEFAULT, vocabularies: dict | None = None, pair_scorer=None, intents: DataFrame | None = None) -> dict[str, DataFrame]:
     """docs carry the person columns needed for filtering (name, headline, location, status) and must come
     from a read path that already honours opt-outs (``memory.searchable_persons``).
 
-    The whole query table runs as one job. With ``pair_scorer=True`` the default scorer, or with a factory that
+    The whole query table runs as one job. ``intents`` are given where queries have been understood already. With ``pair_scorer=True`` the default scorer, or with a factory that
     scorer, is applied to the head of each list; unscored rows keep their heuristic score.
     """
-    intents = intent.tag_intents(queries, **(vocabularies or {}))
+    intents = intent.tag_intents(queries, **(vocabularies or {})) if intents is None else intents
     prepared = retrieve.prepare_queries(intents, cfg.retrieval)
     keyword = cut_lineage(retrieve.keyword_hits(prepared, docs, cfg.retrieval))
     vector = cut_lineage(retrieve.vector_hits(prepared, vectors, docs, embeddings, cfg.retrieval))
