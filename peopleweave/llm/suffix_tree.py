@@ -9,22 +9,26 @@ add-one distribution of single words. A token is scored in the states of all ret
 
 The tree is never in one place. Documents are encoded in chunks of about ``CHUNK`` tokens. A chunk asks for its distinct sequences, once
 each and sorted by hash, at the buckets that their hashes fall into; a bucket adds up what all chunks sent and answers in the order of
-the question. So a sequence costs one entry per chunk, however often it occurs. Words and sequences are told apart by
+the question. So a sequence costs one entry per chunk, however often it occurs. Chunks and the answers they have got lie in files of the shared
+folder; a step shuffles new questions and new answers only. Words and sequences are told apart by
 64-bit hashes. ``SuffixTree`` is the same model in memory.
 """
 from __future__ import annotations
 
 import gc
 import hashlib
+import pickle
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import stored, utf8
+from .common import shared_folder, stored, utf8
+from .sharing import reading, writing
 
 DEPTH = 3
 LEAST = 2                # occurrences of a sequence in the tree; one occurrence tells nothing about a distribution
@@ -205,8 +209,8 @@ COUNT, SUM = 0, 1
 class Chunk:
     """A chunk of encoded documents with the levels of its sequences, as far as the answers go."""
 
-    def __init__(self, row: dict, answers: pa.Table | None, least: tuple[float, float], alpha: float, n_train: int, kinds: int):
-        self.number, self.least, self.alpha = row["chunk"], least, alpha
+    def __init__(self, number: int, row: dict, answers: list[dict], least: tuple[float, float], alpha: float, n_train: int, kinds: int):
+        self.number, self.least, self.alpha = number, least, alpha
         self.sizes, learn = unpack(row["sizes"], np.int64), unpack(row["learn"], np.int8)
         flat, self.words = unpack(row["ids"], np.int32).astype(np.int64), unpack(row["words"], np.uint64)
         self.real = np.ones(len(flat) + len(self.sizes), bool)
@@ -215,9 +219,8 @@ class Chunk:
         self.ids[self.real] = flat
         self.learn = np.repeat(learn, self.sizes + 1).astype(np.float64)
         self.answers: dict = {}
-        if answers is not None:
-            for r in sorted(answers.to_pylist(), key=lambda r: r["bucket"]):
-                self.answers.setdefault((r["kind"], r["level"]), []).append((r["values"], r["first"]))
+        for r in sorted(answers, key=lambda r: r["bucket"]):
+            self.answers.setdefault((r["kind"], r["level"]), []).append((r["values"], r["first"]))
         at = self.ids[self.real]
         # Per level: index of the sequence that ends at each place or -1; hash, count here, sequence without its last and without its first word.
         self.levels = [(self.ids, self.words, np.bincount(at, self.learn[self.real], len(self.words)), None, None)]
@@ -338,21 +341,49 @@ def answered(asked: pa.Table, least: float, alpha: float) -> pa.Table:
     return pa.Table.from_pylist(out, pa.schema([(k, pa.binary() if k in ("values", "first") else pa.int64()) for k in out[0]]))
 
 
-def chunks_of(docs: DataFrame, text: Column, train: Column, kept: list[str]) -> DataFrame:
-    """Documents in chunks: kept columns as arrays, and the words as numbers within the chunk."""
+class ChunkFiles:
+    """Files of the encoded chunks and of the answers they have got so far, in the shared folder: neither is shuffled again for a later level.
+
+    A task that is repeated writes the same file once more, and files appear under their names only when complete.
+    """
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def write(self, chunk: int, name: str, value) -> None:
+        with writing(f"{self.folder}/{chunk}.{name}") as f:
+            f.write(pickle.dumps(value, protocol=5))
+
+    def read(self, chunk: int, name: str):
+        with reading(f"{self.folder}/{chunk}.{name}") as f:
+            return pickle.loads(f.read())
+
+    def load(self, chunk: int, step: int, new: list[dict], model: tuple) -> Chunk:
+        """The chunk before it asks in ``step``; ``new`` are the answers to its questions of the step before, which are kept for later steps."""
+        if step > 1:
+            self.write(chunk, f"answers{step - 1}", new)
+        old = [r for s in range(1, step - 1) for r in self.read(chunk, f"answers{s}")]
+        return Chunk(chunk, self.read(chunk, "documents"), old + new, *model)
+
+
+def chunks_of(docs: DataFrame, text: Column, train: Column, kept: list[str], files: ChunkFiles) -> DataFrame:
+    """(chunk, tokens, kept columns as arrays) of documents in chunks; the words, as numbers within the chunk, go to its file."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     frame = docs.select(*[F.col(f"`{c}`") for c in kept], text.alias("__text"), F.coalesce(train, F.lit(False)).alias("__learn"))
     width, limit = len(kept), CHUNK
 
     def encode(batches):
+        number = TaskContext.get().partitionId() << 33
+
         def closed():
             words = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in index)
-            binaries = [pack(np.concatenate(ids)), pack(np.frombuffer(words, np.uint64)), pack(np.array(sizes, np.int64)), pack(np.array(learn, np.int8))]
+            packed = {"ids": pack(np.concatenate(ids)), "words": pack(np.frombuffer(words, np.uint64)), "sizes": pack(np.array(sizes, np.int64)), "learn": pack(np.array(learn, np.int8))}
+            files.write(number, "documents", packed)
             lists = []
             for i in range(width):
                 values = pa.concat_arrays([b.column(i) for b in held])
                 lists.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
-            return pa.RecordBatch.from_arrays([*lists, *[pa.array([x], pa.binary()) for x in binaries], pa.array([sum(sizes)], pa.int64())], names=[*[f"__k{i}" for i in range(width)], "ids", "words", "sizes", "learn", "tokens"])
+            return pa.RecordBatch.from_arrays([*lists, pa.array([sum(sizes)], pa.int64()), pa.array([number], pa.int64())], names=[*[f"__k{i}" for i in range(width)], "tokens", "chunk"])
 
         def fresh():
             d = defaultdict()
@@ -374,6 +405,7 @@ def chunks_of(docs: DataFrame, text: Column, train: Column, kept: list[str]) ->
                     held.append(batch.slice(begin, r + 1 - begin))
                     begin = r + 1
                     yield closed()
+                    number += 1
                     index, ids, sizes, learn, held = fresh()
                     size = 0
             if begin < batch.num_rows:
@@ -381,8 +413,14 @@ def chunks_of(docs: DataFrame, text: Column, train: Column, kept: list[str]) ->
         if sizes:
             yield closed()
 
-    schema = StructType([*[StructField(f"__k{i}", ArrayType(frame.schema[i].dataType)) for i in range(width)], *[StructField(c, BinaryType()) for c in ("ids", "words", "sizes", "learn")], StructField("tokens", LongType())])
-    return stored(frame.mapInArrow(encode, schema).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    schema = StructType([*[StructField(f"__k{i}", ArrayType(frame.schema[i].dataType)) for i in range(width)], StructField("tokens", LongType()), StructField("chunk", LongType())])
+    return stored(frame.mapInArrow(encode, schema), "chunks")
+
+
+def _delete(spark, path: str) -> None:
+    """Remove a table that no later step reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def score(docs: DataFrame, train: Column, *, text_col: str = "text", depth: int = DEPTH, word_share: float = 0.0, gram_share: float = 0.0, least: int = LEAST,
@@ -396,45 +434,50 @@ def score(docs: DataFrame, train: Column, *, text_col: str = "text", depth: int
     spark = docs.sparkSession
     results = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in results]
-    chunks = chunks_of(docs, utf8(text_col), train, kept)
-    tokens = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    buckets = max(BUCKETS, -(-tokens // BUCKET))
+    files = ChunkFiles(shared_folder(spark, "chunks"))
+    chunks = chunks_of(docs, utf8(text_col), train, kept, files)
+    tokens, count = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count(F.lit(1))).first()
+    buckets, tasks = max(BUCKETS, -(-tokens // BUCKET)), max(1, count)
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
     asked_schema = pa.schema([(c.split()[0], pa.int64() if c.split()[1] == "long" else pa.binary()) for c in ASKED.split(", ")])
-    encoded = chunks.select("chunk", "ids", "words", "sizes", "learn")
-    answers, n_train, kinds, floors = None, 0, 0, (float(least), float(least))
+    answers, path, n_train, kinds, floors = None, None, 0, 0, (float(least), float(least))
 
     def asker(step: int, model: tuple):
-        def ask(left: pa.Table, right: pa.Table | None) -> pa.Table:
-            chunk = Chunk(left.to_pylist()[0], right, *model)
-            rows = chunk.ask_counts(buckets) if step <= depth + 1 else []
-            return pa.Table.from_pylist(rows + (chunk.ask_sums(buckets) if step > 2 else []), asked_schema)
-
-        return (lambda left: ask(left, None)) if step == 1 else (lambda left, right: ask(left, right))
+        def ask(new: pa.Table) -> pa.Table:
+            rows = new.to_pylist()
+            chunk = files.load(rows[0]["chunk"], step, rows if step > 1 else [], model)
+            asked = chunk.ask_counts(buckets) if step <= depth + 1 else []
+            return pa.Table.from_pylist(asked + (chunk.ask_sums(buckets) if step > 2 else []), asked_schema)
+        return ask
 
     def bucket_of(sequences: float):
         return lambda rows: answered(rows, sequences, ALPHA)
 
     for step in range(1, depth + 3):
         ask, sequences = asker(step, (floors, ALPHA, n_train, kinds)), floors[1]
-        asked = encoded.groupBy("chunk").applyInArrow(ask, ASKED) if answers is None else encoded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, ASKED)
-        new = stored(asked.groupBy("kind", "level", "bucket").applyInArrow(bucket_of(sequences), ANSWERED), "answers")
+        # A chunk's questions need its file and the new answers only. The number of tasks is set, as a few small rows stand for much work.
+        before = (chunks.select("chunk") if answers is None else answers).repartition(tasks, "chunk")
+        asked = before.groupBy("chunk").applyInArrow(ask, ASKED)
+        done, path = path, shared_folder(spark, "answers")
+        asked.groupBy("kind", "level", "bucket").applyInArrow(bucket_of(sequences), ANSWERED).write.parquet(path)
+        answers = spark.read.schema(ANSWERED).parquet(path)
+        if done:
+            _delete(spark, done)     # every chunk has written these answers to its own file
         if step == 1:
-            n_train, kinds = new.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+            n_train, kinds = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
             floors = max(floors[0], word_share * n_train), max(floors[1], gram_share * n_train)
-        answers = new if answers is None else answers.unionAll(new)
-        del asked, new
+        del asked, before
         gc.collect()
         spark._jvm.System.gc()      # shuffle files that nothing refers to any more are deleted
 
     model = floors, ALPHA, n_train, kinds
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk = Chunk(left.select(["chunk", "ids", "words", "sizes", "learn"]).to_pylist()[0], right, *model)
+        chunk = files.load(left.column("chunk")[0].as_py(), depth + 3, right.to_pylist(), model)
         known, base, full = chunk.sums()
         columns = [left.column(f"__k{i}").chunk(0)[0].values for i in range(len(kept))]
         numbers = [pa.array(chunk.sizes), pa.array(known.astype(np.int64)), pa.array(np.full(len(known), n_train, np.int64)), pa.array(base), pa.array(full)]
         return pa.Table.from_arrays([*columns, *numbers], names=[*kept, *results])
 
     out = StructType([*schema.fields, *[StructField(c, LongType()) for c in results[:3]], StructField("base_score", DoubleType()), StructField("score", DoubleType())])
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, out)
+    return chunks.repartition(tasks, "chunk").groupBy("chunk").cogroup(answers.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(finish, out)
