@@ -15,10 +15,10 @@ folder; a step shuffles new questions and new answers only. Words and sequences
 """
 from __future__ import annotations
 
-import gc
 import hashlib
 import pickle
 from collections import defaultdict
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -417,6 +417,18 @@ def chunks_of(docs: DataFrame, text: Column, train: Column, kept: list[str], fil
     return stored(frame.mapInArrow(encode, schema), "chunks")
 
 
+@contextmanager
+def shuffles_deleted(spark):
+    """Spark deletes the shuffle files of a query as soon as it has ended: what it has written is all that later steps read."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    usual = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, usual)
+
+
 def _delete(spark, path: str) -> None:
     """Remove a table that no later step reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -459,16 +471,14 @@ def score(docs: DataFrame, train: Column, *, text_col: str = "text", depth: int
         before = (chunks.select("chunk") if answers is None else answers).repartition(tasks, "chunk")
         asked = before.groupBy("chunk").applyInArrow(ask, ASKED)
         done, path = path, shared_folder(spark, "answers")
-        asked.groupBy("kind", "level", "bucket").applyInArrow(bucket_of(sequences), ANSWERED).write.parquet(path)
+        with shuffles_deleted(spark):
+            asked.groupBy("kind", "level", "bucket").applyInArrow(bucket_of(sequences), ANSWERED).write.parquet(path)
         answers = spark.read.schema(ANSWERED).parquet(path)
         if done:
             _delete(spark, done)     # every chunk has written these answers to its own file
         if step == 1:
             n_train, kinds = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
             floors = max(floors[0], word_share * n_train), max(floors[1], gram_share * n_train)
-        del asked, before
-        gc.collect()
-        spark._jvm.System.gc()      # shuffle files that nothing refers to any more are deleted
 
     model = floors, ALPHA, n_train, kinds
 
