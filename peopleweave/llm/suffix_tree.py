@@ -21,6 +21,7 @@ from collections import defaultdict
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -195,6 +196,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values in order of appearance, place of the first of each, number of its value for each place), without a sort."""
+    inverse, every = pd.factorize(values)
+    at = np.empty(len(every), np.int64)
+    at[inverse[::-1]] = np.arange(len(values) - 1, -1, -1)
+    return every, at, inverse
+
+
 def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Where the sorted hashes are cut into buckets of equal ranges."""
     edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
@@ -251,7 +260,7 @@ class Chunk:
         have = np.zeros(len(index), bool)
         have[index >= 0] = kept[index[index >= 0]]
         places = np.flatnonzero(have[:-1] & have[1:]) + 1
-        codes, at, inverse = np.unique(index[places - 1] * len(self.words) + self.ids[places], return_index=True, return_inverse=True)
+        codes, at, inverse = _distinct(index[places - 1] * len(self.words) + self.ids[places])
         longer = np.full(len(index), -1, np.int64)
         longer[places] = inverse
         before, word = codes // len(self.words), codes % len(self.words)
@@ -316,7 +325,7 @@ def answered(asked: pa.Table, least: float, alpha: float) -> pa.Table:
     kind, level, bucket = (rows[0][k] for k in ("kind", "level", "bucket"))
     hashes = [np.cumsum(unpack(r["hashes"], np.uint64), dtype=np.uint64) for r in rows]
     cuts = np.r_[0, np.cumsum([len(h) for h in hashes])]
-    every, at, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    every, at, inverse = _distinct(np.concatenate(hashes))
     first, tokens, kinds = np.zeros(cuts[-1], np.int8), 0, 0
 
     def total(name: str, dtype) -> np.ndarray:
