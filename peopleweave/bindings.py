@@ -26,6 +26,14 @@ def _cte(name, sql, needs=()):
     _CTE[name] = (sql, list(needs))
 
 
+def half(key) -> Column:
+    """One of two roles of a row, such as stored and new, by a hash of its key: both grow with the table."""
+    return F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 1) < "8"
+
+
+HALF = "substr(md5(CAST({0} AS VARCHAR)), 1, 1) < '8'"
+
+
 def with_sql(names, body: str, extra: str = "") -> str:
     """``WITH`` clause holding the named relations and everything they need, then the body."""
     ordered: list[str] = []

@@ -47,10 +47,11 @@ def udf1(t: Tables):
 @query("udf2_pair_scorer", """
 SELECT item_id AS query_id, doc_id AS person_id, round(length(list_intersect(q, c)) / length(list_distinct(q)), 9) AS pair_score FROM (
   SELECT item_id, doc_id, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\\s+'), lambda w: w <> '')) AS q, list_distinct(regexp_split_to_array(lower(d.text), '\\s+')) AS c
-  FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)""")
+  FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)""")
 def udf2(t: Tables):
-    pairs = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("intent_text")).join(
-        t.raw("documents").select(F.col("doc_id").alias("person_id"), F.col("text").alias("candidate_text")), F.col("query_id") == F.col("person_id"))
+    items = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("intent_text"))
+    docs = t.raw("documents").select(F.col("doc_id").alias("person_id"), F.col("text").alias("candidate_text"), (F.col("doc_id") % items.count()).alias("query_id"))
+    pairs = items.join(docs, "query_id")
     return udfs.score_pairs(pairs).select("query_id", "person_id", F.round("pair_score", 9).alias("pair_score"))
 
 

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..bindings import EVENT_NOW, NOW, Tables, with_sql
-from ..functions import arrays, dates, similarity, text
+from ..functions import arrays, dates, json, similarity, text
 from ..operators import normalize
 from .registry import query
 
@@ -368,6 +368,15 @@ def sf18(t: Tables):
                                   F.get_json_object("props", "$.none").alias("missing"))
 
 
+@query("sf18_nested_strings", r"""
+SELECT c_custkey, list_filter([c_name, c_mktsegment || chr(10) || '"' || c_custkey || '\', 'x: y', c_mktsegment, CASE WHEN c_acctbal > 0 THEN 'rich' END], lambda x: x IS NOT NULL) AS strings FROM customer""")
+def sf18_nested(t: Tables):
+    inner = F.struct(F.array(F.struct(F.concat(F.lit(" "), "c_mktsegment", F.lit('\n"'), F.col("c_custkey").cast("string"), F.lit("\\")).alias("note"), F.col("c_acctbal").alias("n"))).alias("list"),
+                     F.struct(F.lit("x: y").alias('a "key":'), F.lit("  ").alias("blank"), F.struct(F.col("c_mktsegment").alias("deep")).alias("more")).alias("object"))
+    payload = F.to_json(F.struct(F.col("c_name").alias("name"), inner.alias("inner"), F.when(F.col("c_acctbal") > 0, "rich").alias("tag"), F.lit(True).alias("flag")))
+    return t.raw("customer").select("c_custkey", json.nested_strings(payload).alias("strings"))
+
+
 @query("sf19_hash_keys", """
 SELECT c_custkey, md5(c_name) AS m, sha1(c_name) AS s1, sha256(c_name) AS s2 FROM customer""")
 def sf19(t: Tables):

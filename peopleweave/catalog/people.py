@@ -1,7 +1,7 @@
 """Queries for the goal model, daily list, comparison, diagnostics, memory, claims and evaluation."""
 from pyspark.sql import functions as F
 
-from ..bindings import EVENT_NOW, NOW, Tables, with_sql
+from ..bindings import EVENT_NOW, NOW, Tables, half, with_sql
 from ..operators import aggregates as agg
 from ..operators import compare, diagnose, evaluate, explain, goals, memory, opportunities, rank, windows
 from ..operators.normalize import normalize_conditions
@@ -10,6 +10,7 @@ from .aggregates import AUDIT, HITS, STATE, attempt_audit, attempt_hits
 from .evidence_index import DIRECTIONS, FACETS
 from .normalisation import COND_SQL, conditions
 from .registry import query
+from .search import RETRIEVE
 
 ORD = "CASE tag WHEN 'ai_agents' THEN 0 WHEN 'robotics' THEN 1 WHEN 'open_source' THEN 2 ELSE 3 END"
 
@@ -189,10 +190,10 @@ def exp3_badges(t: Tables):
 
 @query("exp4_result_warnings", with_sql(["viewer_events"], """
 SELECT c_custkey AS query_id, CASE WHEN top IS NULL THEN 'no_results' WHEN top = 2 THEN 'no_strong_match_medium' WHEN top = 1 THEN 'no_strong_match_weak' END AS warning
-FROM customer LEFT JOIN (SELECT query_id, max(CASE strength WHEN 'strong' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS top FROM hits WHERE k < 5 GROUP BY 1) ON query_id = c_custkey""", HITS))
+FROM customer LEFT JOIN (SELECT query_id, max(CASE strength WHEN 'strong' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS top FROM hits WHERE substr(md5(CAST(k AS VARCHAR)), 1, 1) < '8' GROUP BY 1) ON query_id = c_custkey""", HITS))
 def exp4(t: Tables):
     queries = t.raw("customer").select(F.col("c_custkey").alias("query_id"))
-    return explain.result_warnings(queries, attempt_hits(t).filter("k < 5")).select("query_id", "warning")
+    return explain.result_warnings(queries, attempt_hits(t).filter(half("k"))).select("query_id", "warning")
 
 
 @query("exp5_result_cards", with_sql(["viewer_events", "persons", "evidence"], """
@@ -348,8 +349,9 @@ def attempts(t: Tables):
 
 def attempt_failed(t: Tables):
     empty = F.array().cast("array<string>")
-    rows = attempt_hits(t).select("query_id", F.when(F.col("k") < 50, F.array(F.lit("source_bias"))).otherwise(empty).alias("failed"))
-    missing = t.raw("customer").filter("c_custkey >= 1000 AND c_acctbal > 3000").select(F.col("c_custkey").alias("query_id"), F.array(F.lit("must_have")).alias("failed"))
+    rows = attempt_hits(t).select("query_id", F.when(half("k"), F.array(F.lit("source_bias"))).otherwise(empty).alias("failed"))
+    silent = t.raw("customer").join(rows.select(F.col("query_id").alias("c_custkey")).distinct(), "c_custkey", "left_anti")
+    missing = silent.filter("c_acctbal > 3000").select(F.col("c_custkey").alias("query_id"), F.array(F.lit("must_have")).alias("failed"))
     return rows.unionByName(missing)
 
 
@@ -365,7 +367,7 @@ rep AS (SELECT c_custkey AS query_id, coalesce(n, 0) AS hits, coalesce(n, 0) = 0
   FROM customer LEFT JOIN (SELECT query_id AS q1, count(*) AS n, count_if(strength = 'weak') AS w, max(length(reasons)) <= 1 AS thin, max(score) AS mx, min(score) AS mn, max(score) - max(score) FILTER (rk2 = 2) AS gap
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, person_id) AS rk2 FROM hits) GROUP BY 1) ON q1 = c_custkey
   LEFT JOIN (SELECT query_id AS q2, count(*) AS aud, count_if(status = 'met') AS met FROM audit GROUP BY 1) ON q2 = c_custkey
-  LEFT JOIN (SELECT q3, count(*) AS drops, mode(f) AS dom FROM (SELECT query_id AS q3, 'source_bias' AS f FROM hits WHERE k < 50 UNION ALL SELECT c_custkey, 'must_have' FROM customer WHERE c_custkey >= 1000 AND c_acctbal > 3000) GROUP BY 1) ON q3 = c_custkey),
+  LEFT JOIN (SELECT q3, count(*) AS drops, mode(f) AS dom FROM (SELECT query_id AS q3, 'source_bias' AS f FROM hits WHERE substr(md5(CAST(k AS VARCHAR)), 1, 1) < '8' UNION ALL SELECT c_custkey, 'must_have' FROM customer WHERE c_custkey NOT IN (SELECT viewer_id FROM viewer_events) AND c_acctbal > 3000) GROUP BY 1) ON q3 = c_custkey),
 fail AS (SELECT *, list_filter([CASE WHEN anchor_bad THEN 'intent_anchor_missing' END, CASE WHEN NOT has_role AND (zero OR weak) THEN 'intent_missing_role_axis' END, CASE WHEN NOT has_skill AND (zero OR weak) THEN 'intent_missing_skill_axis' END,
   CASE WHEN zero THEN 'retrieval_zero_hits' END, CASE WHEN zero AND drops > 0 THEN 'filter_too_strict' END, CASE WHEN bias AND unres > 0 AND dom = 'source_bias' THEN 'source_bias_conflict' END,
   CASE WHEN weak AND hits >= 3 AND coalesce(gap, 0) <= 0.03 AND mx - mn <= 0.08 THEN 'query_too_broad' END, CASE WHEN zero AND unres < 5 THEN 'source_coverage_gap' END, CASE WHEN weak THEN 'retrieval_all_weak' END,
@@ -592,7 +594,13 @@ def ag21(t: Tables):
     return s.select("queries", *[F.round(c, 9).alias(c) for c in ("avg_p5", "avg_p10", "avg_p20", "coverage")])
 
 
-@query("eva3_retrieval_benchmark")
+@query("eva3_retrieval_benchmark", with_sql(["queries", "search_docs"], """
+SELECT count(*) AS queries, round(avg(coalesce(p5, 0)), 9) AS avg_p5, round(avg(coalesce(p10, 0)), 9) AS avg_p10, round(avg(coalesce(p20, 0)), 9) AS avg_p20, round(avg(coalesce(covered, FALSE)::INT), 9) AS coverage FROM heads LEFT JOIN (
+  SELECT query_id AS qid, count_if(hit AND rank <= 5) / 5 AS p5, count_if(hit AND rank <= 10) / 10 AS p10, count_if(hit AND rank <= 20) / 20 AS p20, bool_or(hit) AS covered
+  FROM (SELECT k.query_id, k.rank, g.person_id IS NOT NULL AS hit FROM kw k LEFT JOIN found g ON g.query_id = k.query_id AND g.person_id = k.person_id) GROUP BY 1) ON qid = query_id""", RETRIEVE + r""",
+heads AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS head FROM benchmark),
+windows AS (SELECT doc_id, array_to_string(w[i + 1:i + 6], ' ') AS head FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 6, 0) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS w FROM documents))),
+found AS (SELECT DISTINCT query_id, doc_id AS person_id FROM windows JOIN heads USING (head))"""))
 def eva3(t: Tables):
     """Keyword hits of the benchmark passages judged against documents that hold the passage's first words."""
     from .search import keyword
@@ -602,8 +610,8 @@ def eva3(t: Tables):
     grams = t.raw("documents").select(F.col("doc_id").alias("person_id"), words.alias("w")).select("person_id", F.explode(F.array_distinct(F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("w") - 6, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 6), " ")))).alias("head"))
     gold = grams.join(q, "head").select("query_id", "person_id")
-    e = evaluate.evaluate(q, keyword(t).select("query_id", "person_id", "rank"), gold)
-    return evaluate.summarize(e)
+    e = evaluate.summarize(evaluate.evaluate(q, keyword(t).select("query_id", "person_id", "rank"), gold))
+    return e.select("queries", *[F.round(c, 9).alias(c) for c in ("avg_p5", "avg_p10", "avg_p20", "coverage")])
 
 
 @query("eva4_regression_checks", with_sql(["viewer_events"], """

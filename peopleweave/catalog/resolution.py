@@ -1,7 +1,7 @@
 """Queries for identity resolution, de-duplication and the handle graph."""
 from pyspark.sql import functions as F
 
-from ..bindings import Tables, with_sql
+from ..bindings import HALF, Tables, half, with_sql
 from ..operators import dedupe, graph, identity
 from ..operators.aggregates import friend_previews
 from .registry import query
@@ -248,19 +248,22 @@ def grf3_counts(t: Tables):
 
 
 def imports(t: Tables):
-    return t.links().select(F.col("dst").alias("handle"), "name", F.when(F.col("edge_type") == "friend", F.concat(
-        F.lit("id"), F.substring("dst", 5, 2))).alias("source_profile_id"), F.col("seen_order").alias("seq"))
+    """Links as landed rows; three handles whose numbers follow each other share a profile id."""
+    number = F.floor(F.expr("CAST(substring(dst, 5) AS BIGINT)") / 3).cast("string")
+    return t.links().select(F.col("dst").alias("handle"), "name", F.when(F.col("edge_type") == "friend", F.concat(F.lit("id"), number)).alias("source_profile_id"),
+                            F.col("seen_order").alias("seq"))
 
 
 def stored_handles(t: Tables):
-    return t.profiles().filter("source = 'bonjour' AND ordinal < 400").select("handle", F.when(F.col("ordinal") < 15, F.concat(
-        F.lit("id"), F.col("ordinal"))).alias("source_profile_id"))
+    return t.profiles().filter("source = 'bonjour'").filter(half("handle")).select("handle", F.when(half("ordinal"), F.concat(F.lit("id"), F.col("ordinal"))).alias("source_profile_id"))
 
 
-IMPORT = """r AS (SELECT dst AS handle, CASE WHEN edge_type = 'friend' THEN 'id' || substr(dst, 5, 2) END AS pid, seen_order AS seq, row_number() OVER (PARTITION BY dst ORDER BY seen_order) AS rn FROM links),
+IMPORT = f"""r AS (SELECT dst AS handle, CASE WHEN edge_type = 'friend' THEN 'id' || (CAST(substr(dst, 5) AS BIGINT) // 3) END AS pid, seen_order AS seq, row_number() OVER (PARTITION BY dst ORDER BY seen_order) AS rn FROM links),
 c AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN pid IS NOT NULL THEN 'profile:' || pid ELSE 'handle:' || handle END ORDER BY seq) AS cn FROM r WHERE rn = 1),
-tagged AS (SELECT r.handle, r.seq, CASE WHEN r.rn > 1 THEN 'duplicate' WHEN c.cn > 1 THEN 'collapsed_alias' WHEN r.pid IN (SELECT 'id' || c_custkey FROM customer WHERE c_custkey < 15) THEN 'stored_id'
-  WHEN r.handle IN (SELECT 'cust' || c_custkey FROM customer WHERE c_custkey < 400) THEN 'stored_handle' WHEN r.handle IN (SELECT 'cust' || c_custkey FROM customer WHERE c_acctbal < 0) THEN 'excluded_file' END AS reason FROM r LEFT JOIN c USING (seq))"""
+sto AS MATERIALIZED (SELECT 'cust' || c_custkey AS h, CASE WHEN {HALF.format('c_custkey')} THEN 'id' || c_custkey END AS i, {HALF.format("'cust' || c_custkey")} AS stored, c_acctbal < 0 AS out FROM customer),
+one AS MATERIALIZED (SELECT r.handle, r.seq, r.pid, r.rn, c.cn FROM r LEFT JOIN c ON r.seq = c.seq AND r.handle = c.handle),
+tagged AS (SELECT one.handle, one.seq, CASE WHEN rn > 1 THEN 'duplicate' WHEN cn > 1 THEN 'collapsed_alias' WHEN a.i IS NOT NULL THEN 'stored_id' WHEN b.stored THEN 'stored_handle' WHEN b.out THEN 'excluded_file' END AS reason
+  FROM one LEFT JOIN (SELECT i FROM sto WHERE stored AND i IS NOT NULL) a ON a.i = one.pid LEFT JOIN sto b ON b.h = one.handle)"""
 
 
 def tagged_imports(t: Tables):

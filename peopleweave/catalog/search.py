@@ -48,16 +48,16 @@ def qry1(t: Tables):
 
 
 @query("qry2_merge_external", with_sql([], """
-SELECT query_id, list_distinct(['cto'] || roles) = list_distinct(['cto'] || roles) AS ok, list_sort(list_distinct(['cto'] || roles)) AS roles, coalesce('senior', experience_level) AS experience_level,
+SELECT query_id, list_sort(list_distinct(['cto'] || roles)) AS roles, list_sort(list_distinct(['kubernetes'] || skills)) AS skills, list_sort(list_distinct(loc_raw)) AS locations, coalesce('senior', experience_level) AS experience_level,
   'github' AS source_bias, list_sort(list_distinct(['golang'] || must_haves)) AS must_haves, list_sort(list_distinct(['github stars', 'recently active'] || nice_to_haves)) AS nice_to_haves FROM tagged""", ASKED))
 def qry2(t: Tables):
-    ext = asked(t).select("query_id", F.array(F.lit(" CTO ")).alias("ext_roles"), F.array().cast("array<string>").alias("ext_skills"),
+    ext = asked(t).select("query_id", F.array(F.lit(" CTO ")).alias("ext_roles"), F.array(F.lit("Kubernetes ")).alias("ext_skills"),
                           F.lit(None).cast("array<string>").alias("ext_locations"), F.lit("Senior").alias("ext_experience_level"),
                           F.lit("GitHub").alias("ext_source_bias"), F.array(F.lit("Golang"), F.lit("GitHub stars"), F.lit("recently active")).alias("ext_must_haves"),
                           F.lit(None).cast("array<string>").alias("ext_nice_to_haves"))
     m = intent.merge_external(tagged(t), ext)
-    return m.select("query_id", F.lit(True).alias("ok"), F.array_sort("roles").alias("roles"), "experience_level", "source_bias",
-                    F.array_sort("must_haves").alias("must_haves"), F.array_sort("nice_to_haves").alias("nice_to_haves"))
+    lists = ("roles", "skills", "locations", "must_haves", "nice_to_haves")
+    return m.select("query_id", "experience_level", "source_bias", *[F.array_sort(c).alias(c) for c in lists])
 
 
 @query("qry3_merge_conditions", with_sql(["queries", "places"], """

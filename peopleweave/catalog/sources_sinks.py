@@ -1,7 +1,7 @@
 """Queries for sources, sinks and incremental writes."""
 from pyspark.sql import functions as F
 
-from ..bindings import NOW, Tables, with_sql
+from ..bindings import NOW, Tables, half, with_sql
 from ..operators import common
 from ..session import shared_folder
 from ..sources import readers, sinks
@@ -121,7 +121,7 @@ STORED = """stored AS (SELECT profile_id, source, handle, display_name, ordinal
 SELECT profile_id, source, source_profile_id, handle, display_name, is_deleted FROM target
 UNION ALL SELECT profile_id, source, source_profile_id, handle, display_name, FALSE FROM existing
 WHERE profile_id NOT IN (SELECT profile_id FROM target)""", """existing AS (SELECT profile_id, source, source || ordinal AS source_profile_id, handle, display_name FROM profiles
-  WHERE synced_at < TIMESTAMP '2001-01-01 12:00:00'),
+  WHERE substr(md5(CAST(profile_id AS VARCHAR)), 1, 1) < '8'),
 incoming AS (SELECT source, CASE WHEN source = 'github' THEN source || ordinal END AS source_profile_id,
     CASE WHEN source = 'github' THEN handle || '-renamed' ELSE handle END AS handle, display_name || ' new' AS display_name FROM profiles),
 target AS (SELECT coalesce(a.profile_id, b.profile_id, sha256(i.source || '|' || coalesce(i.source_profile_id, i.handle))) AS profile_id,
@@ -132,7 +132,7 @@ target AS (SELECT coalesce(a.profile_id, b.profile_id, sha256(i.source || '|' ||
 def snk1(t: Tables):
     p = t.profiles()
     pid = F.concat("source", "ordinal")
-    existing = p.filter("synced_at < timestamp'2001-01-01 12:00:00'").select(
+    existing = p.filter(half("profile_id")).select(
         "profile_id", "source", pid.alias("source_profile_id"), "handle", "display_name",
         F.lit(False).alias("is_deleted"), "synced_at", F.col("synced_at").alias("seen_at"))
     new = F.col("source") == "github"

@@ -1,7 +1,7 @@
 """Queries for windows, sorts, top-k and set operations."""
 from pyspark.sql import functions as F
 
-from ..bindings import Tables, with_sql
+from ..bindings import Tables, half, with_sql
 from ..functions import arrays
 from ..operators import windows as win
 from .aggregates import HITS, attempt_hits
@@ -158,11 +158,11 @@ def so1(t: Tables):
 
 
 @query("so2_handle_difference", with_sql(["links", "profiles", "opt_outs"], """
-SELECT DISTINCT dst AS handle FROM links WHERE dst NOT IN (SELECT handle FROM profiles WHERE synced_at < TIMESTAMP '2001-01-01 10:00:00')
+SELECT DISTINCT dst AS handle FROM links WHERE dst NOT IN (SELECT handle FROM profiles WHERE substr(md5(handle), 1, 1) < '8')
   AND dst NOT IN (SELECT handle FROM opt_outs)"""))
 def so2(t: Tables):
     handles = t.links().select(F.col("dst").alias("handle")).distinct()
-    return win.subtract_handles(handles, t.profiles().filter("synced_at < timestamp'2001-01-01 10:00:00'"), t.opt_outs())
+    return win.subtract_handles(handles, t.profiles().filter(half("handle")), t.opt_outs())
 
 
 @query("so3_direction_intersection", with_sql(["search_docs"], """

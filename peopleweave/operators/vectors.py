@@ -78,12 +78,12 @@ class VectorIndex:
 
 
 def build_vectors(rows: DataFrame, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> VectorIndex:
-    """rows: (person_id, embedding, ...). Null or empty vectors and those with null components take no part.
+    """rows: (person_id, embedding, ...). Null or empty vectors and those with null or non-finite components take no part.
 
     Pivots are the vectors that come first by a hash of the id, at most ``pivots`` per vector length, and one for every ``block_rows`` rows.
     """
     spark = rows.sparkSession
-    sound = F.coalesce(F.size("embedding") > 0, F.lit(False)) & F.forall("embedding", lambda x: x.isNotNull())
+    sound = F.coalesce(F.size("embedding") > 0, F.lit(False)) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     base = stored(rows.filter(sound).withColumn("dim", F.size("embedding")), "vectors")
     sizes = {r["dim"]: r["count"] for r in base.groupBy("dim").count().collect()}
     first = top_k(base.select("dim", "person_id", "embedding"), ["dim"], [F.xxhash64("person_id"), "person_id"], pivots, "place")

@@ -95,6 +95,13 @@ def same_name_groups(candidates: DataFrame) -> DataFrame:
     return named.join(sizes.filter("group_size > 1"), ["query_id", "name_norm"])
 
 
+def _ranked(scored: DataFrame, order, n: int | None) -> DataFrame:
+    """The first ``n`` of each query, or whole lists, which range parts number so that no list is one task."""
+    if n is not None:
+        return top_k(scored, ["query_id"], order, n)
+    return positions(scored, ["query_id"], order, "rank").withColumn("rank", F.col("rank").cast("int"))
+
+
 def rerank_order(scored: DataFrame, mode: str, n: int | None = None) -> DataFrame:
     """fresh / source / evidence order: composite to three decimals, then the signals in mode order.
 
@@ -103,11 +110,11 @@ def rerank_order(scored: DataFrame, mode: str, n: int | None = None) -> DataFram
     """
     order = {"fresh": ["fresh", "evidence", "source", "match"], "source": ["source", "fresh", "evidence", "match"],
              "evidence": ["evidence", "fresh", "source", "match"]}[mode]
-    return top_k(scored, ["query_id"], [F.desc(F.round("composite", 3)), *[F.desc(c) for c in order], "person_id"], n)
+    return _ranked(scored, [F.desc(F.round("composite", 3)), *[F.desc(c) for c in order], "person_id"], n)
 
 
 def dimension_order(scored: DataFrame, dimension: str, n: int | None = None) -> DataFrame:
-    return top_k(scored, ["query_id"], [F.desc(F.coalesce(F.col(dimension), F.lit(-1.0))), "person_id"], n)
+    return _ranked(scored, [F.desc(F.coalesce(F.col(dimension), F.lit(-1.0))), "person_id"], n)
 
 
 def page(df: DataFrame, order, limit: int | float = 10, offset: int | float = 0, maximum: int = 50) -> DataFrame:

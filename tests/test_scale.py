@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from peopleweave.config import RetrievalConfig
-from peopleweave.functions import similarity
-from peopleweave.operators import aggregates, common, index, joins, postings, retrieve, scan
+from peopleweave.functions import json, similarity
+from peopleweave.operators import aggregates, common, index, joins, postings, retrieve, scan, vocabulary
 from peopleweave.operators import vectors as vector_blocks
+from peopleweave.operators.automaton import Automaton
 
 
 def hot(spark, n=3000):
@@ -95,7 +96,8 @@ def test_vector_blocks_out_of_reach_are_not_met(spark):
     centres = np.eye(6)
     data = np.array([centres[i % 6] + rng.normal(size=6) * 0.01 for i in range(600)] + [np.zeros(6)])
     asked = np.vstack([centres[:2] * 3, np.zeros((1, 6))])
-    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "person_id long, embedding array<double>")
+    odd = [(7000, [float("nan")] * 6), (7001, [float("inf")] * 6), (7002, [1.0, None] + [0.0] * 4), (7003, None)]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)] + odd, "person_id long, embedding array<double>")
     q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(asked)], "query_id long, embedding array<double>").withColumn("dim", F.size("embedding"))
     built = vector_blocks.build_vectors(rows, 64, 20)
     first = built.nearest(q, 50)
@@ -225,3 +227,45 @@ def test_facts_of_a_hot_handle_stay_in_long_form(spark):
     assert "collect" not in plan and "value#" in plan.split("hashpartitioning(")[1].split(")")[0]
     few = aggregates.accumulate_handles(rows.limit(3)).first()
     assert few["names"] == sorted(few["names"]) and few["descriptions"] == [] and few["category_titles"] == few["categories"]
+
+
+def test_automaton_finds_what_plain_search_finds():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        draw = lambda most: "".join(rng.choice(list("abé"), int(rng.integers(1, most))))
+        patterns = sorted({draw(6) for _ in range(12)})
+        text = draw(60)
+        assert Automaton(patterns).found(text) == {i for i, p in enumerate(patterns) if p in text}
+    assert Automaton([]).found("abc") == set() and Automaton(["a"]).found("") == set()
+
+
+def test_vocabulary_of_several_blocks(spark):
+    rng = np.random.default_rng(7)
+    words = sorted({"".join(rng.choice(list("abcde"), 5)) for _ in range(1500)})
+    table = spark.createDataFrame([(f"c{i % 40}", w.upper() if i % 3 else w) for i, w in enumerate(words)] + [("any", "a"), ("none", ""), ("null", None), ("c1", words[0])], "canonical string, pattern string")
+    texts = [(i, " ".join(rng.choice(words, 6)) + "a" * int(i % 2)) for i in range(60)] + [(100, None), (101, ""), (102, "A" * 500)]
+    got = {(r["row_id"], r["canonical"]) for r in vocabulary.table_hits(spark.createDataFrame(texts, "row_id long, text string"), table, most=400).collect()}
+    pairs = [(r["canonical"], r["pattern"].lower()) for r in table.collect() if r["pattern"]]
+    assert got == {(i, c) for i, t in texts for c, p in pairs if p in (t or "").lower()}
+    assert vocabulary.table_hits(spark.createDataFrame(texts, "row_id long, text string"), table.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        vocabulary.vocabulary_dict(table, most=10)
+
+
+def test_large_vocabulary(spark):
+    table = spark.range(1_000_000).select(F.concat(F.lit("c"), F.col("id") % 1000).alias("canonical"), F.concat(F.lit("k"), F.col("id"), F.lit(";")).alias("pattern"))
+    texts = spark.createDataFrame([(1, "the k17; and k999999; end"), (2, "k1000000; the"), (3, "xk5;k5;")], "row_id long, text string")
+    assert {(r["row_id"], r["canonical"]) for r in vocabulary.table_hits(texts, table).collect()} == {(1, "c17"), (1, "c999"), (3, "c5")}
+
+
+def test_nested_strings_of_json(spark):
+    import json as js
+    values = [{"a": "x", "b": ["y ", {"c": " ", "d\"k:": "q\"uo\\te: \n", "e": [1, None, True, ["deep 中", "\U0001f600"]]}], "": "z:"}, "top", ["k: v", "k"], {}, 5]
+
+    def walk(v):
+        if isinstance(v, str):
+            return [v.strip()] if v.strip() else []
+        return [s for x in (v.values() if isinstance(v, dict) else v if isinstance(v, list) else []) for s in walk(x)]
+    rows = [(i, js.dumps(v, ensure_ascii=bool(i % 2)), walk(v)) for i, v in enumerate(values)] + [(10, None, []), (11, "{bad", []), (12, js.dumps({"long": "x\\y" * 20_000}), ["x\\y" * 20_000])]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "id long, t string")
+    assert {r["id"]: r["s"] for r in df.select("id", json.nested_strings("t").alias("s")).collect()} == {i: w for i, _, w in rows}
