@@ -15,7 +15,6 @@ folder; a step shuffles new questions and new answers only. Words and sequences
 """
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections import defaultdict
 from contextlib import contextmanager
@@ -27,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from xxhash import xxh3_64_intdigest
 
 from .common import shared_folder, stored, utf8
 from .sharing import reading, writing
@@ -175,17 +175,23 @@ class SuffixTree:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Numbers as compressed planes of bytes."""
-    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
-    return len(values).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+    """Numbers as compressed planes of bytes; whole numbers take no more bytes than the largest needs."""
+    if values.dtype.kind in "iu" and len(values):
+        values = values.astype(np.min_scalar_type(int(values.max())), copy=False)
+    raw = np.ascontiguousarray(values).view(np.uint8)
+    raw = raw.reshape(-1, values.itemsize).T.tobytes() if values.itemsize > 1 else raw.tobytes()
+    return len(values).to_bytes(8, "little") + bytes([values.itemsize]) + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
 def unpack(raw: bytes, kind) -> np.ndarray:
-    n, width = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    """The numbers of ``pack`` (whole ones are 0 or more) as ``kind``."""
+    n, width, kind = int.from_bytes(raw[:8], "little"), raw[8], np.dtype(kind)
     if not n:
         return np.zeros(0, kind)
-    planes = np.frombuffer(pa.decompress(raw[8:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+    planes = np.frombuffer(pa.decompress(raw[9:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
+    if width > 1:
+        planes = np.ascontiguousarray(planes.reshape(width, n).T).view(f"{'f' if kind.kind == 'f' else 'u'}{width}").ravel()
+    return planes.astype(kind, copy=False)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -216,9 +222,13 @@ COUNT, SUM = 0, 1
 
 
 class Chunk:
-    """A chunk of encoded documents with the levels of its sequences, as far as the answers go."""
+    """A chunk of encoded documents with the levels of its sequences, as far as the answers go.
 
-    def __init__(self, number: int, row: dict, answers: list[dict], least: tuple[float, float], alpha: float, n_train: int, kinds: int):
+    ``facts`` are the values of earlier answers by sequence, in the order in which sequences appear in the chunk, and for longer ones
+    the places of those that are kept, so that the others are not laid out again; ``answers`` are new ones, in the order of their hashes, which become the facts in ``new``.
+    """
+
+    def __init__(self, number: int, row: dict, facts: dict, answers: list[dict], least: tuple[float, float], alpha: float, n_train: int, kinds: int):
         self.number, self.least, self.alpha = number, least, alpha
         self.sizes, learn = unpack(row["sizes"], np.int64), unpack(row["learn"], np.int8)
         flat, self.words = unpack(row["ids"], np.int32).astype(np.int64), unpack(row["words"], np.uint64)
@@ -230,50 +240,75 @@ class Chunk:
         self.answers: dict = {}
         for r in sorted(answers, key=lambda r: r["bucket"]):
             self.answers.setdefault((r["kind"], r["level"]), []).append((r["values"], r["first"]))
-        at = self.ids[self.real]
-        # Per level: index of the sequence that ends at each place or -1; hash, count here, sequence without its last and without its first word.
-        self.levels = [(self.ids, self.words, np.bincount(at, self.learn[self.real], len(self.words)), None, None)]
-        self.orders, self.n, self.kept, self.first = [np.argsort(self.words)], [], [], []
+        self.facts, self.new = facts, {}
+        # Per level: index of the sequence that ends at each place or -1; hash, places and their sequences, sequence without its last and without its first word.
+        self.levels = [(self.ids, self.words, (self.real, flat), None, None)]
+        self.orders: dict[int, np.ndarray] = {}
+        self.n, self.kept, self.first = [], [], []
         self.rest: list[np.ndarray] = []
         self.single, self.p = None, []
-        while (COUNT, len(self.levels)) in self.answers:
+        while self._has(COUNT, len(self.levels)):
             self._next()
         if self.n:
             self.single = (self.n[0] + 1) / (n_train + kinds + 1)
             self.p = [self.single]
-        while (SUM, len(self.rest) + 1) in self.answers:
+        while self._has(SUM, len(self.rest) + 1):
             self._decided()
 
-    def _values(self, kind: int, level: int, dtype, which: int = 0) -> np.ndarray:
-        return np.concatenate([unpack(x[which], dtype) for x in self.answers[kind, level]])
+    def _has(self, kind: int, level: int) -> bool:
+        return (kind, level) in self.facts or (kind, level) in self.answers
+
+    def _order(self, k: int) -> np.ndarray:
+        """Sequences of k + 1 words by hash, as a question lists them."""
+        if k not in self.orders:
+            self.orders[k] = np.argsort(self.levels[k][1])
+        return self.orders[k]
+
+    def _values(self, kind: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(value, is this chunk the first to hold it) of each sequence of ``level`` words."""
+        if (kind, level) in self.facts:
+            return tuple(unpack(x, np.int64) for x in self.facts[kind, level][:2])
+        order = self._order(level - 1)
+        if kind == SUM:
+            order = order[self.kept[level - 1][order]]
+        out = []
+        for which in (0, 1):
+            values = np.zeros(len(self.levels[level - 1][1]), np.int64)
+            values[order] = np.concatenate([unpack(x[which], np.int64) for x in self.answers[kind, level]])
+            out.append(values)
+        if kind == COUNT and level > 1:
+            kept = out[0] >= self.least[1]
+            self.new[kind, level] = [*[pack(x[kept]) for x in out], pack(np.packbits(np.append(kept, False)[self.levels[-1][0]]))]
+        else:
+            self.new[kind, level] = [pack(x) for x in out]
+        return tuple(out)
 
     def _next(self) -> None:
         """Take the counts of the last level and lay out the sequences one longer, of which both ends are kept."""
-        level, order = len(self.levels), self.orders[-1]
-        n, first = np.zeros(len(order)), np.zeros(len(order), bool)
-        n[order], first[order] = self._values(COUNT, level, np.int64), self._values(COUNT, level, np.int8, 1) > 0
-        self.n.append(n)
-        self.first.append(first)
+        level = len(self.levels)
+        n, first = self._values(COUNT, level)
+        self.n.append(n.astype(np.float64))
+        self.first.append(first > 0)
         kept = n >= self.least[level > 1]
         self.kept.append(kept)
         index, hashes = self.levels[-1][:2]
-        have = np.zeros(len(index), bool)
-        have[index >= 0] = kept[index[index >= 0]]
-        places = np.flatnonzero(have[:-1] & have[1:]) + 1
+        known = self.facts.get((COUNT, level + 1))
+        if known:
+            places = np.flatnonzero(np.unpackbits(unpack(known[2], np.uint8), count=len(index)))
+        else:
+            have = np.append(kept, False)[index]      # places without a sequence are -1
+            places = np.flatnonzero(have[:-1] & have[1:]) + 1
         codes, at, inverse = _distinct(index[places - 1] * len(self.words) + self.ids[places])
         longer = np.full(len(index), -1, np.int64)
         longer[places] = inverse
         before, word = codes // len(self.words), codes % len(self.words)
         own = mixed(hashes[before] ^ mixed(self.words[word] + np.uint64(level)))
-        self.levels.append((longer, own, np.bincount(inverse, self.learn[places], len(codes)), before, index[places[at]]))
-        self.orders.append(np.argsort(own))
+        self.levels.append((longer, own, (places, inverse), before, index[places[at]]))
 
     def _decided(self) -> None:
         """Take the masses that the contexts of the next length hand down."""
         k = len(self.rest)
-        rest = np.ones(len(self.n[k]))
-        order = self.orders[k]
-        rest[order[self.kept[k][order]]] = self._values(SUM, k + 1, np.float64)
+        rest = 1 - self._values(SUM, k + 1)[0] / (self.n[k] + self.alpha)
         self.rest.append(rest)
         _, _, _, before, after = self.levels[k + 1]
         own = np.where(rest[before] < 1, self.n[k + 1] / (self.n[k][before] + self.alpha), 0.0)
@@ -285,20 +320,25 @@ class Chunk:
                 for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))]
 
     def ask_counts(self, buckets: int) -> list[dict]:
-        order = self.orders[-1]
-        return self._rows(COUNT, len(self.levels), self.levels[-1][1][order], [self.levels[-1][2][order].astype(np.int64)], buckets)
+        order, (_, hashes, (places, inverse), _, _) = self._order(len(self.levels) - 1), self.levels[-1]
+        counts = np.bincount(inverse, self.learn[places], len(hashes)).astype(np.int64)
+        return self._rows(COUNT, len(self.levels), hashes[order], [counts[order]], buckets)
 
     def ask_sums(self, buckets: int) -> list[dict]:
-        """What the sequences that this chunk answers for add to their contexts."""
+        """What the sequences that this chunk answers for add to their contexts. The count of a context comes from the first chunk that holds it.
+
+        Gains and lower probabilities travel in single precision: they only decide whether a context is retained.
+        """
         k = len(self.rest)
         _, _, _, before, after = self.levels[k + 1]
         mine = self.first[k + 1] & self.kept[k + 1]
         context, n, lower = before[mine], self.n[k + 1][mine], np.maximum(self.p[k][after[mine]], 1e-300)
-        size, order = len(self.n[k]), self.orders[k]
+        size, order = len(self.n[k]), self._order(k)
         order = order[self.kept[k][order]]
         gain = np.bincount(context, n * np.log(n / self.n[k][context] / lower), size)
-        followers, kept, below = np.bincount(context, minlength=size).astype(np.float64), np.bincount(context, n, size), np.bincount(context, lower, size)
-        return self._rows(SUM, k + 1, self.levels[k][1][order], [v[order] for v in (self.n[k], followers, kept, gain, below)], buckets)
+        followers, kept, below = np.bincount(context, minlength=size), np.bincount(context, n, size).astype(np.int64), np.bincount(context, lower, size)
+        own = np.where(self.first[k], self.n[k], 0).astype(np.int64)
+        return self._rows(SUM, k + 1, self.levels[k][1][order], [v[order] for v in (own, followers, kept, gain.astype(np.float32), below.astype(np.float32))], buckets)
 
     def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known words, log10 probability as single words, log10 probability) of each document."""
@@ -307,20 +347,17 @@ class Chunk:
         known[real], base[real] = self.n[0][self.ids[real]] > 0, self.single[self.ids[real]]
         p = base.copy()
         for k, rest in enumerate(self.rest):
-            state, follow = np.r_[-1, self.levels[k][0][:-1]], self.levels[k + 1][0]
-            ok = real & (state >= 0)
-            ok[ok] = self.kept[k][state[ok]]
-            s, f = state[ok], follow[ok]
-            own = np.zeros(len(s))
-            has = f >= 0
-            own[has] = np.where(rest[s[has]] < 1, self.n[k + 1][f[has]] / (self.n[k][s[has]] + self.alpha), 0.0)
-            p[ok] = own + rest[s] * p[ok]
+            state, follow, before = np.r_[-1, self.levels[k][0][:-1]], self.levels[k + 1][0], self.levels[k + 1][3]
+            own = np.where(rest[before] < 1, self.n[k + 1] / (self.n[k][before] + self.alpha), 0.0)
+            # Places without a sequence are -1: they get nothing and hand all down.
+            p = np.append(own, 0.0)[follow] + np.append(rest, 1.0)[state] * p
+        p[~real] = 1.0
         begins = np.r_[0, np.cumsum(self.sizes + 1)[:-1]].astype(np.int64)
         return tuple(np.add.reduceat(v, begins) for v in (known, np.log10(base), np.log10(p)))
 
 
 def answered(asked: pa.Table, least: float, alpha: float) -> pa.Table:
-    """What a bucket answers to the chunks: counts (0 below the least), or the mass that each context hands down (1 where it is not retained)."""
+    """What a bucket answers to the chunks: counts (0 below the least), or how often each context is followed by kept words (0 where it is not retained)."""
     rows = sorted(asked.to_pylist(), key=lambda r: r["chunk"])
     kind, level, bucket = (rows[0][k] for k in ("kind", "level", "bucket"))
     hashes = [np.cumsum(unpack(r["hashes"], np.uint64), dtype=np.uint64) for r in rows]
@@ -337,13 +374,11 @@ def answered(asked: pa.Table, least: float, alpha: float) -> pa.Table:
         values = np.where(n >= (1 if level == 1 else least), n, 0)
         first[at] = values > 0
     else:
-        followers, kept, gain, lower = total("a", np.float64), total("b", np.float64), total("c", np.float64), total("d", np.float64)
-        n = np.zeros(len(every))
-        n[inverse] = np.concatenate([unpack(r["n"], np.float64) for r in rows])
+        n, followers, kept, gain, lower = total("n", np.int64), total("a", np.int64), total("b", np.int64), total("c", np.float64), total("d", np.float64)
         left, left_lower = np.maximum(n - kept, 0), np.maximum(1 - lower, 1e-12)
         gain = gain + np.where(left > 0, left * np.log(np.maximum(left / n, 1e-300) / left_lower), 0)
         retained = (followers > 0) & (gain > 0.5 * (1 + followers) * np.log(n + 1))
-        values = np.where(retained, 1 - kept / (n + alpha), 1.0)
+        values = np.where(retained, kept, 0).astype(np.int64)
     values = values[inverse]
     out = [{"kind": kind, "level": level, "bucket": bucket, "chunk": r["chunk"], "values": pack(values[i:j]), "first": pack(first[i:j]), "tokens": tokens if not c else 0, "kinds": kinds if not c else 0}
            for c, (r, i, j) in enumerate(zip(rows, cuts[:-1], cuts[1:]))]
@@ -351,7 +386,7 @@ def answered(asked: pa.Table, least: float, alpha: float) -> pa.Table:
 
 
 class ChunkFiles:
-    """Files of the encoded chunks and of the answers they have got so far, in the shared folder: neither is shuffled again for a later level.
+    """Files of the encoded chunks and of what the answers so far say, in the shared folder: neither is shuffled again for a later level.
 
     A task that is repeated writes the same file once more, and files appear under their names only when complete.
     """
@@ -367,12 +402,15 @@ class ChunkFiles:
         with reading(f"{self.folder}/{chunk}.{name}") as f:
             return pickle.loads(f.read())
 
-    def load(self, chunk: int, step: int, new: list[dict], model: tuple) -> Chunk:
-        """The chunk before it asks in ``step``; ``new`` are the answers to its questions of the step before, which are kept for later steps."""
-        if step > 1:
-            self.write(chunk, f"answers{step - 1}", new)
-        old = [r for s in range(1, step - 1) for r in self.read(chunk, f"answers{s}")]
-        return Chunk(chunk, self.read(chunk, "documents"), old + new, *model)
+    def load(self, chunk: int, step: int, new: list[dict], model: tuple, last: bool = False) -> Chunk:
+        """The chunk before it asks in ``step``; ``new`` are the answers to its questions of the step before. Unless it is the last step, what they say is kept for later ones."""
+        facts: dict = {}
+        for s in range(1, step - 1):
+            facts.update(self.read(chunk, f"facts{s}"))
+        loaded = Chunk(chunk, self.read(chunk, "documents"), facts, new, *model)
+        if step > 1 and not last:
+            self.write(chunk, f"facts{step - 1}", loaded.new)
+        return loaded
 
 
 def chunks_of(docs: DataFrame, text: Column, train: Column, kept: list[str], files: ChunkFiles) -> DataFrame:
@@ -385,8 +423,8 @@ def chunks_of(docs: DataFrame, text: Column, train: Column, kept: list[str], fil
         number = TaskContext.get().partitionId() << 33
 
         def closed():
-            words = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in index)
-            packed = {"ids": pack(np.concatenate(ids)), "words": pack(np.frombuffer(words, np.uint64)), "sizes": pack(np.array(sizes, np.int64)), "learn": pack(np.array(learn, np.int8))}
+            words = np.fromiter(map(xxh3_64_intdigest, index), np.uint64, len(index))
+            packed = {"ids": pack(np.concatenate(ids)), "words": pack(words), "sizes": pack(np.array(sizes, np.int64)), "learn": pack(np.array(learn, np.int8))}
             files.write(number, "documents", packed)
             lists = []
             for i in range(width):
@@ -492,7 +530,7 @@ def score(docs: DataFrame, train: Column, *, text_col: str = "text", depth: int
     model = floors, ALPHA, n_train, kinds
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk = files.load(left.column("chunk")[0].as_py(), depth + 3, right.to_pylist(), model)
+        chunk = files.load(left.column("chunk")[0].as_py(), depth + 3, right.to_pylist(), model, last=True)
         known, base, full = chunk.sums()
         columns = [left.column(f"__k{i}").chunk(0)[0].values for i in range(len(kept))]
         numbers = [pa.array(chunk.sizes), pa.array(known.astype(np.int64)), pa.array(np.full(len(known), n_train, np.int64)), pa.array(base), pa.array(full)]
