@@ -74,3 +74,19 @@ def test_matcher_finds_every_occurrence(text, patterns):
     text, patterns = [c.encode() for c in text], {tuple(c.encode() for c in p): p for p in patterns}
     want = [(i, patterns[tuple(text[i:i + 4])]) for i in range(len(text) - 3) if tuple(text[i:i + 4]) in patterns]
     assert list(D.WuManber(patterns).find(text)) == want
+
+
+def test_a_block_is_loaded_once_per_task_and_alone(spark):
+    docs, items = cases()
+    items = [*items, *[(200 + i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(8)]]
+    docs = [*docs, (900, "a " + " ".join(f"w3x{j}" for j in range(12)) + " b " + " ".join(f"w7x{j}" for j in range(1, 12)))]
+    count, block_of = D.benchmark_blocks(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", D.WINDOW, 400)
+    blocks = [block_of(b) for b in range(count)]
+    assert count > 2 and all(sum(len(t) for _, t in b) < sum(len(t) for b in blocks for _, t in b) for b in blocks)
+    assert len({x for b in blocks for x in b}) == sum(map(len, blocks))
+    assert any(r[0] == 900 and r[2] == 23 for r in compare(spark, docs, items, block_bytes=400))
+
+
+def test_runs_of_hits():
+    assert D._runs(bytearray([0, 1, 1, 0, 1])) == [1, 3, 4, 5] and D._runs(bytearray()) == [] and D._runs(bytearray([1])) == [0, 1]
+    assert D._covered([1, 3, 2, 5, 9, 10, 2, 3]) == 5
