@@ -4,7 +4,8 @@ Writing: equal payloads are found by their digest; the capture with the smallest
 refer to it (revisit). Each task writes its own archives, one gzip member a record. Reading back: each archive is read
 record by record, and its captures, sorted by URL key, timestamp and id, become a local run in a file of its
 own. The runs are merged by key range: a task seeks its range in every run and merges the runs with a tree of losers.
-More runs than ``FAN_IN`` are first merged in groups, so that no task has more than ``FAN_IN`` runs open.
+More runs than ``FAN_IN`` are first merged in groups, so that no task has more than ``FAN_IN`` runs open. Groups are merged by key range, too: each
+range becomes a segment, a file of its own, and the segments of a group in key order are its run.
 """
 from __future__ import annotations
 
@@ -25,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.common import positions
 from .common import shared_folder, stored, utf8
 from .sharing import reading, writing
 
 ARCHIVE_BYTES = 64 << 20      # compressed bytes after which a task begins a new archive
 FAN_IN = 64
 RANGE_ROWS = 20_000           # about the captures in one range of the merged index
+SEGMENTS = 4096               # about the files of a merged run at most
 SPARSE = 256                  # captures between two entries of a run's own index
 DATE = "2024-01-01T00:00:00Z"  # of captures without a time
 NO_ID = "none"
@@ -196,9 +199,24 @@ class Run:
                     yield entry
 
 
-def merged(uris: list[str], low: list | None = None, high: list | None = None):
-    """Captures of all runs in one order."""
-    return iter(LoserTree([Run(u).entries(low, high) for u in uris], key=lambda e: e[0]))
+def overlapping(segments: list, low: list | None, high: list | None) -> list[str]:
+    """Files of the segments, each with the key it begins at (None: the least) and in key order, that may hold captures with low <= key < high."""
+    ends = [begin for begin, _ in segments[1:]] + [None]
+    return [uri for (begin, uri), end in zip(segments, ends) if (high is None or begin is None or begin < high) and (low is None or end is None or low < end)]
+
+
+def merged(runs: list[list[str]], low: list | None = None, high: list | None = None):
+    """Captures of all runs, each a list of files in key order, in one order. Of each run one file is open at a time."""
+    return iter(LoserTree([(e for uri in files for e in Run(uri).entries(low, high)) for files in runs], key=lambda e: e[0]))
+
+
+def key_ranges(keys: list[str], captures: int, range_rows: int) -> list[tuple]:
+    """(low, high) of ranges of about ``range_rows`` captures each, from a sample of keys as JSON; the first is open below, the last above."""
+    keys = sorted(map(json.loads, keys))
+    parts = min(max(1, math.ceil(captures / range_rows)), len(keys) or 1)
+    cuts = [keys[i * len(keys) // parts] for i in range(1, parts)]
+    cuts = [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
+    return list(zip([None, *cuts], [*cuts, None]))
 
 
 def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE,
@@ -236,9 +254,9 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     return stored(rows.mapInArrow(write, "archive string, records long"), "archives")
 
 
-def _per_row(df: DataFrame, column: str) -> DataFrame:
+def _per_row(df: DataFrame, *columns: str) -> DataFrame:
     """One partition for about each row of a table with a row per file."""
-    return df.repartitionByRange(max(1, df.count()), column)
+    return df.repartitionByRange(max(1, df.count()), *columns)
 
 
 def sorted_runs(archives: DataFrame, folder: str) -> DataFrame:
@@ -260,23 +278,41 @@ def sorted_runs(archives: DataFrame, folder: str) -> DataFrame:
     return stored(_per_row(archives.select("archive"), "archive").mapInArrow(sort, "run string, captures long, keys array<string>"), "runs")
 
 
-def _merge_groups(runs: DataFrame, folder: str, level: int, fan_in: int) -> DataFrame:
-    """One pass: each ``fan_in`` runs become one."""
-    from pyspark.sql import Window
-    grouped = runs.withColumn("g", F.floor((F.row_number().over(Window.orderBy("run")) - 1) / fan_in)).groupBy("g").agg(F.collect_list("run").alias("uris"), F.sum("captures").alias("captures"), F.flatten(F.collect_list("keys")).alias("keys"))
+def _merge_groups(runs: DataFrame, folder: str, level: int, fan_in: int, range_rows: int) -> DataFrame:
+    """One pass: each ``fan_in`` runs become one, a task merging one key range of a group. A segment is the JSON of the key it begins at and its file.
+
+    Ranges grow with the group beyond ``SEGMENTS`` of them, so that a row that lists the segments of a run stays small.
+    """
+    numbered = positions(runs, [], ["run"], "at").withColumn("g", F.floor((F.col("at") - 1) / fan_in))
+    groups = numbered.groupBy("g").agg(F.collect_list(F.struct("run", "segments")).alias("runs"), F.sum("captures").alias("captures"), F.flatten(F.collect_list("keys")).alias("keys"))
+
+    def plan(batches):
+        for batch in batches:
+            for g, members, captures, keys in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                segments = [[json.loads(x) for x in m["segments"]] for m in sorted(members, key=lambda m: m["run"])]
+                for r, (low, high) in enumerate(key_ranges(keys, captures, max(range_rows, captures // SEGMENTS))):
+                    yield pa.RecordBatch.from_pydict({"g": [g], "r": [r], "work": [json.dumps([low, high, [overlapping(x, low, high) for x in segments]])]})
+
+    planned = stored(_per_row(groups.select("g", "runs", "captures", "keys"), "g").mapInArrow(plan, "g long, r long, work string"), "ranges")
 
     def merge(batches):
         for batch in batches:
-            for g, uris, captures, keys in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                run = f"{folder}/runs/level{level}-{g:06d}.run"
-                with writing(run) as f:
+            for g, r, work in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                low, high, files = json.loads(work)
+                uri = f"{folder}/runs/level{level}-{g:06d}-{r:06d}.run"
+                with writing(uri) as f:
                     out = RunWriter(f)
-                    for e in merged(sorted(uris)):
+                    for e in merged(files, low, high):
                         out.add(e)
                     out.close()
-                yield pa.RecordBatch.from_pydict({"run": [run], "captures": [captures], "keys": [keys[::max(1, len(keys) // 32)]]})
+                    keys = [json.dumps(k) for k, _ in out.sparse[::max(1, len(out.sparse) // 32)]]
+                yield pa.RecordBatch.from_pydict({"g": [g], "r": [r], "captures": [out.count], "keys": [keys], "segment": [json.dumps([low, uri])]})
 
-    return stored(_per_row(grouped.select("g", "uris", "captures", "keys"), "g").mapInArrow(merge, "run string, captures long, keys array<string>"), "runs")
+    written = stored(_per_row(planned, "g", "r").mapInArrow(merge, "g long, r long, captures long, keys array<string>, segment string"), "segments")
+    inner = F.array_sort(F.collect_list(F.struct("r", "segment")))
+    every = F.flatten(F.collect_list("keys"))
+    return stored(written.groupBy("g").agg(F.sum("captures").alias("captures"), every.alias("keys"), inner.alias("s")).select(
+        F.format_string(f"level{level}-%012d", "g").alias("run"), "captures", "keys", F.col("s.segment").alias("segments")), "runs")
 
 
 INDEX_SCHEMA = ("range long, position long, url_key string, date string, page_id long, url string, archive string, offset long, length long, payload_bytes long, "
@@ -286,16 +322,14 @@ INDEX_SCHEMA = ("range long, position long, url_key string, date string, page_id
 def merge_runs(runs: DataFrame, folder: str, *, fan_in: int = FAN_IN, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The captures of all runs in global order: (range, position) ascending is URL key, date and id ascending."""
     level = 0
+    runs = runs.select("run", "captures", "keys", F.array(F.concat(F.lit("[null,"), F.regexp_extract(F.to_json(F.struct("run")), r'^\{"run":(.*)\}$', 1), F.lit("]"))).alias("segments"))
     while runs.count() > fan_in:
         level += 1
-        runs = _merge_groups(runs, folder, level, fan_in)
-    spark, rows = runs.sparkSession, runs.select("run", "captures", "keys").collect()   # at most FAN_IN rows of 64 keys
-    uris, total = sorted(r["run"] for r in rows), sum(r["captures"] for r in rows)
-    keys = sorted(json.loads(k) for r in rows for k in r["keys"])
-    parts = min(max(1, math.ceil(total / range_rows)), len(keys) or 1)
-    cuts = [keys[i * len(keys) // parts] for i in range(1, parts)]
-    cuts = [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
-    bounds = [json.dumps([a, b]) for a, b in zip([None, *cuts], [*cuts, None])]
+        runs = _merge_groups(runs, folder, level, fan_in, range_rows)
+    spark, rows = runs.sparkSession, sorted(runs.select("run", "captures", "keys", "segments").collect())   # at most FAN_IN rows of about SEGMENTS segments
+    segments = [[json.loads(x) for x in r["segments"]] for r in rows]
+    spans = key_ranges([k for r in rows for k in r["keys"]], sum(r["captures"] for r in rows), range_rows)
+    bounds = [json.dumps([low, high, [overlapping(x, low, high) for x in segments]]) for low, high in spans]
     ranges = spark.createDataFrame(list(enumerate(bounds)), "r long, bounds string")
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     names = [c.split()[0] for c in INDEX_SCHEMA.split(", ")]
@@ -303,9 +337,9 @@ def merge_runs(runs: DataFrame, folder: str, *, fan_in: int = FAN_IN, range_rows
     def merge(batches):
         for batch in batches:
             for r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                low, high = json.loads(text)
+                low, high, files = json.loads(text)
                 rows, position = [], 0
-                for (key, date, none, page, at, file), url, size, digest, kind, refers, length in merged(uris, low, high):
+                for (key, date, none, page, at, file), url, size, digest, kind, refers, length in merged(files, low, high):
                     rows.append((r, position, key, date, None if none else page, url, file, at, length, size, digest, kind, refers))
                     position += 1
                     if len(rows) == 5000:

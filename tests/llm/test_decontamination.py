@@ -84,7 +84,7 @@ def test_a_block_is_loaded_once_per_task_and_alone(spark):
     blocks = [block_of(b) for b in range(count)]
     assert count > 2 and all(sum(len(t) for _, t in b) < sum(len(t) for b in blocks for _, t in b) for b in blocks)
     assert len({x for b in blocks for x in b}) == sum(map(len, blocks))
-    assert any(r[0] == 900 and r[2] == 23 for r in compare(spark, docs, items, block_bytes=400))
+    assert any(r[0] == 900 and r[2] >= 23 for r in compare(spark, docs, items, block_bytes=400))
 
 
 def test_runs_of_hits():

@@ -6,6 +6,8 @@ import random
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from peopleweave.llm import warc as W
 from peopleweave.llm.common import shared_folder
 from peopleweave.llm.sharing import writing
@@ -87,3 +89,24 @@ def test_runs_are_read_by_range(tmp_path):
 @pytest.mark.parametrize("url, key", [("https://www.Example.com/A?b=C#d", "com,example)/a?b=c"), ("http://a.b:8080", "b,a:8080)/"), (None, ""), ("http://[bad", "http://[bad")])
 def test_url_keys(url, key):
     assert W.url_key(url) == key
+
+
+def test_groups_of_many_runs_are_merged_by_range(spark, monkeypatch):
+    monkeypatch.setattr(W, "ARCHIVE_BYTES", 1000)     # some three records
+    rows = [(i, f"http://h{i * 37 % 101}.org/{i % 7}", f"<p>{i}</p>") for i in range(400)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = shared_folder(spark, "test")
+    runs = W.sorted_runs(W.write_archives(frame, folder), folder)
+    assert runs.count() > 64
+    grouped = W._merge_groups(runs.select("run", "captures", "keys", F.array(F.concat(F.lit('[null,"'), "run", F.lit('"]'))).alias("segments")), folder, 9, 64, 50).collect()
+    assert len(grouped) > 1 and max(len(r.segments) for r in grouped) > 3 and sum(r.captures for r in grouped) == 400
+    index = sorted(W.merge_runs(runs, folder, range_rows=50).collect(), key=lambda r: (r.range, r.position))
+    keys = [(r.url_key, r.date, r.page_id) for r in index]
+    assert keys == sorted((W.url_key(u), W.DATE, i) for i, u, _ in rows) and len({r.range for r in index}) > 3
+
+
+def test_overlapping_segments():
+    segments = [[None, "a"], [[3], "b"], [[7], "c"]]
+    assert W.overlapping(segments, None, None) == ["a", "b", "c"]
+    assert W.overlapping(segments, [3], [7]) == ["b"] and W.overlapping(segments, None, [3]) == ["a"]
+    assert W.overlapping(segments, [2], [4]) == ["a", "b"] and W.overlapping(segments, [8], None) == ["c"]
