@@ -38,5 +38,5 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark):
 
 
 def test_registered_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
     assert 4 <= len(C.STAGES) <= 5 and C.ORACLE_SQL is None
