@@ -52,13 +52,33 @@ def head_piece(text: Column) -> Column:
     return F.substring(text, 1, 3)
 
 
+NAME_PIECE = 32
+
+
+def pieces_of(text: Column, size: Column) -> Column:
+    """Distinct substrings of one size, for texts of that size at least."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))
+
+
+def name_meets(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """Rows of ``outer`` (place, outer) with the rows of ``inner`` (place, name) whose name they may contain.
+
+    They meet on the equal place and the whole name, or its first NAME_PIECE characters. Lengths that no name of the place has are not cut.
+    """
+    inner = inner.withColumn("piece", F.substring("name", 1, NAME_PIECE))
+    sizes = inner.groupBy("place").agg(F.collect_set(F.length("piece")).alias("sizes"))
+    parts = outer.join(sizes, "place").withColumn("size", F.explode("sizes")).filter(F.col("size") <= F.length("outer"))
+    parts = parts.withColumn("piece", F.explode(pieces_of(F.col("outer"), F.col("size")))).drop("size", "sizes")
+    return parts.join(inner, ["place", "piece"])
+
+
 def signature_pairs(left: DataFrame, right: DataFrame, cfg: IdentityConfig = DEFAULT.identity) -> DataFrame:
     """Signature pairs reaching the review line, without a cross product and without losing any.
 
     Location and company give at most .5, so a pair above the .7 line has a name signal. Equal names (.5, or .4 with other
     spaces) need .2 more, which a shared role keyword (.1) alone is not: they meet on the name key with a shared place word, or with a
     piece of an organisation that the other's text contains. A contained name (.25) needs the equal location, so it
-    meets on the location with a piece of the contained name. What meets is scored in full.
+    meets on the location with the contained name itself. What meets is scored in full.
     """
     def distinct(df):
         return df.select("sig", *FEATURES).dropDuplicates(["sig"])
@@ -93,13 +113,11 @@ def signature_pairs(left: DataFrame, right: DataFrame, cfg: IdentityConfig = DEF
 
     sa, sb = short(a), short(b)
 
-    def contained(outer, inner, outer_name, inner_name):
-        parts = outer.select(F.col("sig").alias(outer_name), "place", F.col("name").alias("outer"), F.explode(text_pieces(F.col("name"))).alias("piece"))
-        inner = inner.select(F.col("sig").alias(inner_name), "place", "name", head_piece(F.col("name")).alias("piece"))
-        return parts.join(inner, ["place", "piece"]).filter(F.contains("outer", F.col("name")))
+    def contained(outer, inner, outer_sig, inner_sig):
+        met = name_meets(outer.withColumnRenamed("sig", outer_sig).withColumnRenamed("name", "outer"), inner.withColumnRenamed("sig", inner_sig))
+        return met.filter(F.contains("outer", F.col("name"))).select("sig_a", "sig_b")
 
-    inside = contained(sa, sb, "sig_a", "sig_b").select("sig_a", "sig_b").unionByName(
-        contained(sb, sa, "sig_b", "sig_a").select("sig_a", "sig_b"))
+    inside = contained(sa, sb, "sig_a", "sig_b").unionByName(contained(sb, sa, "sig_b", "sig_a"))
     pairs = same_name.unionByName(inside).distinct()
     score, reasons = pair_score()
     joined = pairs.join(a.alias("a"), F.col("sig_a") == F.col("a.sig")).join(b.alias("b"), F.col("sig_b") == F.col("b.sig"))

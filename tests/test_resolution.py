@@ -172,3 +172,19 @@ def test_import_reasons(spark):
     assert {x["seq"]: x["reason"] for x in out.collect()} == {0: None, 1: "duplicate", 2: None, 3: "collapsed_alias", 4: "stored_id", 5: "stored_handle", 6: "excluded_file"}
     counts = {x["reason"]: x["n"] for x in graph.import_summary(out).collect()}
     assert counts[None] == 7 and counts["imported"] == 2
+
+
+def test_names_meet_only_those_they_contain(spark):
+    # All names of the place start alike: what meets stays in proportion to what is contained.
+    members = [(f"s{n}", "here", f"member {n:09d}") for n in range(300)]
+    left = spark.createDataFrame(members, "sig_a string, place string, outer string")
+    right = spark.createDataFrame(members, "sig_b string, place string, name string")
+    assert identity.name_meets(left, right).count() == 300
+    rng, long = random.Random(5), "a long name of more than thirty-two characters"
+    outer = [("".join(rng.choice("ab ") for _ in range(rng.randint(1, 8))), rng.choice("xy")) for _ in range(60)] + [(f"the {long} x", "x")]
+    inner = [("".join(rng.choice("ab ") for _ in range(rng.randint(1, 4))), rng.choice("xy")) for _ in range(60)] + [(long, "x"), (long + "y", "x")]
+    a = spark.createDataFrame([(str(i), p, n) for i, (n, p) in enumerate(outer)], "sig_a string, place string, outer string")
+    b = spark.createDataFrame([(str(i), p, n) for i, (n, p) in enumerate(inner)], "sig_b string, place string, name string")
+    got = identity.name_meets(a, b).filter("contains(outer, name)").select("sig_a", "sig_b").collect()
+    want = {(str(i), str(k)) for i, (x, p) in enumerate(outer) for k, (y, q) in enumerate(inner) if p == q and y in x}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
