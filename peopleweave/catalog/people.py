@@ -202,9 +202,10 @@ SELECT query_id, rank, person_id, name, CASE WHEN score >= 0.55 THEN 'strong' EL
 LEFT JOIN (SELECT person_id, list(title ORDER BY rk) AS pv FROM (SELECT person_id, title, row_number() OVER (PARTITION BY person_id ORDER BY created_at DESC, evidence_id) AS rk FROM evidence) WHERE rk <= 3 GROUP BY 1) USING (person_id)
 WHERE rank <= 10 AND persons.status <> 'hidden'""", HITS))
 def exp5(t: Tables):
+    # The operator takes scores above 1 for percents; a value above 500 is a ratio above 1, which counts as 1.
     from ..operators.common import top_k
     ranked = top_k(attempt_hits(t).withColumn("e", F.col("person_id")), ["query_id"], [F.desc("score"), "e"], 10).select(
-        "query_id", "rank", F.col("k").alias("person_id"), F.col("score").alias("final_score"), F.array(F.lit("skill evidence: x")).alias("match_reasons"))
+        "query_id", "rank", F.col("k").alias("person_id"), F.least(F.col("score"), F.lit(1.0)).alias("final_score"), F.array(F.lit("skill evidence: x")).alias("match_reasons"))
     cards = explain.result_cards(ranked, t.persons(), t.evidence())
     return cards.select("query_id", "rank", "person_id", "name", "strength", F.coalesce(F.transform("preview", lambda x: x["title"]), F.array().cast("array<string>")).alias("preview"))
 
