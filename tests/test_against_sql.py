@@ -25,3 +25,9 @@ def test_a_score_above_one_is_no_percent_in_cards(spark):
     t = Few(spark, viewer_events=events(spark, [(1, 1, 1, "contacted", ["x"], 600.0), (2, 1, 2, "contacted", ["x"], 300.0), (3, 1, 3, "contacted", ["x"], 200.0)]),
             customer=spark.createDataFrame([(n, f"Customer#00000000{n}", 1, 100.0, "BUILDING") for n in (1, 2, 3)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"))
     assert {r["person_id"]: r["strength"] for r in catalog.QUERIES["exp5_result_cards"](t).collect()} == {1: "strong", 2: "strong", 3: "medium"}
+
+
+def test_invented_words_hold_no_title(spark):
+    rows = [(1, 1, "Thorthea with this ofounder of onhable orha and more of it."), (1, 2, "ofounder"), (1, 3, None)]
+    t = Few(spark, conversations=spark.createDataFrame(rows, "conv_id long, turn long, text string"))
+    assert {r["turn"]: r["noise"] for r in catalog.QUERIES["flt11_noise_segments"](t).collect()} == {1: True, 2: False, 3: None}
