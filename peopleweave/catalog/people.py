@@ -331,7 +331,7 @@ def cmp4_action(t: Tables):
 SELECT query_id, person_id, CASE WHEN gap >= 8 AND length(tags) >= 2 AND k % 2 = 0 THEN '高信心' WHEN length(tags) >= 1 AND (gap >= 4 OR length(tags) >= 2 OR k % 2 = 0) THEN '中信心' ELSE '低信心' END AS confidence FROM (
   SELECT query_id, person_id, k, sources AS tags, rank, score * 100 - lead(score * 100) OVER (PARTITION BY query_id ORDER BY rank) AS gap FROM rh) WHERE rank = 1""", RANKED_HITS))
 def cmp5(t: Tables):
-    r = attempt_hits(t).select("query_id", "person_id", F.col("score").alias("match_score"), F.size("sources").alias("n_evidence"), F.size("sources").alias("n_sources"),
+    r = attempt_hits(t).select("query_id", "person_id", F.col("score").alias("match_score"), (F.col("score") * 100).alias("pct"), F.size("sources").alias("n_evidence"), F.size("sources").alias("n_sources"),
                                F.when(F.col("k") % 2 == 0, "3天前").otherwise("2个月前").alias("freshness"))
     return compare.export_confidences(r).select("query_id", "person_id", "confidence")
 

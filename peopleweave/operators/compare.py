@@ -99,10 +99,11 @@ def clarify_actions(conditions: DataFrame) -> DataFrame:
 def export_confidences(records: DataFrame) -> DataFrame:
     """Confidence of the best exported record of each set against its runner-up.
 
-    records: (query_id, person_id, match_score, n_evidence, n_sources, freshness)
+    records: (query_id, person_id, match_score, n_evidence, n_sources, freshness); scores above 1 are percents, unless ``pct`` gives the percents.
     """
     from ..sources.sinks import export_confidence, outcome_of
     pct = F.when(F.col("match_score") <= 1, F.col("match_score") * 100).otherwise(F.col("match_score"))
+    pct = F.col("pct") if "pct" in records.columns else pct
     head = top_k(records.withColumn("pct", pct), ["query_id"], [F.desc("match_score"), "person_id"], 2)
     w = Window.partitionBy("query_id").orderBy("rank")
     lead = head.withColumn("gap", F.col("pct") - F.lead("pct").over(w)).filter("rank = 1")

@@ -31,3 +31,9 @@ def test_invented_words_hold_no_title(spark):
     rows = [(1, 1, "Thorthea with this ofounder of onhable orha and more of it."), (1, 2, "ofounder"), (1, 3, None)]
     t = Few(spark, conversations=spark.createDataFrame(rows, "conv_id long, turn long, text string"))
     assert {r["turn"]: r["noise"] for r in catalog.QUERIES["flt11_noise_segments"](t).collect()} == {1: True, 2: False, 3: None}
+
+
+def test_gap_of_scores_on_both_sides_of_one(spark):
+    rows = [(1, 1, 2, "contacted", ["x", "y"], 600.0), (2, 1, 2, "contacted", ["x"], 450.0), (3, 2, 2, "contacted", ["x", "y"], 4.0), (4, 2, 2, "contacted", ["x"], 1.0)]
+    got = catalog.QUERIES["cmp5_export_confidence"](Few(spark, viewer_events=events(spark, rows))).collect()
+    assert {r["person_id"]: r["confidence"] for r in got} == {1: "高信心", 3: "中信心"}
