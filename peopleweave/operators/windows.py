@@ -106,11 +106,11 @@ def rerank_order(scored: DataFrame, mode: str, n: int | None = None) -> DataFram
     """fresh / source / evidence order: composite to three decimals, then the signals in mode order.
 
     The pairwise 0.001 tolerance of the interactive sort is not transitive; rounding to 0.001 gives
-    the same order wherever that one is well defined.
+    the same order wherever that one is well defined. The product is rounded, as ``round`` itself would round the value's decimal text.
     """
     order = {"fresh": ["fresh", "evidence", "source", "match"], "source": ["source", "fresh", "evidence", "match"],
              "evidence": ["evidence", "fresh", "source", "match"]}[mode]
-    return _ranked(scored, [F.desc(F.round("composite", 3)), *[F.desc(c) for c in order], "person_id"], n)
+    return _ranked(scored, [F.desc(F.round(F.col("composite") * 1000, 0) / 1000), *[F.desc(c) for c in order], "person_id"], n)
 
 
 def dimension_order(scored: DataFrame, dimension: str, n: int | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries on small tables with values that once made them differ from their SQL."""
 from peopleweave import catalog
 from peopleweave.bindings import Tables
+from peopleweave.operators import windows
 
 
 class Few(Tables):
@@ -37,3 +38,10 @@ def test_gap_of_scores_on_both_sides_of_one(spark):
     rows = [(1, 1, 2, "contacted", ["x", "y"], 600.0), (2, 1, 2, "contacted", ["x"], 450.0), (3, 2, 2, "contacted", ["x", "y"], 4.0), (4, 2, 2, "contacted", ["x"], 1.0)]
     got = catalog.QUERIES["cmp5_export_confidence"](Few(spark, viewer_events=events(spark, rows))).collect()
     assert {r["person_id"]: r["confidence"] for r in got} == {1: "高信心", 3: "中信心"}
+
+
+def test_composites_are_rounded_as_numbers(spark):
+    # 0.5005 * 1000 is 500.49999999999994, so both composites are 0.5 and freshness decides.
+    rows = [("q", 1, 0.5005, 0, 0, 0, 0.0), ("q", 2, 0.5004, 5, 0, 0, 0.0)]
+    df = spark.createDataFrame(rows, "query_id string, person_id long, composite double, fresh int, source int, evidence int, match double")
+    assert [r["person_id"] for r in windows.rerank_order(df, "fresh").orderBy("rank").collect()] == [2, 1]
