@@ -113,37 +113,46 @@ def new_evidence(stream: DataFrame, keys=("person_id", "source", "evidence_hash"
 
 # --- expiry --------------------------------------------------------------------------------------
 CACHE_OUT = "cache_key string, payload string, expires_at timestamp, event string"
-CACHE_STATE = "payload string, expires_ms long"
+CACHE_STATE = "cache_keys array<string>, payloads array<string>, expires_ms array<bigint>"
 
 
-def expiring_cache(entries: DataFrame, ttl_seconds: int, delay: str = "0 seconds") -> DataFrame:
+def expiring_cache(entries: DataFrame, ttl_seconds: int, delay: str = "0 seconds", buckets: int = 4096) -> DataFrame:
     """entries (cache_key, payload, ts) -> 'stored' rows, and an 'expired' row when a key's time runs out.
 
-    One small state per key, removed on expiry; a newer entry of a key restarts its clock.
+    Keys lie in buckets by hash, and a bucket's keys are handled together, as a call for each key costs far more than its few rows. A bucket's state
+    holds its live keys, which leave it on expiry; its timer waits for the earliest of them. A newer entry of a key restarts its clock.
     """
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            payload, expires = state.get
+    columns = ["cache_key", "payload", "expires_ms"]
+
+    def rows(found: pd.DataFrame, event: str) -> pd.DataFrame:
+        return pd.DataFrame({"cache_key": found["cache_key"], "payload": found["payload"], "expires_at": pd.to_datetime(found["expires_ms"], unit="ms"), "event": event})
+
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        live = pd.DataFrame(dict(zip(columns, state.get)) if state.exists else {c: [] for c in columns}, dtype=object)
+        if not state.hasTimedOut:
+            def newest(some):
+                return some.sort_values(["cache_key", "ts", "payload"]).drop_duplicates("cache_key", keep="last")
+
+            fresh = newest(pd.concat([newest(frame) for frame in frames]))
+            fresh["expires_ms"] = fresh["ts"].astype("datetime64[ms]").astype("int64") + ttl_seconds * 1000
+            # Of equal times the one already stored stays.
+            both = pd.concat([live.assign(old=1), fresh[columns].assign(old=0)]).sort_values(["cache_key", "expires_ms", "old"])
+            live = both.drop_duplicates("cache_key", keep="last")
+            yield rows(live[live["old"] == 0], "stored")
+        watermark = state.getCurrentWatermarkMs()
+        over = live["expires_ms"].astype("int64") < watermark
+        if over.any():
+            yield rows(live[over], "expired")
+        live = live[~over]
+        if live.empty:
             state.remove()
-            yield pd.DataFrame([(key[0], payload, pd.Timestamp(expires, unit="ms"), "expired")],
-                               columns=["cache_key", "payload", "expires_at", "event"])
             return
-        latest = None
-        for frame in frames:
-            top = frame.sort_values(["ts", "payload"]).iloc[-1]
-            if latest is None or (top["ts"], top["payload"]) > (latest["ts"], latest["payload"]):
-                latest = top
-        expires = int(latest["ts"].timestamp() * 1000) + ttl_seconds * 1000
-        if state.exists and state.get[1] >= expires:
-            return
-        state.update((latest["payload"], expires))
-        if expires > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(expires)
-        yield pd.DataFrame([(key[0], latest["payload"], pd.Timestamp(expires, unit="ms"), "stored")],
-                           columns=["cache_key", "payload", "expires_at", "event"])
-
-    return entries.withWatermark("ts", delay).groupBy("cache_key").applyInPandasWithState(
-        step, CACHE_OUT, CACHE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        times = live["expires_ms"].astype("int64")
+        state.update((live["cache_key"].tolist(), [None if pd.isna(p) else p for p in live["payload"]], times.tolist()))
+        state.setTimeoutTimestamp(max(int(times.min()), watermark + 1))
+
+    dealt = entries.withWatermark("ts", delay).withColumn("bucket", F.pmod(F.xxhash64("cache_key"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandasWithState(step, CACHE_OUT, CACHE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def live_entries(entries: DataFrame, now, ttl_seconds: int) -> DataFrame:

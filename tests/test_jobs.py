@@ -199,3 +199,20 @@ def test_ingest_job_hides_opted_out_people(spark, tables):
     old = spark.createDataFrame([], "person_id string, source string, evidence_hash string, evidence_id string, created_at timestamp")
     items, errors = ingest.collect_evidence(people, links, stored, old, tables.opt_outs(), NOW)
     assert items.count() > 0 and errors.isEmpty()
+
+
+def test_expiring_cache_over_batches_and_buckets(spark, tmp_path):
+    hour = 3600
+    batches = [[("a", "p", 0), ("a", "q", 0), ("b", "p", 0)] + [(f"k{n}", None, n) for n in range(200)], [("a", "r", 10 * hour), ("b", "z", -5)], [("c", "p", 30 * hour)], [("d", "s", 31 * hour)]]
+    base = 1704067200
+    for i, batch in enumerate(batches):
+        df = spark.createDataFrame(batch, "cache_key string, payload string, s long").coalesce(1)
+        df.select("cache_key", "payload", F.timestamp_seconds(F.col("s") + base).alias("ts")).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    want = {("a", "q", 24, "stored"), ("b", "p", 24, "stored"), ("a", "r", 34, "stored"), ("c", "p", 54, "stored"), ("b", "p", 24, "expired"), ("d", "s", 55, "stored")}
+    for buckets in (1, 7):
+        out = jobs.run_available(jobs.expiring_cache(jobs.table_stream(spark, str(tmp_path / "in"), schema, 1), 24 * hour, buckets=buckets))
+        rows = out.select("cache_key", "payload", F.expr(f"unix_micros(expires_at) / 1000000 - {base}").alias("s"), "event").collect()
+        assert {(r[0], r[1], r[2] / hour, r[3]) for r in rows if r[0] in "abcd"} == want
+        others = [(r[0], r[2] - 24 * hour, r[3]) for r in rows if r[0].startswith("k")]
+        assert sorted(others) == sorted((f"k{n}", float(n), event) for n in range(200) for event in ("stored", "expired"))
