@@ -45,3 +45,8 @@ def test_composites_are_rounded_as_numbers(spark):
     rows = [("q", 1, 0.5005, 0, 0, 0, 0.0), ("q", 2, 0.5004, 5, 0, 0, 0.0)]
     df = spark.createDataFrame(rows, "query_id string, person_id long, composite double, fresh int, source int, evidence int, match double")
     assert [r["person_id"] for r in windows.rerank_order(df, "fresh").orderBy("rank").collect()] == [2, 1]
+
+
+def test_aliases_are_worked_out_once(spark):
+    plan = catalog.QUERIES["nrm5_alias_extraction"](Few(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
