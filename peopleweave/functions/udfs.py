@@ -36,9 +36,11 @@ def hashed_embedder(dimension: int = 64) -> Callable[[list[str]], np.ndarray]:
         out = np.zeros((len(texts), dimension), dtype=np.float32)
         for i, text in enumerate(texts):
             padded = f"  {text.lower()} "
-            for j in range(len(padded) - 2):
-                at, sign = cell(padded[j:j + 3])
-                out[i, at] += sign
+            codes = np.frombuffer(padded.encode("utf-32-le"), np.uint32).astype(np.int64)
+            # Each distinct trigram is hashed once, at its first place, and counted.
+            _, first, counts = np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], return_index=True, return_counts=True)
+            at, sign = zip(*[cell(padded[j:j + 3]) for j in first.tolist()])
+            out[i] = np.bincount(at, counts * np.array(sign), dimension)
             norm = np.linalg.norm(out[i])
             if norm:
                 out[i] /= norm
@@ -57,7 +59,7 @@ def embed_documents(docs: DataFrame, make_embedder: Callable[[], Callable] = has
             vectors = []
             for start in range(0, len(texts), batch):
                 part = [t or "" for t in texts.iloc[start:start + batch]]
-                vectors += [None if v is None else [float(x) for x in v] for v in model_fn(part)]
+                vectors += [None if v is None else np.asarray(v, dtype=np.float32) for v in model_fn(part)]
             yield pd.Series(vectors, index=texts.index)
 
     out = docs.select("person_id", F.col("updated_at").alias("embedded_at"), embed("doc_text").alias("embedding"))

@@ -169,3 +169,22 @@ def test_embedder_and_scorer(spark):
     pairs = spark.createDataFrame([(1, 1, "a b", "b c"), (1, 2, "", "x")], "query_id int, person_id int, intent_text string, candidate_text string")
     got = udfs.score_pairs(pairs).collect()
     assert [(r["person_id"], r["pair_score"]) for r in got] == [(1, 0.5)]  # no words: left out, not zero
+
+
+def test_hashed_embedder_hashes_each_trigram_of_a_text_once(monkeypatch):
+    import hashlib
+    from peopleweave.functions import udfs
+
+    monkeypatch.setattr(udfs, "lru_cache", lambda size: lambda f: f)
+    calls = []
+    plain = hashlib.blake2b
+    monkeypatch.setattr(udfs.hashlib, "blake2b", lambda data, digest_size: calls.append(data) or plain(data, digest_size=digest_size))
+    text = "ab日😀" * 50
+    got = udfs.hashed_embedder(16)([text, ""])
+    assert len(calls) == len({f"  {text} "[i:i + 3] for i in range(len(text) + 1)}) + 1
+    want = [0.0] * 16
+    for i in range(len(text) + 1):
+        h = int.from_bytes(plain(f"  {text} "[i:i + 3].encode(), digest_size=8).digest(), "little")
+        want[h % 16] += 1.0 if h >> 63 else -1.0
+    length = sum(x * x for x in want) ** 0.5
+    assert max(abs(a - b / length) for a, b in zip(got[0].tolist(), want)) < 1e-6
