@@ -9,10 +9,8 @@ person, so a gram that everybody has costs one row per block and query instead o
 """
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +20,13 @@ from pyspark.sql import functions as F
 from ..functions.arrays import or_empty, single
 from ..functions.text import normalize_index_text
 from ..session import stored
-from .scan import gram_code, gram_lists
+from .scan import gram_lists
 
 BLOCK_ROWS, BLOCK_BYTES, LEAST_ROWS = 2_048, 16 << 20, 256
 NO_STRINGS = "array<string>"
-_GAPS = re.compile(r"[\W_]+")
+PIECE_CHARS, PIECE_ROWS = 1 << 20, 1_024
+_SPACE = 32
+_kinds = np.zeros(0x110000, np.uint8)  # per code point: 0 not seen yet, 1 gap, 2 letter or digit
 
 
 @dataclass(frozen=True)
@@ -39,37 +39,64 @@ class SearchIndex:
     count: int
 
 
-@lru_cache(maxsize=1 << 17)
-def _word_grams(word: str) -> np.ndarray:
-    padded = f"  {word} "
-    return np.array([gram_code(padded[i:i + 3]) for i in range(len(padded) - 2)], np.int64)
+def _codes(text: str) -> np.ndarray:
+    """Code points of a text, gaps between words as spaces."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for point in np.unique(points[_kinds[points] == 0]).tolist():
+        _kinds[point] = 2 if chr(point).isalnum() else 1
+    return np.where(_kinds[points] == 2, points, _SPACE).astype(np.int64)
+
+
+def _piece_grams(texts: list[str]) -> list[np.ndarray]:
+    at = _codes("".join(f"{t}\n" for t in texts))
+    before = np.concatenate([[_SPACE], at[:-1]])
+    # A word begins after two spaces, however short the word before it is.
+    first = np.where(before == _SPACE, _SPACE, np.concatenate([[_SPACE, _SPACE], at[:-2]])[:len(at)])
+    grams, real = first << 42 | before << 21 | at, (at != _SPACE) | (before != _SPACE)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return [np.unique(grams[a:b][real[a:b]]) for a, b in zip([0, *ends[:-1]], ends)]
+
+
+def texts_grams(norms: list[str | None]) -> Iterator[np.ndarray]:
+    """Codes of the distinct padded trigrams of each normalised text, sorted; a piece of the texts is worked on at a time."""
+    piece, size = [], 0
+    for norm in norms:
+        piece.append(norm or "")
+        size += len(piece[-1])
+        if size >= PIECE_CHARS:
+            yield from _piece_grams(piece)
+            piece, size = [], 0
+    if piece:
+        yield from _piece_grams(piece)
 
 
 def text_grams(norm: str) -> np.ndarray:
-    """Codes of the distinct padded trigrams of a normalised text, sorted."""
-    words = set()
-    for word in set(norm.split(" ")):
-        if word.isalnum():
-            words.add(word)
-        else:
-            words.update(w for w in _GAPS.split(word) if w)
-    return np.unique(np.concatenate([_word_grams(w) for w in words])) if words else np.zeros(0, np.int64)
+    """``texts_grams`` of one text."""
+    return next(texts_grams([norm]))
 
 
-def _with_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        grams = [text_grams(t).tobytes() for t in batch.column(batch.schema.get_field_index("norm")).to_pylist()]
+        for start in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(start, PIECE_ROWS)
+
+
+def _with_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _pieces(batches):
+        grams = [g.tobytes() for g in texts_grams(batch.column(batch.schema.get_field_index("norm")).to_pylist())]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(grams, pa.binary())], names=[*batch.schema.names, "grams"])
 
 
 def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (block, key) of each batch."""
-    for batch in batches:
+    """Distinct (block, key) of each piece of a batch."""
+    for batch in _pieces(batches):
         blocks, grams = np.asarray(batch.column(0)), gram_lists(batch.column(1))
-        of = np.repeat(blocks, np.asarray(grams.value_lengths()))
-        for block in np.unique(blocks):
-            keys = np.unique(np.asarray(grams.flatten())[of == block])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block, np.int32)), pa.array(keys)], names=["block", "key"])
+        codes, offsets = np.asarray(grams.flatten()), np.asarray(grams.offsets)
+        order = np.argsort(blocks, kind="stable")
+        numbers, starts = np.unique(blocks[order], return_index=True)
+        keys = [np.unique(np.concatenate([codes[offsets[i]:offsets[i + 1]] for i in rows])) for rows in np.split(order, starts[1:])]
+        of = np.repeat(numbers, [len(k) for k in keys])
+        yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(np.concatenate(keys), pa.int64())], names=["block", "key"])
 
 
 def filter_columns(docs: DataFrame, text: bool = True) -> DataFrame:
@@ -110,7 +137,9 @@ def build_index(docs: DataFrame, block_rows: int = BLOCK_ROWS, block_bytes: int
     shaped = filter_columns(ranged).select("person_id", "block", "sources", "place_text", "norm",
                                            "roles", "tags", F.array_compact(F.array(name)).alias("names"), F.coalesce(head, F.array().cast(NO_STRINGS)).alias("heads"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shaped.schema.fields)
-    table = stored(shaped.mapInArrow(_with_grams, schema + ", grams binary"), "search-index")
+    # Rows of a block lie together, so that its postings are distinct but for a few pieces before they are shuffled.
+    placed = shaped.repartition(max(min(n, 2 * spark.sparkContext.defaultParallelism), n // 4, 1), "block")
+    table = stored(placed.mapInArrow(_with_grams, schema + ", grams binary"), "search-index")
     grams = stored(table.select("block", "grams").mapInArrow(_block_grams, "block int, key long").distinct(), "gram-postings")
     keys = F.concat(*[_marked(k, F.col(c)) for k, c in (("r", "roles"), ("t", "tags"), ("s", "sources"), ("n", "names"), ("h", "heads"))])
     terms = stored(table.select("block", F.explode(keys).alias("key")).distinct(), "term-postings")

@@ -154,7 +154,8 @@ def vector_hits(prepared: DataFrame, vectors: DataFrame, docs: DataFrame, embedd
     q = prepared.join(vectors.select("query_id", F.col("embedding")).filter(F.size("embedding") > 0), "query_id")
     q = stored(q.withColumn("dim", F.size("embedding")), "query-vectors")
     tested = not q.filter((F.size("must_words") > 0) | (F.size("must_phrases") > 0)).isEmpty()  # texts are read only for must-have terms
-    rows = filter_columns(docs, tested).select("person_id", "sources", "place_text", "norm").join(embeddings.select("person_id", "embedding"), "person_id")
+    # Texts are normalised after the join, only where there is a vector.
+    rows = filter_columns(docs.join(embeddings.select("person_id", "embedding"), "person_id"), tested).select("person_id", "sources", "place_text", "norm", "embedding")
     index = build_vectors(rows)
     queries = tiled(q)
     extra = {"sim": "double"}

@@ -15,10 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .common import top_k
 
 TILE_QUERIES = 1024
-CELLS = 4_000_000  # float64 cells of one (rows x queries) block
+CELLS, TERM_CELLS = 1_000_000, 4_000_000  # cells of one (rows x queries) and one (rows x terms) block
 _INNER = re.compile(r"(?=([^\W_]{3}))")
 
 
@@ -101,6 +102,18 @@ def is_word(term: str) -> bool:
     return 0 < len(term) <= 8 and term.isascii() and term.isalnum() and term == term.lower()
 
 
+_WORD_BYTES = np.array([b if chr(b).isalnum() or b == 95 else 32 for b in range(128)] + [32] * 128, np.uint8)
+
+
+def ascii_words(texts: pa.StringArray) -> pa.ListArray:
+    """Runs of ASCII letters, digits and underscores of each text, with empty strings where other characters stand at its ends."""
+    texts = texts.cast(pa.string())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int32)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    plain = _WORD_BYTES[np.frombuffer(data or b"", np.uint8)[ends[0]:ends[-1]]]
+    return pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(plain)))
+
+
 class Rows:
     """The columns of a batch by name, with grams unpacked and the words of ``norm`` split when first asked for."""
 
@@ -120,7 +133,7 @@ class Rows:
     @property
     def words(self) -> pa.ListArray:
         if self._words is None:
-            self._words = pc.split_pattern_regex(self["norm"], "[^A-Za-z0-9_]+")
+            self._words = ascii_words(self["norm"])
         return self._words
 
     def __len__(self) -> int:
@@ -197,7 +210,7 @@ def meet_top_k(rows: DataFrame, queries: DataFrame, pairs: DataFrame, make_score
             return arrow.empty_table()
         asked = right.to_pylist()
         width, score_block = make_scorer(asked)
-        step = max(16, min(CELLS // len(asked), 16_000_000 // width))
+        step = max(16, min(CELLS // len(asked), TERM_CELLS // width))
         best = Best(len(asked), k)
         for batch in left.combine_chunks().to_batches(max_chunksize=step):
             part = Rows(batch)
@@ -209,7 +222,8 @@ def meet_top_k(rows: DataFrame, queries: DataFrame, pairs: DataFrame, make_score
         return pa.table([pa.array([cast.get(t, lambda v: v)(v) for v in c], f.type) for c, f, t in zip(columns, arrow, kinds.values())], schema=arrow)
 
     wanted = queries.join(pairs, "query_id")
-    groups = wanted.select(F.col("block").alias("block"), F.col("tile").alias("tile")).distinct()
+    # Stored, because then its size is known to be small before the rows would be shuffled for the join.
+    groups = stored(wanted.select(F.col("block").alias("block"), F.col("tile").alias("tile")).distinct(), "groups")
     left = rows.join(groups, "block")
     met = left.groupBy("block", "tile").cogroup(wanted.groupBy("block", "tile")).applyInArrow(meet, ", ".join(f"{n} {t}" for n, t in kinds.items()))
     return top_k(met, ["query_id"], [F.desc("rank_score"), "person_id"], k)

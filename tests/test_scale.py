@@ -269,3 +269,23 @@ def test_nested_strings_of_json(spark):
     rows = [(i, js.dumps(v, ensure_ascii=bool(i % 2)), walk(v)) for i, v in enumerate(values)] + [(10, None, []), (11, "{bad", []), (12, js.dumps({"long": "x\\y" * 20_000}), ["x\\y" * 20_000])]
     df = spark.createDataFrame([(i, t) for i, t, _ in rows], "id long, t string")
     assert {r["id"]: r["s"] for r in df.select("id", json.nested_strings("t").alias("s")).collect()} == {i: w for i, _, w in rows}
+
+
+def test_grams_are_made_piece_by_piece_whatever_the_blocks():
+    import pyarrow as pa
+    texts = [f"word{i % 7} ä_{i % 3} x" for i in range(3_000)]
+    made = list(postings._with_grams([pa.record_batch({"block": pa.array([i % 300 for i in range(3_000)], pa.int32()), "norm": pa.array(texts)})]))
+    assert max(b.num_rows for b in made) <= postings.PIECE_ROWS and pa.Table.from_batches(made)["norm"].to_pylist() == texts
+    whole = pa.Table.from_batches(made).select(["block", "grams"]).combine_chunks().to_batches()
+    posted = list(postings._block_grams(whole))
+    assert len(posted) <= 3  # not one per block
+    got = {(x["block"], x["key"]) for b in posted for x in b.to_pylist()}
+    assert got == {(i % 300, int(k)) for i, t in enumerate(texts) for k in postings.text_grams(t)}
+
+
+def test_words_of_a_slice_of_texts():
+    import pyarrow as pa
+    texts = pa.array(["rag go", None, "", "浙大 c3po x_y", "naïve-ish"])
+    words = lambda t: [[w for w in found if w] for found in scan.ascii_words(t).to_pylist()]
+    assert words(texts) == [["rag", "go"], [], [], ["c3po", "x_y"], ["na", "ve", "ish"]]
+    assert words(texts.slice(3)) == [["c3po", "x_y"], ["na", "ve", "ish"]] and words(texts.slice(0, 0)) == []
