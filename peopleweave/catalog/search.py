@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from ..bindings import Tables, with_sql
 from ..functions import udfs
 from ..operators import intent, rank, retrieve
+from ..session import cut_lineage
 from .normalisation import COND_SQL, NORM_SQL, TRI, conditions
 from .registry import query
 
@@ -346,10 +347,11 @@ def rnk3(t: Tables):
 @query("rnk4_pair_scoring")
 def rnk4(t: Tables):
     intents, docs = t.queries(), t.search_docs()
-    scored = rank.score_hits(hybrid(t).drop("rank"), intents, docs, t.evidence())
+    hits = cut_lineage(hybrid(t).drop("rank"))
+    scored = rank.score_hits(hits, intents, docs, t.evidence())
     texts = rank.candidate_texts(docs, docs.select("person_id", "facet_role", "facet_tags"), t.evidence())
     pairs = rank.pair_candidates(scored, intents, texts)
-    final = rank.rerank(hybrid(t).drop("rank"), intents, docs, t.evidence(), pair_scores=udfs.score_pairs(pairs))
+    final = rank.rerank(hits, intents, docs, t.evidence(), pair_scores=udfs.score_pairs(pairs))
     return final.select("query_id", "person_id", "rank", F.round("final_score", 6).alias("final_score"), "pair_score")
 
 

@@ -289,3 +289,11 @@ def test_words_of_a_slice_of_texts():
     words = lambda t: [[w for w in found if w] for found in scan.ascii_words(t).to_pylist()]
     assert words(texts) == [["rag", "go"], [], [], ["c3po", "x_y"], ["na", "ve", "ish"]]
     assert words(texts.slice(3)) == [["c3po", "x_y"], ["na", "ve", "ish"]] and words(texts.slice(0, 0)) == []
+
+
+def test_pair_scoring_retrieves_once(spark, tables, monkeypatch):
+    from peopleweave.catalog import QUERIES, search
+    calls = []
+    hits = spark.createDataFrame([(1, 1, 0.5, 0.5, 0.5, 1)], "query_id long, person_id long, keyword_score double, vector_score double, combined_score double, rank int")
+    monkeypatch.setattr(search, "hybrid", lambda t: calls.append(1) or hits)
+    assert QUERIES["rnk4_pair_scoring"](tables).columns == ["query_id", "person_id", "rank", "final_score", "pair_score"] and len(calls) == 1
