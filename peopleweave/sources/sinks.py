@@ -17,6 +17,9 @@ from ..operators.common import best_row, insert_if_absent, latest_wins
 from ..session import stored
 
 
+SALTS = 64  # parts that the rows of one partition are dealt into when they are appended
+
+
 @dataclass(frozen=True)
 class KeyedTable:
     """A folder of plain Parquet, partitioned by a hash of the key columns; a row with a key lies in one known partition.
@@ -48,15 +51,30 @@ class KeyedTable:
         self.spark.createDataFrame([], StructType([*self.schema.fields, StructField("_part", IntegerType())])).write.mode("append").partitionBy("_part").parquet(self.path)
         self._write(self._placed(df))
 
+    def _touched(self, batch: DataFrame) -> tuple[DataFrame, list[int]]:
+        batch = stored(self._placed(batch), "batch")
+        return batch.drop("_part"), sorted(r[0] for r in batch.select("_part").distinct().collect())
+
     def merge(self, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
         """Replace the touched partitions by ``merge(their rows, batch)`` and return their numbers, at most ``partitions`` of them.
 
         ``merge`` may change or add rows of keys of the batch only.
         """
-        batch = stored(self._placed(batch), "batch")
-        touched = sorted(r[0] for r in batch.select("_part").distinct().collect())
+        batch, touched = self._touched(batch)
+        if touched:
+            self._write(self._placed(merge(self.read(touched), batch)))
+        return touched
+
+    def add(self, batch: DataFrame, absent: Callable[[DataFrame, DataFrame, list[str]], DataFrame]) -> list[int]:
+        """Append ``absent(rows of the touched partitions, batch, columns to place rows by)``; stored files stay as they are.
+
+        For merges that change no stored row; a repeated batch adds nothing. Rows of a partition are dealt to several tasks, each of which adds a file.
+        """
+        batch, touched = self._touched(batch)
         if touched:
-            self._write(self._placed(merge(self.read(touched), batch.drop("_part"))))
+            place = lambda df: self._placed(df).withColumn("_salt", F.pmod(F.xxhash64(F.lit(1), *self.keys), F.lit(SALTS)).cast("int"))
+            fresh = absent(place(self.read(touched)), place(batch), ["_part", "_salt"])
+            fresh.select(*self.schema.names, "_part").write.mode("append").partitionBy("_part").parquet(self.path)
         return touched
 
 
@@ -112,7 +130,7 @@ def merge_by_person(table: KeyedTable, incoming: DataFrame, stamp: str) -> list[
 
 def merge_absent(table: KeyedTable, incoming: DataFrame, absent: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
     """Add the rows of a batch whose key is not stored; ``absent`` is ``append_new_evidence`` or ``append_new_aliases``."""
-    return table.merge(incoming, lambda old, new: old.unionByName(absent(old, new).select(*old.columns)))
+    return table.add(incoming, absent)
 
 
 def merge_identities(table: KeyedTable, incoming: DataFrame) -> list[int]:
@@ -124,13 +142,13 @@ def upsert_by_person(existing: DataFrame, incoming: DataFrame, stamp: str) -> Da
     return latest_wins(existing, incoming, ["person_id"], stamp)
 
 
-def append_new_evidence(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def append_new_evidence(existing: DataFrame, incoming: DataFrame, place=()) -> DataFrame:
     return insert_if_absent(existing, incoming, ["person_id", "source", "evidence_hash"],
-                            F.struct("created_at", "evidence_id"))
+                            F.struct("created_at", "evidence_id"), place)
 
 
-def append_new_aliases(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    return insert_if_absent(existing, incoming, ["person_id", "alias_type", "alias_value"], F.col("seq"))
+def append_new_aliases(existing: DataFrame, incoming: DataFrame, place=()) -> DataFrame:
+    return insert_if_absent(existing, incoming, ["person_id", "alias_type", "alias_value"], F.col("seq"), place)
 
 
 def replace_identities(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -69,6 +69,17 @@ def test_merge_into_an_empty_table_and_absent_rows(spark, tmp_path):
     assert sorted((r["person_id"], r["seq"]) for r in table.read().filter("person_id IS NOT NULL").collect()) == [(1, 1), (2, 1)]
 
 
+def test_absent_rows_are_added_beside_stored_files(spark, tmp_path):
+    cols = "person_id long, alias_type string, alias_value string, seq long"
+    table = sinks.keyed_table(spark.createDataFrame([(i, "a", "x", 0) for i in range(50)], cols), str(tmp_path / "t"), ["person_id"], 4)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    sinks.merge_absent(table, spark.createDataFrame([(i, "a", v, s) for i in range(60) for v, s in (("x", 1), ("y", 2), ("y", 1))], cols), sinks.append_new_aliases)
+    assert all(p.exists() and p.stat().st_mtime_ns == t for p, t in before.items())
+    want = {(i, "x", 0 if i < 50 else 1) for i in range(60)} | {(i, "y", 1) for i in range(60)}
+    got = table.read().collect()
+    assert len(got) == len(want) and {(r["person_id"], r["alias_value"], r["seq"]) for r in got} == want
+
+
 def test_csv_export_quotes(spark, tmp_path):
     df = spark.createDataFrame([('a "b"', "x,y"), ("plain", None)], "c1 string, c2 string")
     assert {r["line"] for r in sinks.csv_lines(df).collect()} == {'"a ""b""","x,y"', "plain,"}
