@@ -120,7 +120,11 @@ def upsert_profiles(existing: DataFrame, incoming: DataFrame, opt_outs: DataFram
 
 
 def merge_profiles(table: KeyedTable, incoming: DataFrame, opt_outs: DataFrame, now) -> list[int]:
-    """``upsert_profiles`` on a table keyed by profile_id: the narrow key columns are read in full, whole rows only from touched partitions."""
+    """``upsert_profiles`` on a table keyed by profile_id: the narrow key columns are read in full, whole rows only from touched partitions.
+
+    ``incoming`` is worked out once and stored, since its rows are read twice: whole, and by handle.
+    """
+    incoming = stored(incoming, "incoming")
     return table.merge(identify_profiles(table.read(), incoming, opt_outs, now), _last_arrival)
 
 

@@ -99,6 +99,30 @@ def test_upsert_matches_id_before_handle(spark):
     assert got["gone"]["is_deleted"] and not got["h9b"]["is_deleted"]
 
 
+def test_landed_profiles_are_worked_out_once(spark, tmp_path):
+    cols = "profile_id string, source string, source_profile_id string, handle string, is_deleted boolean, synced_at timestamp, seen_at timestamp"
+    table = sinks.keyed_table(spark.createDataFrame([], cols), str(tmp_path / "t"), ["profile_id"], 4)
+    outs = spark.createDataFrame([("s", "h3", "processed")], "source string, handle string, status string")
+    done = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def named(i):
+        done.add(1)
+        return f"h{i}"
+
+    rows = spark.range(200).select(F.lit("s").alias("source"), F.col("id").cast("string").alias("source_profile_id"), named("id").alias("handle"), F.col("id").alias("seq"))
+    sinks.merge_profiles(table, rows, outs, NOW)
+    assert done.value == 200
+    assert {(r["source_profile_id"], r["handle"], r["is_deleted"]) for r in table.read().collect()} == {(str(i), f"h{i}", i == 3) for i in range(200)}
+
+
+def test_payloads_of_one_row_group_are_made_in_many_tasks(spark, tables):
+    for raw, rows in ((tables.raw_profiles(), tables.raw("customer")), (tables.raw_code_profiles(), tables.raw("supplier"))):
+        assert rows.rdd.getNumPartitions() == 1
+        made = raw.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+        assert len(made) > min(4, spark.sparkContext.defaultParallelism) // 2 and sum(r["count"] for r in made) == rows.count()
+
+
 def event_files(spark, tables, folder, parts=4):
     """Events in several files, delivered out of order."""
     rows = tables.all_viewer_events().select("event_id", "viewer_id", "person_id", "kind", "tags", "ts")
