@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 
 EDGE_SPACE = r"^[\s 　]+|[\s 　]+$"
+EDGES = " \t\n\x0b\f\r\u00a0\u3000"     # the characters of EDGE_SPACE
+ENDS = EDGES + "\u0085\u2028\u2029"     # and those before which its $ matches too
 NOT_WORD_BEFORE = "(^|[^A-Za-z0-9_])"
 NOT_WORD_AFTER = "($|[^A-Za-z0-9_])"
 META = r"([.*+?^${}()|\[\]\\])"
@@ -30,6 +32,12 @@ def blank_to_null(value) -> Column:
     return F.nullif(trim_ws(value), F.lit(""))
 
 
+def field_or_null(name) -> Column:
+    """``blank_to_null`` of a plain field, which costs little to read twice: the pattern runs only where an edge has something to trim."""
+    text = col(name)
+    return F.nullif(F.when(F.btrim(text, F.lit(ENDS)) == text, text).otherwise(trim_ws(text)), F.lit(""))
+
+
 def collapse(value) -> Column:
     return trim_ws(F.regexp_replace(col(value), r"\s+", " "))
 
@@ -75,7 +83,9 @@ def clamp_headline(value, limit: int = 60) -> Column:
 
 
 def headline_chain(*values) -> Column:
-    return F.coalesce(*[clamp_headline(v) for v in values])
+    """Headline of the first value whose first line is not blank. Blank lines are told without patterns, and one value is clamped."""
+    lines = [F.when(F.btrim(F.substring_index(v, "\n", 1), F.lit(EDGES)) != "", v) for v in values]
+    return clamp_headline(F.coalesce(*lines))
 
 
 def _canonical_families(text: Column) -> Column:

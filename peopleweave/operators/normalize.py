@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions.arrays import dedupe_keep_first, keep_first, or_empty, single
-from ..functions.text import (blank_to_null, code_handles, coerce_json, headline_chain, trim_ws,
+from ..functions.text import (blank_to_null, code_handles, coerce_json, field_or_null, headline_chain, trim_ws,
                               url_first_segment)
 
 RAW_PROFILE_SCHEMA = (
@@ -63,8 +63,8 @@ def profile_aliases(p: Column) -> Column:
         F.transform(social_x, lambda h: _alias(F.lit("x"), h, 0.8))))
 
 
-def join_parts(*values: Column) -> Column:
-    return F.nullif(F.concat_ws("\n\n", *[blank_to_null(v) for v in values]), F.lit(""))
+def join_parts(*fields: Column) -> Column:
+    return F.nullif(F.concat_ws("\n\n", *[field_or_null(f) for f in fields]), F.lit(""))
 
 
 def normalize_profiles(raw: DataFrame) -> DataFrame:
@@ -72,21 +72,21 @@ def normalize_profiles(raw: DataFrame) -> DataFrame:
     p = F.from_json("raw_payload", RAW_PROFILE_SCHEMA)
     df = raw.withColumn("_p", p)
     p, info = F.col("_p"), F.col("_p.basicInfo")
-    handle = F.coalesce(F.regexp_replace(blank_to_null(p["user_link"]), "^/+", ""), p["profile_link"])
+    handle = F.coalesce(F.ltrim(field_or_null(p["user_link"]), F.lit("/")), p["profile_link"])
     summary = join_parts(p["bio"], p["description"], info["current_doing"], info["role"], info["skill"])
     region = info["region"]
     # Long expressions used by several outputs become columns of their own, which Spark keeps as one projection.
-    df = df.withColumn("_summary", summary)
-    summary = F.col("_summary")
+    df = df.withColumns({"_summary": summary, "_handle": handle})
+    summary, handle = F.col("_summary"), F.col("_handle")
     location = F.nullif(F.concat_ws(" / ", *[F.nullif(region[c], F.lit("")) for c in
                                              ("countryName", "provinceName", "cityName")]), F.lit(""))
     return df.select(
-        *raw.columns, F.lit(V.PROFILE_SOURCE).alias("source"), blank_to_null(p["_id"]).alias("source_profile_id"),
+        *raw.columns, F.lit(V.PROFILE_SOURCE).alias("source"), field_or_null(p["_id"]).alias("source_profile_id"),
         handle.alias("handle"), F.concat(F.lit(V.PROFILE_URL_PREFIX), handle).alias("url"),
-        blank_to_null(p["name"]).alias("display_name"),
+        field_or_null(p["name"]).alias("display_name"),
         headline_chain(info["role"], info["current_doing"], p["bio"], summary).alias("headline"),
-        blank_to_null(p["description"]).alias("bio"), summary.alias("summary"),
-        blank_to_null(p["avatar"]).alias("avatar"), location.alias("location"), profile_aliases(p).alias("aliases"),
+        field_or_null(p["description"]).alias("bio"), summary.alias("summary"),
+        field_or_null(p["avatar"]).alias("avatar"), location.alias("location"), profile_aliases(p).alias("aliases"),
         content_hash(p["_id"], p["profile_link"], p["user_link"], p["name"], p["bio"], p["description"],
                      p["update_time"], F.to_json(p["socials"]), F.to_json(p["creations"]), F.to_json(info))
         .alias("profile_hash"))
@@ -101,10 +101,10 @@ def normalize_code_profiles(raw: DataFrame) -> DataFrame:
                                         for k, v, c in given]))
     return df.select(
         *raw.columns, F.lit(V.CODE_SOURCE).alias("source"), p["id"].cast("string").alias("source_profile_id"),
-        p["login"].alias("handle"), p["html_url"].alias("url"), blank_to_null(p["name"]).alias("display_name"),
-        blank_to_null(p["bio"]).alias("headline"), blank_to_null(p["bio"]).alias("bio"),
+        p["login"].alias("handle"), p["html_url"].alias("url"), field_or_null(p["name"]).alias("display_name"),
+        field_or_null(p["bio"]).alias("headline"), field_or_null(p["bio"]).alias("bio"),
         join_parts(p["bio"], p["company"], p["location"]).alias("summary"),
-        blank_to_null(p["avatar_url"]).alias("avatar"), blank_to_null(p["location"]).alias("location"),
+        field_or_null(p["avatar_url"]).alias("avatar"), field_or_null(p["location"]).alias("location"),
         aliases.alias("aliases"),
         content_hash(p["login"], p["name"], p["bio"], p["location"], p["company"], p["blog"], p["twitter_username"],
                      p["public_repos"].cast("string"), p["updated_at"]).alias("profile_hash"))

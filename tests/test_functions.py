@@ -44,6 +44,16 @@ def test_match_strength(spark, score, reasons, expected):
     assert one(spark, similarity.match_strength("s", "r"), s=("double", score), r=("array<string>", reasons)) == expected
 
 
+
+def test_field_and_headline_agree_with_the_patterns(spark):
+    edges = ["", " ", "\t", "\r", "\r\n", "\n", "\u00a0", "\u3000", "\u0085", "\u2028", "\u200b", "/", "a", "b  c", "x" * 61]
+    rows = [(a + b + c, c + a) for a in edges for b in edges for c in edges] + [(None, "a"), (None, None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    field, chain = text.field_or_null(F.col("a")), text.headline_chain(F.col("a"), F.col("b"))
+    apart = df.filter(~field.eqNullSafe(text.blank_to_null("a")) | ~chain.eqNullSafe(F.coalesce(text.clamp_headline("a"), text.clamp_headline("b"))))
+    assert df.count() == len(edges) ** 3 + 2 and apart.count() == 0
+
+
 def test_cosine_edges(spark):
     cos = similarity.cosine("a", "b")
     assert one(spark, cos, a=("array<float>", [1.0, 0.0]), b=("array<float>", [1.0])) == 0.0
