@@ -6,7 +6,8 @@ documents and the magic again. Files follow each other in ascending doc_id order
 
 Documents are cut at the tokenizer's added tokens, which the library looks for in the raw text before anything else, and then at ASCII white
 space, which the tokenizer drops and no token, and no normalisation, spans. Each distinct
-chunk is encoded by the library once per worker and kept in a bounded table; a comma or full stop after a plain word is encoded apart.
+chunk is encoded by the library once per worker and kept in a bounded table. A word of Latin-1 letters and the ASCII marks after it are two matches
+of the tokenizer's splitting pattern: such pieces go to its model directly, shared among chunks, for many texts in one call.
 """
 from __future__ import annotations
 
@@ -16,7 +17,9 @@ import os
 import re
 import struct
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import zstandard
@@ -24,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import shared_folder, stored, utf8, with_results
 from .sharing import reading, writing
@@ -32,6 +36,8 @@ MAGIC = b"TOKIDS01"
 END_ID = 2
 MEMO_ENTRIES = 650_000
 PIECE_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20        # text bytes whose chunks are looked up and encoded together
+WORD_AND_MARKS = re.compile("([a-zªµºß-öø-ÿ]*)([!-/:-@[-`{-~]*)").fullmatch
 PART_BYTES = 24 << 20        # text bytes that go to one file
 DICTIONARY_BYTES = 64 << 10
 # Whole documents that train the dictionary: about so many of so many bytes in all, none longer than the last. No results depend on them.
@@ -43,7 +49,7 @@ class ChunkTokenizer:
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # they are cut out before; what reads like one in lower case only is ordinary text
         added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
@@ -54,86 +60,125 @@ class ChunkTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.tails = {t: array(self.kind, self.tokenizer.encode(t.decode(), add_special_tokens=False).ids).tobytes() for t in (b"", b",", b".")}
-        self.memo: dict[bytes, bytes] = {}
+        # The same model for pieces that need no normalising and no splitting, their bytes written as the tokenizer writes them.
+        self.pieces = Tokenizer(self.tokenizer.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = iter(range(256, 512))
+        self.letters = "".join(chr(b if b in shown else next(hidden)) for b in range(256)).replace(chr(256 + 32), " ")
+        self.memo: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
 
-    def _learn(self, missing: set[bytes]) -> None:
+    def _learn(self, missing: list[bytes]) -> None:
         if len(self.memo) > MEMO_ENTRIES:
-            self.old, self.memo = self.memo, {}
-        memo, old, whole, split = self.memo, self.old, [], []
-        words: dict[bytes, None] = {}
+            self.old, self.memo = self.memo, {b"": b""}
+        memo, old, new, whole, split = self.memo, self.old, [], [], []
+        pieces: dict[bytes, None] = {}
         for chunk in missing:
             known = old.get(chunk)
-            if known is not None:
+            if known is None:
+                new.append(chunk)
+            else:
                 memo[chunk] = known
-                continue
-            word, tail = self._word(chunk)
-            if word is None:
+        texts = b" ".join(new).decode("utf-8", "replace")
+        for chunk, text in zip(new, texts.lower().split(" "), strict=True) if new else ():
+            match = WORD_AND_MARKS(text)
+            if match is None:
                 whole.append(chunk)
                 continue
-            split.append((chunk, word, tail))
-            if word not in memo:
-                if word in old:
-                    memo[word] = old[word]
-                else:
-                    words[word] = None
-        if words:
+            word, marks = (p.encode() for p in match.groups())
+            if chunk == word or chunk == marks:
+                pieces[chunk] = None
+                continue
+            split.append((chunk, word, marks))
+            for piece in (word, marks):
+                if piece not in memo:
+                    known = old.get(piece)
+                    if known is None:
+                        pieces[piece] = None
+                    else:
+                        memo[piece] = known
+        if pieces:
             # Each of these is one match of the splitting pattern, and only its last token ends a word.
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            text = b" ".join(pieces).decode("latin-1").translate(self.letters)
+            ids = np.array(self.pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}")
             ends = (np.flatnonzero(self.ends[ids]) + 1) * self.width
             packed, at = ids.tobytes(), 0
-            for word, end in zip(words, ends.tolist(), strict=True):
-                memo[word] = packed[at:end]
+            for piece, end in zip(pieces, ends.tolist(), strict=True):
+                memo[piece] = packed[at:end]
                 at = end
         for chunk, encoding in zip(whole, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in whole], add_special_tokens=False) if whole else ()):
             memo[chunk] = array(self.kind, encoding.ids).tobytes()
-        for chunk, word, tail in split:
-            memo[chunk] = memo[word] + self.tails[tail]
-
-    @staticmethod
-    def _word(chunk: bytes) -> tuple[bytes | None, bytes]:
-        """(letters in lower case, comma or full stop after them) if the chunk is nothing else and all of it is Latin-1."""
-        word, tail = (chunk[:-1], chunk[-1:]) if len(chunk) > 1 and chunk[-1] in b",." else (chunk, b"")
-        if word.isascii():
-            return (word.lower() if word.isalpha() else None), tail
-        try:
-            text = word.decode()
-            text.encode("latin-1")
-        except UnicodeError:
-            return None, tail
-        return (text.lower().encode() if text.isalpha() else None), tail
-
-    def _part(self, raw: bytes) -> bytes:
-        # Lower case first only where no combining mark can follow.
-        chunks = (raw.lower() if raw.isascii() else raw).split()
-        needed = set(chunks)
-        missing = needed.difference(self.memo)
-        if missing:
-            if len(self.memo) > MEMO_ENTRIES:
-                missing = needed
-            self._learn(missing)
-        return b"".join(map(self.memo.__getitem__, chunks))
+        for chunk, word, marks in split:
+            memo[chunk] = memo[word] + memo[marks]
+
+    def _parts(self, raws: list[bytes]) -> list[bytes]:
+        """Packed ids of texts without added tokens. Each distinct chunk is looked up once, and what is new is learnt in one call."""
+        if not raws:
+            return []
+        lists = pc.ascii_split_whitespace(pa.array([raw.lower() if _in_latin_1(raw) else raw for raw in raws], pa.large_binary()).view(pa.large_string()))
+        chunks = lists.flatten().view(pa.large_binary()).dictionary_encode()
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(chunks.dictionary)], chunks.dictionary), pa.scalar(b" ", pa.large_binary()))[0].as_py().split(b" ")
+        ids = list(map(self.memo.get, distinct))
+        holes = [i for i, known in enumerate(ids) if known is None]
+        if holes:
+            self._learn([distinct[i] for i in holes])
+            for i in holes:
+                ids[i] = self.memo[distinct[i]]
+        packed = pa.array(ids, pa.large_binary()).take(chunks.indices)
+        _, ends, data = packed.buffers()
+        at = np.frombuffer(ends, np.int64, len(packed) + 1)[lists.offsets.to_numpy()].tolist()
+        data = data.to_pybytes() if data else b""
+        return [data[begin:end] for begin, end in zip(at, at[1:])]
 
     def encode(self, raw: bytes) -> bytes:
         """Packed ids."""
-        if self.added_pattern is None or not any(t in raw for t in self.added):
+        if not self._holds_added(raw):
             return self._text(raw)
         return b"".join(self.added.get(piece) or self._text(piece) for piece in self.added_pattern.split(raw))
 
+    def encode_all(self, raws: Iterable[bytes]) -> Iterator[bytes]:
+        """Packed ids of each text in turn, about GROUP_BYTES of texts at a time."""
+        group, held = [], 0
+        for raw in raws:
+            alone = len(raw) > GROUP_BYTES or self._holds_added(raw)
+            if not alone:
+                group.append(raw)
+                held += len(raw)
+            if alone or held > GROUP_BYTES:
+                yield from self._parts(group)
+                group, held = [], 0
+            if alone:
+                yield self.encode(raw)
+        yield from self._parts(group)
+
+    def _holds_added(self, raw: bytes) -> bool:
+        return any(t in raw for t in self.added)
+
     def _text(self, raw: bytes) -> bytes:
         """Packed ids of a text without added tokens, about four megabytes at a time."""
         if len(raw) <= PIECE_BYTES:
-            return self._part(raw)
+            return self._parts([raw])[0]
         parts, at = [], 0
         while at < len(raw):
             cut = raw.find(b" ", at + PIECE_BYTES)
             cut = len(raw) if cut < 0 else cut
-            parts.append(self._part(raw[at:cut]))
+            parts += self._parts([raw[at:cut]])
             at = cut
         return b"".join(parts)
 
 
+def _in_latin_1(raw: bytes) -> bool:
+    """Whether no combining mark can follow a letter, so that ASCII letters may be put in lower case before all else."""
+    if raw.isascii():
+        return True
+    try:
+        raw.decode().encode("latin-1")
+    except UnicodeError:
+        return False
+    return True
+
+
 @lru_cache(1)
 def worker_tokenizer(tokenizer_path: str) -> ChunkTokenizer:
     """One tokenizer for all tasks of a worker process, with what it has learnt."""
@@ -145,7 +190,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text", end_
     def start():
         codec = worker_tokenizer(tokenizer_path)
         end = array(codec.kind, [end_id]).tobytes()
-        return lambda columns: [[codec.encode(t) + end for t in columns["text"]]]
+        return lambda columns: [[ids + end for ids in codec.encode_all(columns["text"])]]
 
     return with_results(docs, {"text": utf8(text_col)}, start, {"ids": "binary"}, keep)
 
@@ -226,21 +271,25 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
         first = next(batches, None)
         if first is None:
             return
+
+        def texts():
+            for batch in chain([first], batches):
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    null.append(doc_id is None)
+                    ids.append(doc_id or 0)
+                    yield text.as_py()
+
         with writing(uri) as f:
             head = MAGIC + bytes([codec.width]) + stamp
             f.write(head)
             at = len(head)
-            while first is not None:
-                for doc_id, text in zip(first.column(0).to_pylist(), first.column(1)):
-                    packed = codec.encode(text.as_py()) + end
-                    frame = pack.compress(packed)
-                    f.write(frame)
-                    at += len(frame)
-                    null.append(doc_id is None)
-                    ids.append(doc_id or 0)
-                    tokens.append(len(packed) // codec.width)
-                    ends.append(at)
-                first = next(batches, None)
+            for packed in codec.encode_all(texts()):
+                packed += end
+                frame = pack.compress(packed)
+                f.write(frame)
+                at += len(frame)
+                tokens.append(len(packed) // codec.width)
+                ends.append(at)
             f.write(bytes(null) + ids.tobytes() + tokens.tobytes() + ends.tobytes() + struct.pack("<QQ", at, len(null)) + MAGIC)
         yield pa.RecordBatch.from_pydict({"part": [part], "uri": [uri], "docs": [len(null)], "tokens": [sum(tokens)]})
 

@@ -71,3 +71,35 @@ def test_direct_access_and_wrong_dictionary(spark):
 def test_no_documents(spark):
     manifest, dictionary = T.write_token_files(spark.createDataFrame([], "doc_id long, text string"), PATH)
     assert T.read_token_files(manifest, dictionary).collect() == []
+
+
+class Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_and_marks_cost_one_call_and_no_normalising():
+    codec = T.ChunkTokenizer(PATH)
+    codec.tokenizer = Counting(codec.tokenizer)
+    text = " ".join(f"{w}{m}" for w in ("Straße", "the", "Éclair", "naïve", "WORD", "\xb5m", "xºª") for m in ("", ",", ".", "***", "!!'", "&&&", "</", "''"))
+    assert np.frombuffer(codec.encode(text.encode()), "<u2").tolist() + [2] == ids_of(text)
+    assert codec.tokenizer.texts == 0
+
+
+@pytest.mark.parametrize("group, entries", [(1, 5), (60, 5), (60, 100), (1 << 20, 1000)])
+def test_groups_of_texts_keep_ids_and_order(monkeypatch, group, entries):
+    monkeypatch.setattr(T, "GROUP_BYTES", group)
+    monkeypatch.setattr(T, "MEMO_ENTRIES", entries)
+    random.seed(5)
+    words = ["the", "The", "Été", "été", "K", "ẞ", "Å", "x2", "²", "won't", "'s", "...", "</w>", "é</w>", "á", "\x85", "\xa0b", "", "Σας", "漢", "*&*", "w\0"]
+    texts = [t or "" for t in TEXTS] + [" ".join(random.choice(words) + random.choice(["", ",", ".", "&&", "'", "'s", "́", "”"]) for _ in range(random.randint(0, 12))) for _ in range(150)]
+    got = T.ChunkTokenizer(PATH).encode_all(t.encode() for t in texts)
+    tok = Tokenizer.from_file(PATH)
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
