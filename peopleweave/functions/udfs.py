@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"  # Unicode's space separators, as SQL's trim takes them
+
 
 def nfkc_udf():
     """Exact NFKC as an Arrow-batched UDF, for callers who need more than width folding."""
@@ -26,7 +28,7 @@ def nfkc_udf():
 
 
 def hashed_embedder(dimension: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """Default embedder: signed hashed character trigrams, unit length, zero rows for blank text."""
+    """Default embedder: signed hashed character trigrams, unit length. A blank text has the trigram of its padding."""
     @lru_cache(1 << 16)
     def cell(gram: str) -> tuple[int, float]:
         h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "little")
@@ -41,25 +43,31 @@ def hashed_embedder(dimension: int = 64) -> Callable[[list[str]], np.ndarray]:
             _, first, counts = np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], return_index=True, return_counts=True)
             at, sign = zip(*[cell(padded[j:j + 3]) for j in first.tolist()])
             out[i] = np.bincount(at, counts * np.array(sign), dimension)
-            norm = np.linalg.norm(out[i])
-            if norm:
-                out[i] /= norm
+            if not out[i].any():  # signs of a short text may cancel out; the padded text as a whole stands for it then
+                at, sign = cell(padded)
+                out[i, at] = sign
+            out[i] /= np.linalg.norm(out[i])
         return out
     return embed
 
 
 def embed_documents(docs: DataFrame, make_embedder: Callable[[], Callable] = hashed_embedder, batch: int = 50,
-                    model: str = "hashed-trigram") -> DataFrame:
+                    model: str = "hashed-trigram", zero_blank: bool = False) -> DataFrame:
     """person_id, doc_text -> vectors. The model is made once per task and fed ``batch`` texts at a time;
-    rows for which it gives nothing are dropped."""
+    rows for which it gives nothing are dropped. A null text goes to it as an empty one. With ``zero_blank`` the vector
+    of a text that is not null and holds nothing but spaces is zero."""
+    def blank(text) -> bool:
+        return text is not None and not text.strip(SPACES)
+
     @F.pandas_udf(ArrayType(FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model_fn = make_embedder()
         for texts in batches:
             vectors = []
             for start in range(0, len(texts), batch):
-                part = [t or "" for t in texts.iloc[start:start + batch]]
-                vectors += [None if v is None else np.asarray(v, dtype=np.float32) for v in model_fn(part)]
+                part = texts.iloc[start:start + batch]
+                made = [None if v is None else np.asarray(v, dtype=np.float32) for v in model_fn([t or "" for t in part])]
+                vectors += [np.zeros_like(v) if zero_blank and v is not None and blank(t) else v for t, v in zip(part, made, strict=True)]
             yield pd.Series(vectors, index=texts.index)
 
     out = docs.select("person_id", F.col("updated_at").alias("embedded_at"), embed("doc_text").alias("embedding"))

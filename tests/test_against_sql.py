@@ -56,3 +56,28 @@ def test_person_without_evidence_or_profile_has_no_sources(spark):
     customer = spark.createDataFrame([(7_000_001, "Customer#007000001", 1, 100.0, "BUILDING")], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
     got = catalog.QUERIES["idx1_document_build"](Few(spark, customer=customer)).collect()
     assert [(r["person_id"], r["facet_source"], r["evidence_count"]) for r in got] == [(7_000_001, None, 0)]
+
+
+def documents(spark, rows):
+    """(doc_id, text, n_chars) as documents."""
+    return spark.createDataFrame([(k, text, "en", "src1", n) for k, text, n in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def vectors(spark, rows):
+    """(vec_id, label) as embeddings."""
+    return spark.createDataFrame([(k, [1.0], label) for k, label in rows], "vec_id long, embedding array<float>, label int")
+
+
+def test_only_vectors_of_blank_texts_are_zero(spark):
+    # The signs of the trigrams of "itu" cancel out. SQL's trim takes all kinds of spaces, no line ends, and null is no blank text.
+    texts = ["", "   ", " \u00a0\u3000", "itu", "word", "\n", None]
+    t = Few(spark, documents=documents(spark, [(k, text, 9) for k, text in enumerate(texts)]), embeddings=vectors(spark, [(99, 1)]))
+    got = {r["person_id"]: (r["dimension"], r["norm"]) for r in catalog.QUERIES["idx7_embed_stale"](t).collect()}
+    assert got == {k: (64, 0.0 if k < 3 else 1.0) for k in range(len(texts))}
+    assert [r["unit_length"] for r in catalog.QUERIES["udf1_embedder"](t).collect()] == [True] * len(texts)
+
+
+def test_document_embedded_at_an_unknown_time_is_not_stale(spark):
+    t = Few(spark, documents=documents(spark, [(1, "a", 5000), (2, "b", 5000), (3, "c", 10), (4, "d", 10)]), embeddings=vectors(spark, [(1, None), (2, 0), (3, 0)]))
+    assert {r["person_id"]: r["missing"] for r in catalog.QUERIES["jn4_stale_documents"](t).collect()} == {2: False, 4: True}
+    assert sorted(r["person_id"] for r in catalog.QUERIES["idx7_embed_stale"](t).collect()) == [2, 4]
